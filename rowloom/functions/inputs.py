@@ -22,13 +22,14 @@ def overlay(base: Column, *layers: Column) -> Column:
     """
     merged = F.coalesce(base, empty_fields())
     for layer in layers:
-        top = F.coalesce(layer, empty_fields())
-        merged = F.map_concat(
-            F.map_filter(merged, lambda k, _v, top=top: ~F.map_contains_key(top, k)), top
-        )
+        merged = _over(merged, F.coalesce(layer, empty_fields()))
     return merged
 
 
+def _over(low: Column, top: Column) -> Column:
+    return F.map_concat(F.map_filter(low, lambda k, _v: ~F.map_contains_key(top, k)), top)
+
+
 def fields_of(values: Mapping[str, Column]) -> Column:
     """A fields map from named columns."""
     pairs = [part for name, value in values.items() for part in (F.lit(name), value.cast("string"))]

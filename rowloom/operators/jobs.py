@@ -56,6 +56,8 @@ def split_cancelled(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A cancelled job ends FAILED and keeps the counts it has so far.
     """
+    if "request_cancel" not in jobs.columns:
+        jobs = jobs.withColumn("request_cancel", F.lit(False))
     asked = F.coalesce(F.col("request_cancel"), F.lit(False))
     cancelled = jobs.filter(asked).withColumns(
         {"status": F.lit("FAILED"), "error_message": F.lit(CANCELLED_MESSAGE)}

@@ -104,7 +104,7 @@ def native_results(t: Tables) -> DataFrame:
 SELECT event_type AS job_id, CAST(event_id AS VARCHAR) AS object_id, value >= 50 AS success,
        CASE WHEN value < 50 AND user_id % 5 <> 4 THEN 'low ' || user_id END AS error_message,
        {MS} AS timestamp, CASE WHEN value >= 50 AND user_id % 5 <> 3 THEN value END AS output,
-       CASE WHEN value >= 50 AND user_id % 5 <> 3 THEN 0.5 END AS cost
+       CASE WHEN value >= 50 AND user_id % 5 <> 3 THEN CAST(0.5 AS DOUBLE) END AS cost
 FROM events""")
 def _(t: Tables):
     results = native_results(t).withColumnsRenamed({"event_type": "job_id", "object_id": "item_id"})

@@ -23,8 +23,8 @@ FLOOR = Action("event.floor", ("value", "floor"), native=_check_floor)
 
 
 def live(t: Tables) -> DataFrame:
-    """The events table as a stream of files."""
-    events = read_new_files(t.spark, t.path("events"), t.read("events").schema)
+    """The events table as a stream of files, be it one file or a folder of them."""
+    events = read_new_files(t.spark, t.path("{events}"), t.read("events").schema)
     return events.select(
         text("h1/ops/stream.", F.col("event_type")).alias("stream_id"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),

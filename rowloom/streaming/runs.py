@@ -17,7 +17,8 @@ from rowloom.sinks.receipts import write_batch_receipts
 def read_new_files(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None
 ) -> DataFrame:
-    """Streaming read of a folder; ``files_per_batch`` bounds a micro-batch."""
+    """Streaming read of a folder, or of a pattern such as ``{name}.parquet`` that may
+    match single files; ``files_per_batch`` bounds a micro-batch."""
     reader = spark.readStream.format(fmt).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

@@ -57,6 +57,7 @@ def read_new_binary_files(spark: SparkSession, path: str, pattern: str = "*") ->
     """Streaming source of whole files."""
     return (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(path)
