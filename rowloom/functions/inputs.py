@@ -15,19 +15,12 @@ def empty_fields() -> Column:
 
 
 def overlay(base: Column, *layers: Column) -> Column:
-    """Merge maps, later layers winning by key presence.
+    """Merge maps, later layers winning by key presence; a null map counts as empty.
 
-    Keys of the lower layer are removed first, so the result does not depend on
-    the session's duplicate-key policy.
+    Relies on the LAST_WIN key policy that ``session.configure`` sets. Without it a
+    repeated key is an error, never a wrong value.
     """
-    merged = F.coalesce(base, empty_fields())
-    for layer in layers:
-        merged = _over(merged, F.coalesce(layer, empty_fields()))
-    return merged
-
-
-def _over(low: Column, top: Column) -> Column:
-    return F.map_concat(F.map_filter(low, lambda k, _v: ~F.map_contains_key(top, k)), top)
+    return F.map_concat(*[F.coalesce(m, empty_fields()) for m in (base, *layers)])
 
 
 def fields_of(values: Mapping[str, Column]) -> Column:

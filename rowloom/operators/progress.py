@@ -101,15 +101,24 @@ def _chain(entries: pd.DataFrame, interval: int) -> pd.DataFrame:
     return out
 
 
-def _walk(span: pd.DataFrame, interval: int) -> pd.DataFrame:
-    """Rows kept in one span, from its entry on."""
-    span = span.sort_values("timestamp")
-    times = span["timestamp"].to_numpy(dtype="int64")
-    at, kept = int(np.searchsorted(times, span["_entry"].iloc[0])), []
-    while at < len(times):
-        kept.append(at)
-        at = int(np.searchsorted(times, times[at] + interval, side="left"))
-    return span.iloc[kept][["job_id", "seq"]]
+def _walk(spans: DataFrame, interval: int) -> DataFrame:
+    """Rows kept per span: the first one an interval after ``_start``, and on from there."""
+    begin = F.struct(F.col("_start").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    steps = spans.groupBy("job_id", "percent", "_span", "_start").agg(
+        F.sort_array(F.collect_list(F.struct("timestamp", "seq"))).alias("_steps")
+    )
+    kept = F.aggregate(
+        "_steps",
+        begin,
+        lambda state, step: F.when(
+            step["timestamp"] - state["last"] >= interval,
+            F.struct(
+                step["timestamp"].alias("last"), F.array_append(state["kept"], step["seq"]).alias("kept")
+            ),
+        ).otherwise(state),
+        lambda state: state["kept"],
+    )
+    return steps.select("job_id", F.explode(kept).alias("seq"))
 
 
 def thin_progress(
@@ -126,20 +135,17 @@ def thin_progress(
       percent thus follows from seq and n alone, and starts a new chain.
     * Of rows with one time and percent only the first can be kept; the others drop
       before the shuffle. A chain shorter than the interval keeps nothing more.
-    * A long chain is cut into spans of fixed duration. A chain enters a span within
-      one interval of its start, so a span is summed up by its few possible entries
-      and where each leads; these are chained, and each span is then walked alone.
+    * A chain inside one span of time is folded alone. A longer one is cut into
+      spans; it enters a span within one interval of its start, so a span is summed
+      up by its few possible entries and where each leads; these are chained, and
+      each span is then folded from its entry.
 
     No task sees more rows of a job than one span has distinct milliseconds.
     """
     previous = F.when(F.col("seq") > 1, percent_of(F.col("seq") - 1, F.col("n"))).otherwise(F.lit(0))
-    changed = progress.filter(F.col("percent") != previous).select("job_id", "seq")
 
-    steps = progress.groupBy("job_id", "percent", "timestamp").agg(
-        F.min("seq").alias("seq"), F.min("started_at").alias("started_at")
-    )
     chains = (
-        steps.groupBy("job_id", "percent")
+        progress.groupBy("job_id", "percent")
         .agg(
             F.min("timestamp").alias("_first"),
             F.max("timestamp").alias("_last"),
@@ -147,23 +153,38 @@ def thin_progress(
         )
         .withColumn("_start", F.when(F.col("percent") == 0, F.col("_started")).otherwise(F.col("_first")))
         .filter(F.col("_last") - F.col("_start") >= interval_ms)
-        .select("job_id", "percent", "_start")
+        .select(
+            "job_id", "percent", "_start",
+            (F.floor(F.col("_first") / span_ms) < F.floor(F.col("_last") / span_ms)).alias("_cut"),
+        )
     )
-    spans = steps.drop("started_at").join(chains, ["job_id", "percent"]).withColumn(
+    steps = progress.groupBy("job_id", "percent", "timestamp").agg(F.min("seq").alias("seq"))
+    spans = steps.join(chains, ["job_id", "percent"]).withColumn(
         "_span", F.floor(F.col("timestamp") / span_ms)
     )
+
     types = dict(progress.dtypes)
     head = f"job_id {types['job_id']}, percent {types['percent']}, _span bigint, "
-    entries = spans.groupBy("job_id", "percent", "_span").applyInPandas(
-        lambda pdf: _entries(pdf, interval_ms, span_ms), head + "_start bigint, _entry bigint, _exit bigint"
+    entries = (
+        spans.filter("_cut")
+        .select("job_id", "percent", "_span", "_start", "timestamp")
+        .groupBy("job_id", "percent", "_span")
+        .applyInPandas(
+            lambda pdf: _entries(pdf, interval_ms, span_ms), head + "_start bigint, _entry bigint, _exit bigint"
+        )
     )
     chained = entries.groupBy("job_id", "percent").applyInPandas(
         lambda pdf: _chain(pdf, interval_ms), head + "_entry bigint"
     )
-    timed = (
-        spans.drop("_start")
-        .join(chained, ["job_id", "percent", "_span"])
-        .groupBy("job_id", "percent", "_span")
-        .applyInPandas(lambda pdf: _walk(pdf, interval_ms), f"job_id {types['job_id']}, seq {types['seq']}")
+    begin = F.when(F.col("_cut"), F.col("_entry") - interval_ms).otherwise(F.col("_start"))
+    entered = (
+        spans.join(chained, ["job_id", "percent", "_span"], "left")
+        .withColumn("_start", begin)
+        .filter(F.col("_start").isNotNull())
+    )
+    timed = _walk(entered, interval_ms).withColumn("_timed", F.lit(True))
+    return (
+        progress.join(timed, ["job_id", "seq"], "left")
+        .filter((F.col("percent") != previous) | F.col("_timed"))
+        .select(*progress.columns)
     )
-    return progress.join(changed.unionByName(timed), ["job_id", "seq"], "left_semi")

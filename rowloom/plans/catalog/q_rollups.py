@@ -6,7 +6,8 @@ from rowloom.operators.progress import job_progress, thin_progress
 from rowloom.operators.rollup import (
     cost_rollup, empty_jobs, final_status, job_counts, latest_receipt, trigger_stats,
 )
-from rowloom.plans.catalog.registry import RECEIPTS, COLLECTION_JOBS, Tables, query
+from rowloom.plans.catalog.registry import COLLECTION_JOBS, RECEIPTS, Tables, query
+from rowloom.session import materialise
 
 
 @query("job_counts", f"""WITH {RECEIPTS}
@@ -108,7 +109,7 @@ def _(t: Tables):
 # receipts sped up, so that one percent of a job takes some seconds to some minutes
 THIN = """
 WITH RECURSIVE fast AS (
-    SELECT event_type AS job_id, {ms} // 4000 AS timestamp,
+    SELECT event_type AS job_id, {ms} // 100 AS timestamp,
            row_number() OVER (PARTITION BY event_type ORDER BY {ms}, event_id) AS seq,
            count(*) OVER (PARTITION BY event_type) AS n
     FROM events),
@@ -129,7 +130,7 @@ SELECT job_id, seq, last_percent AS percent, last_time AS timestamp FROM walk WH
 
 @query("thin_progress", THIN)
 def _(t: Tables):
-    fast = t.receipts.withColumn("timestamp", F.floor(F.col("timestamp") / 4000))
+    fast = materialise(t.receipts.withColumn("timestamp", F.floor(F.col("timestamp") / 100)), "receipts")
     starts = fast.groupBy("job_id").agg((F.min("timestamp") - 30_000).alias("started_at"))
-    progress = job_progress(fast).join(starts, "job_id")
+    progress = materialise(job_progress(fast).join(starts, "job_id"), "progress")
     return thin_progress(progress).select("job_id", "seq", "percent", "timestamp")

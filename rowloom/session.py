@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a later map hides an earlier one key by key
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # lets "first n of each stream" drop rows before the shuffle
     "spark.sql.optimizer.windowGroupLimitThreshold": str(STREAM_READ_LIMIT),
 }
