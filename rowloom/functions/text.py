@@ -65,4 +65,5 @@ def epoch_millis(at: Column) -> Column:
 
 def to_millis(value: Column) -> Column:
     """Normalise a mixed epoch column: values below 10^11 are seconds."""
+    value = value.cast("bigint")
     return F.when(value < 100_000_000_000, value * 1000).otherwise(value)

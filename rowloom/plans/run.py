@@ -16,11 +16,10 @@ from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
 from rowloom.operators.progress import job_progress
 from rowloom.operators.rollup import finish_jobs, job_counts
 from rowloom.operators.updates import update_back
+from rowloom.schemas import SINGLETON
 from rowloom.session import STREAM_READ_LIMIT, materialise
 from rowloom.sources.collections import exclude_jobs, with_item_id
 
-JOB_SIDE = ("object_id", "hostname", "username", "input_data")
-
 
 def _job_columns() -> list[Column]:
     return [
@@ -57,6 +56,16 @@ def stream_work(jobs: DataFrame, events: DataFrame, limit: int = STREAM_READ_LIM
     )
 
 
+def single_work(jobs: DataFrame) -> DataFrame:
+    """Jobs that run once, on their own input; the job id is one of the inputs."""
+    wanted = jobs.filter(F.col("job_type") == SINGLETON).select(*_job_columns())
+    return wanted.select(
+        "job_id", F.col("receipt_stream").alias("stream_id"), F.lit(1).cast("bigint").alias("seq"),
+        F.lit(1).cast("bigint").alias("n"), F.col("job_id").alias("item_id"),
+        bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), {"job_id": F.col("job_id")}).alias("inputs"),
+    )
+
+
 def file_work(jobs: DataFrame) -> DataFrame:
     wanted = jobs.filter(F.col("job_type") == "run_on_files").select("file_keys", "prefix", *_job_columns())
     rows = fan_out_files(wanted)
@@ -116,21 +125,30 @@ def run_jobs(
     rejected = checked.filter(F.col("reject_reason").isNotNull())
     valid, cancelled = split_cancelled(checked.filter(F.col("reject_reason").isNull()))
 
-    parts: Sequence[DataFrame] = [
-        part
-        for part in (
-            collection_work(valid, items) if items is not None else None,
-            stream_work(valid, events, limit) if events is not None else None,
-            file_work(valid) if "file_keys" in jobs.columns else None,
-        )
-        if part is not None
+    parts: Sequence[tuple[str, DataFrame | None]] = [
+        ("run_on_collection", collection_work(valid, items) if items is not None else None),
+        ("run_on_stream", stream_work(valid, events, limit) if events is not None else None),
+        ("run_on_files", file_work(valid) if "file_keys" in jobs.columns else None),
+        (SINGLETON, single_work(valid)),
     ]
-    work = reduce(DataFrame.unionByName, parts)
+    work = reduce(
+        DataFrame.unionByName,
+        [part.withColumn("job_type", F.lit(kind)) for kind, part in parts if part is not None],
+    )
     results = run_action(work, action)
-    receipts = materialise(build_receipts(results, F.lit(clock_ms)), "receipts")
-
-    ran = valid.filter(F.col("job_type") != "singleton")
-    final = finish_jobs(ran, job_counts(receipts))
+    keep = ("job_id", "job_type", "stream_id", "seq")
+    stored = materialise(build_receipts(results, F.lit(clock_ms), keep), "receipts")
+    once = F.col("job_type") == SINGLETON
+    receipts = stored.filter(~once).drop("job_type")
+
+    final = finish_jobs(valid.filter(~once), job_counts(receipts))
+    singles = stored.filter(once).select(
+        F.col("job_id").alias("object_id"), "job_type",
+        F.when(F.col("success"), "SUCCEEDED").otherwise("FAILED").alias("status"),
+        "error_message", F.lit(100).alias("percent"),
+        F.col("success").cast("int").cast("bigint").alias("success_count"),
+        (~F.col("success")).cast("int").cast("bigint").alias("error_count"),
+    )
     stopped = cancelled.select(
         "object_id", "job_type", "status", "error_message",
         *[
@@ -138,4 +156,4 @@ def run_jobs(
             for c, kind in (("percent", "int"), ("success_count", "bigint"), ("error_count", "bigint"))
         ],
     )
-    return Run(jobs=final.unionByName(stopped), rejected=rejected, receipts=receipts)
+    return Run(jobs=final.unionByName(singles).unionByName(stopped), rejected=rejected, receipts=receipts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,12 +23,27 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings the operators rely on to an existing session."""
+    """Prepare an existing session: SQL settings the operators rely on, and this
+    package on the executors."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_rowloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="rowloom-"), "rowloom"), "zip", os.path.dirname(package), "rowloom"
+    )
+    context.addPyFile(archive)
+    context._rowloom_shipped = True
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "rowloom") -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     spark = (

@@ -19,10 +19,11 @@ def exclude_jobs(items: DataFrame) -> DataFrame:
 
 
 def multi_get(documents: DataFrame, keys: DataFrame, key: str = "object_id") -> tuple[DataFrame, DataFrame]:
-    """(documents found, keys that do not exist). ``keys`` may repeat a key."""
-    wanted = keys.select(key)
+    """(documents found, keys that do not exist). ``keys`` may repeat a key; copies
+    are folded before the join, so a key asked for very often is no hot key."""
+    wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
     found = documents.join(wanted, key, "left_semi")
-    missing = wanted.filter(F.col(key).isNotNull()).join(documents.select(key), key, "left_anti").distinct()
+    missing = wanted.join(documents.select(key), key, "left_anti")
     return found, missing
 
 
