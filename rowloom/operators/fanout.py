@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowloom.functions.ids import file_name
+from rowloom.operators.narrow import keep_keys
 from rowloom.operators.topn import first_per_group
 from rowloom.session import STREAM_READ_LIMIT
 from rowloom.sources.collections import with_item_id
@@ -35,6 +36,7 @@ def fan_out_collection(
     The store gives a collection in no fixed order. We fix one that can be counted
     in parallel: slice of the id's hash, then the id, then ``object_id``.
     """
+    items = keep_keys(items, jobs.select(F.col("collection_owner").alias("owner")), "owner")
     sliced = with_item_id(items).withColumn("_slice", slice_of(F.col("item_id"), slice_digits))
     # narrow scan, counted map-side: one row per (owner, slice)
     sizes = sliced.groupBy("owner", "_slice").agg(F.count(F.lit(1)).alias("_size"))
@@ -76,9 +78,7 @@ def fan_out_stream(
     with at most ``limit`` rows however long it is, and two jobs on one stream share
     the ranking. ``n`` is the number of items read.
     """
-    wanted = events.filter(F.col("timestamp") > after_timestamp).join(
-        jobs.select("stream_id"), "stream_id", "left_semi"
-    )
+    wanted = keep_keys(events.filter(F.col("timestamp") > after_timestamp), jobs, "stream_id")
     first = first_per_group(wanted, ["stream_id"], [F.col("timestamp"), F.col(tie)], limit)
     first = first.withColumn("seq", F.col("seq").cast("bigint")).withColumn(
         "n", F.count(F.lit(1)).over(Window.partitionBy("stream_id"))

@@ -1,0 +1,21 @@
+"""Early reduction of a large table to the keys a smaller one names."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+KEY_LIMIT = 500_000
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = KEY_LIMIT) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``, without a shuffle of ``df``.
+
+    The distinct keys are counted first and broadcast only if there are at most
+    ``limit`` of them. If there are more, ``df`` comes back as it is: this is a
+    reduction ahead of a join on the same key, and that join drops the rest.
+    A plain semi join would shuffle ``df`` by a key that may be hot.
+    """
+    wanted = keys.select(key).filter(F.col(key).isNotNull()).distinct()
+    if wanted.limit(limit + 1).count() > limit:
+        return df
+    return df.join(F.broadcast(wanted), key, "left_semi")

@@ -17,8 +17,9 @@ def first_per_group(
     Two rounds: the first ranks within (group, slice of the input splits), so a hot
     group is spread over many tasks; the second sees at most ``SPREAD * n`` rows of
     a group. Both rounds drop rows before their shuffle (partial window limit).
-    The slice is the split a row came from, so the partial limit of one task still
-    works on whole groups.
+    The slice is the input split a row came from, so the partial limit of one task
+    still works on whole groups. ``df`` should thus not have been shuffled by the
+    keys before.
     """
     sliced = df.withColumn("_slice", F.spark_partition_id() % SPREAD)
     near = Window.partitionBy(*keys, "_slice").orderBy(*order)

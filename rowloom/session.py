@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a window or aggregate on (key, slice) must be shuffled by both, even where the
+    # rows already lie by key: that is what spreads a hot key over many tasks
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
     # a later map hides an earlier one key by key
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # lets "first n of each stream" drop rows before the shuffle
