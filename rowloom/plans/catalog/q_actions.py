@@ -146,7 +146,7 @@ def _(t: Tables):
 
 
 @query("count_actions", """
-SELECT c_custkey, greatest((c_custkey % 7 + 1) // 2, 1) AS actions,
+SELECT c_custkey, CAST(greatest((c_custkey % 7 + 1) // 2, 1) AS INTEGER) AS actions,
        CAST(floor(1.0::DOUBLE / greatest((c_custkey % 7 + 1) // 2, 1)::DOUBLE * 100) AS INTEGER) AS first_percent
 FROM customer""")
 def _(t: Tables):

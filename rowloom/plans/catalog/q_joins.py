@@ -131,7 +131,8 @@ def _(t: Tables):
         text("^c", F.col("n_nationkey"), "[0-9]*@").alias("email_regex_match"),
         (F.col("n_regionkey") != 2).alias("add_to_user_on_signup"),
     )
-    fixed = t.spark.createDataFrame(
-        [("g_even", "[02468]@", True), ("g_auto", "@automobile", True), ("g_off", ".*", False)], groups.schema
+    fixed = t.values(
+        "group_id, email_regex_match, add_to_user_on_signup",
+        ("g_even", "[02468]@", True), ("g_auto", "@automobile", True), ("g_off", ".*", False),
     )
     return match_groups(users, groups.unionByName(fixed))

@@ -142,7 +142,7 @@ def _(t: Tables):
         ).alias("mapping")
     )
     picked = t.read("nation").filter("n_regionkey = 1").select(text("nation", F.col("n_nationkey")).alias("value"))
-    picked = picked.unionByName(t.spark.createDataFrame([("FURNITURE",)], "value string"))
+    picked = picked.unionByName(t.values("value", ("FURNITURE",)))
     return inverted_map(records, picked)
 
 

@@ -52,6 +52,11 @@ class Tables:
             self._read[name] = self.spark.read.parquet(self.path(name))
         return self._read[name]
 
+    def values(self, names: str, *rows: tuple) -> DataFrame:
+        """A few fixed rows as a local relation, whose size the planner knows."""
+        written = ", ".join(str(row) if len(row) > 1 else f"({row[0]!r})" for row in rows)
+        return self.spark.sql(f"SELECT * FROM VALUES {written} AS fixed({names})")
+
     @cached_property
     def stream_items(self) -> DataFrame:
         """One stream per user and event type."""
@@ -86,7 +91,7 @@ class Tables:
     def collection_jobs(self) -> DataFrame:
         """One job per source, one on an empty collection and one without a collection."""
         jobs = self.read("documents").select("source").distinct()
-        fixed = self.spark.createDataFrame([("none", "h1/ops/collection.none"), ("bad", "")], "source string, o string")
+        fixed = self.values("source, o", ("none", "h1/ops/collection.none"), ("bad", ""))
         owner = text("h1/ops/collection.", F.col("source"))
         return (
             jobs.withColumn("o", owner)
@@ -105,7 +110,7 @@ class Tables:
     def stream_jobs(self) -> DataFrame:
         """One job per event type, and one on a stream that does not exist."""
         kinds = self.read("events").select("event_type").distinct()
-        kinds = kinds.unionByName(self.spark.createDataFrame([("nothing",)], "event_type string"))
+        kinds = kinds.unionByName(self.values("event_type", ("nothing",)))
         return kinds.select(
             text("h1/ops/job.s-", F.col("event_type")).alias("object_id"),
             F.lit("ops").alias("username"),

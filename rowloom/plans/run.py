@@ -36,6 +36,13 @@ def _document(items: DataFrame) -> Column:
     return overlay(keys, F.col("item_fields"))
 
 
+def _spread(work: DataFrame) -> DataFrame:
+    """Even out work before actions run. The items of one stream or one file list
+    come out of one task; actions on them should not stay there. (Items of a
+    collection are already spread over its slices.)"""
+    return work.repartition("job_id", "seq")
+
+
 def collection_work(jobs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = jobs.filter(F.col("job_type") == "run_on_collection").select("collection_owner", *_job_columns())
     rows = fan_out_collection(wanted, exclude_jobs(items))
@@ -50,9 +57,11 @@ def stream_work(jobs: DataFrame, events: DataFrame, limit: int = STREAM_READ_LIM
     rows = fan_out_stream(wanted, events, limit)
     at, source = F.col("item_timestamp"), F.col("stream_id")
     bound = bind_inputs(F.col("input_data"), F.col("item_fields"), {"stream_id": source, "timestamp": at})
-    return rows.select(
-        "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n",
-        stream_item_id(source, at).alias("item_id"), bound.alias("inputs"),
+    return _spread(
+        rows.select(
+            "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n",
+            stream_item_id(source, at).alias("item_id"), bound.alias("inputs"),
+        )
     )
 
 
@@ -73,9 +82,11 @@ def file_work(jobs: DataFrame) -> DataFrame:
         "key": F.col("key"), "src_key": F.col("key"), "filename": F.col("filename"),
         "prefix": F.coalesce(F.col("prefix"), F.lit("")),
     }
-    return rows.select(
-        "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", F.col("key").alias("item_id"),
-        bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), system).alias("inputs"),
+    return _spread(
+        rows.select(
+            "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", F.col("key").alias("item_id"),
+            bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), system).alias("inputs"),
+        )
     )
 
 
