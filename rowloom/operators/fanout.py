@@ -1,18 +1,18 @@
 """Fan-out: one row per (job, item) with position and total.
 
-Nothing here numbers a whole collection in one task. An item's position is its
-rank within a slice of its collection plus the size of the slices before it. The
-slice is taken from a hash of the item id, so it is the same in every stage and
-after every retry, and a collection with a third of all rows is spread over 16^d
-slices. The same slices are the join key with the jobs, so the join has no hot
-key either.
+Nothing here numbers a large collection in one task. An item's position is its rank
+within a slice of its collection plus the size of the slices before it. A collection
+has one slice per some millions of items. The slice comes from a hash of the item id,
+so it is the same in every stage and after every retry. The slices are the join key
+with the jobs as well, so that join has no hot key either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rowloom.functions.ids import file_name
 from rowloom.operators.narrow import keep_keys
@@ -21,23 +21,43 @@ from rowloom.session import STREAM_READ_LIMIT
 from rowloom.sources.collections import with_item_id
 from rowloom.sources.files import explode_files
 
-SLICE_DIGITS = 3
+SLICE_ROWS = 2_000_000
+MAX_DIGITS = 8
 
 
-def slice_of(item_id: Column, digits: int = SLICE_DIGITS) -> Column:
-    return F.substring(F.md5(item_id), 1, digits)
+def _sliced(items: DataFrame, slice_rows: int) -> DataFrame:
+    """Add ``_slice``: empty for a collection of up to ``slice_rows`` items, else the
+    first d hex digits of a hash of the item id, 16^d slices being enough.
+
+    The table of large collections is broadcast: whatever the data, it has at most
+    one row per ``slice_rows`` items.
+    """
+    n = F.col("_n")
+    digits = reduce(lambda a, b: a + b, [(n > slice_rows * 16**d).cast("int") for d in range(MAX_DIGITS)])
+    large = (
+        items.groupBy("owner")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(n > slice_rows)
+        .select("owner", digits.alias("_digits"))
+    )
+    hashed = F.substring(F.md5("item_id"), F.lit(1), F.col("_digits"))
+    return (
+        items.join(F.broadcast(large), "owner", "left")
+        .withColumn("_slice", F.when(F.col("_digits") > 0, hashed).otherwise(F.lit("")))
+        .drop("_digits")
+    )
 
 
 def fan_out_collection(
-    jobs: DataFrame, items: DataFrame, slice_digits: int = SLICE_DIGITS
+    jobs: DataFrame, items: DataFrame, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Every job with every item of its collection, ``seq`` 1..n and total ``n``.
 
     The store gives a collection in no fixed order. We fix one that can be counted
-    in parallel: slice of the id's hash, then the id, then ``object_id``.
+    in parallel: slice (one for all but large collections), item id, ``object_id``.
     """
     items = keep_keys(items, jobs.select(F.col("collection_owner").alias("owner")), "owner")
-    sliced = with_item_id(items).withColumn("_slice", slice_of(F.col("item_id"), slice_digits))
+    sliced = _sliced(with_item_id(items), slice_rows)
     # narrow scan, counted map-side: one row per (owner, slice)
     sizes = sliced.groupBy("owner", "_slice").agg(F.count(F.lit(1)).alias("_size"))
     of_owner = Window.partitionBy("owner")

@@ -16,7 +16,7 @@ from rowloom.sources.collections import exclude_jobs, with_item_id
 FAN_OUT = f"""{COLLECTION_ROWS}, {COLLECTION_JOBS}, fan_out AS (
     SELECT j.object_id AS job_id, i.*,
            row_number() OVER (PARTITION BY j.object_id
-                              ORDER BY substring(md5(i.item_id), 1, 3), i.item_id, i.object_id) AS seq,
+                              ORDER BY i.item_id, i.object_id) AS seq,
            count(*) OVER (PARTITION BY j.object_id) AS n
     FROM collection_jobs j JOIN collection_rows i ON i.owner = j.collection_owner)"""
 

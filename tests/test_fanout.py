@@ -21,23 +21,25 @@ def skewed_items():
     return rows
 
 
-@pytest.mark.parametrize("digits", [1, 2, 3])
-def test_every_job_numbers_every_item_once(spark, digits):
+@pytest.mark.parametrize("slice_rows", [1, 3, 25, 2000])
+def test_every_job_numbers_every_item_once(spark, slice_rows):
     rows = skewed_items()
     jobs = [("j1", "hot"), ("j2", "hot"), ("j3", "o5"), ("j4", "nobody"), ("j5", "o6")]
     out = fan_out_collection(
         spark.createDataFrame(jobs, "object_id string, collection_owner string"),
         spark.createDataFrame(rows, ITEMS).repartition(5),
-        digits,
+        slice_rows,
     ).collect()
     of_owner, found = defaultdict(list), defaultdict(list)
     for owner, pk, object_id in rows:
         item = pk or object_id
-        of_owner[owner].append((md5(item.encode()).hexdigest()[:digits], item))
+        of_owner[owner].append(item)
     for row in out:
         found[row["object_id"]].append((row["seq"], row["item_id"], row["n"]))
     for job, owner in jobs:
-        ordered = [item for _slice, item in sorted(of_owner[owner])]
+        mine = of_owner[owner]
+        digits = sum(len(mine) > slice_rows * 16**d for d in range(8))
+        ordered = sorted(mine, key=lambda item: (md5(item.encode()).hexdigest()[:digits], item))
         assert sorted(found[job]) == [(i, item, len(ordered)) for i, item in enumerate(ordered, 1)]
 
 
