@@ -3,6 +3,7 @@ key, a null value and an empty string stay three different things."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
@@ -83,9 +84,28 @@ def map_params(inputs: Column, mapping: Sequence[Mapping[str, str]]) -> Column:
     return overlay(empty_fields(), *layers)
 
 
+def map_params_column(inputs: Column, mapping: Column) -> Column:
+    """``map_params`` with a mapping held in a column,
+    ``array<struct<src,dest,static>>``, so that every row may have its own."""
+    entries = F.transform(
+        mapping,
+        lambda m: F.when(
+            m.getField("static").isNotNull(),
+            F.struct(m.getField("dest").alias("key"), m.getField("static").alias("value")),
+        ).when(
+            F.map_contains_key(inputs, m.getField("src")),
+            F.struct(
+                m.getField("dest").alias("key"), F.try_element_at(inputs, m.getField("src")).alias("value")
+            ),
+        ),
+    )
+    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).cast(FIELDS)
+
+
 def fill_defaults(inputs: Column, defaults: Mapping[str, object]) -> Column:
-    """Set defaults where the input is absent or null."""
-    wanted = fields_of({name: F.lit(value) for name, value in defaults.items()})
+    """Set defaults where the input is absent or null. A list default is JSON text."""
+    plain = {n: json.dumps(v) if isinstance(v, (list, dict)) else v for n, v in defaults.items()}
+    wanted = fields_of({name: F.lit(value) for name, value in plain.items()})
     unset = F.map_filter(wanted, lambda k, _v: F.try_element_at(inputs, k).isNull())
     return overlay(inputs, unset)
 

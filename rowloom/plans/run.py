@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.ids import receipt_stream_id, stream_item_id
 from rowloom.functions.inputs import bind_inputs, fields_of, overlay
-from rowloom.operators.actions import Action, build_receipts, run_action
+from rowloom.operators.actions import Action, build_receipts, dispatch_actions, run_action
 from rowloom.operators.fanout import fan_out_collection, fan_out_files, fan_out_stream
 from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
 from rowloom.operators.progress import job_progress
@@ -21,11 +21,12 @@ from rowloom.session import STREAM_READ_LIMIT, materialise
 from rowloom.sources.collections import exclude_jobs, with_item_id
 
 
-def _job_columns() -> list[Column]:
+def _job_columns(jobs: DataFrame) -> list[Column]:
     return [
         F.col("object_id").alias("job_id"),
         receipt_stream_id(F.col("hostname"), F.col("username"), F.col("object_id")).alias("receipt_stream"),
-        "input_data",
+        F.col("input_data"),
+        (F.col("action_id") if "action_id" in jobs.columns else F.lit(None).cast("string")).alias("action_id"),
     ]
 
 
@@ -44,22 +45,22 @@ def _spread(work: DataFrame) -> DataFrame:
 
 
 def collection_work(jobs: DataFrame, items: DataFrame) -> DataFrame:
-    wanted = jobs.filter(F.col("job_type") == "run_on_collection").select("collection_owner", *_job_columns())
+    wanted = jobs.filter(F.col("job_type") == "run_on_collection").select("collection_owner", *_job_columns(jobs))
     rows = fan_out_collection(wanted, exclude_jobs(items))
     return rows.select(
-        "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", "item_id",
+        "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", "item_id",
         bind_inputs(F.col("input_data"), _document(items), {"object_id": F.col("item_id")}).alias("inputs"),
     )
 
 
 def stream_work(jobs: DataFrame, events: DataFrame, limit: int = STREAM_READ_LIMIT) -> DataFrame:
-    wanted = jobs.filter(F.col("job_type") == "run_on_stream").select("stream_id", *_job_columns())
+    wanted = jobs.filter(F.col("job_type") == "run_on_stream").select("stream_id", *_job_columns(jobs))
     rows = fan_out_stream(wanted, events, limit)
     at, source = F.col("item_timestamp"), F.col("stream_id")
     bound = bind_inputs(F.col("input_data"), F.col("item_fields"), {"stream_id": source, "timestamp": at})
     return _spread(
         rows.select(
-            "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n",
+            "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n",
             stream_item_id(source, at).alias("item_id"), bound.alias("inputs"),
         )
     )
@@ -67,16 +68,16 @@ def stream_work(jobs: DataFrame, events: DataFrame, limit: int = STREAM_READ_LIM
 
 def single_work(jobs: DataFrame) -> DataFrame:
     """Jobs that run once, on their own input; the job id is one of the inputs."""
-    wanted = jobs.filter(F.col("job_type") == SINGLETON).select(*_job_columns())
+    wanted = jobs.filter(F.col("job_type") == SINGLETON).select(*_job_columns(jobs))
     return wanted.select(
-        "job_id", F.col("receipt_stream").alias("stream_id"), F.lit(1).cast("bigint").alias("seq"),
+        "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), F.lit(1).cast("bigint").alias("seq"),
         F.lit(1).cast("bigint").alias("n"), F.col("job_id").alias("item_id"),
         bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), {"job_id": F.col("job_id")}).alias("inputs"),
     )
 
 
 def file_work(jobs: DataFrame) -> DataFrame:
-    wanted = jobs.filter(F.col("job_type") == "run_on_files").select("file_keys", "prefix", *_job_columns())
+    wanted = jobs.filter(F.col("job_type") == "run_on_files").select("file_keys", "prefix", *_job_columns(jobs))
     rows = fan_out_files(wanted)
     system = {
         "key": F.col("key"), "src_key": F.col("key"), "filename": F.col("filename"),
@@ -84,7 +85,7 @@ def file_work(jobs: DataFrame) -> DataFrame:
     }
     return _spread(
         rows.select(
-            "job_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", F.col("key").alias("item_id"),
+            "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", F.col("key").alias("item_id"),
             bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), system).alias("inputs"),
         )
     )
@@ -120,14 +121,15 @@ class Run:
 
 def run_jobs(
     jobs: DataFrame,
-    action: Action,
+    action: Action | Mapping[str, Mapping[str, Action]],
     clock_ms: int,
     items: DataFrame | None = None,
     events: DataFrame | None = None,
     forced_type: str | None = None,
     limit: int = STREAM_READ_LIMIT,
 ) -> Run:
-    """Run an action over everything the jobs point at.
+    """Run an action over everything the jobs point at: one action for all jobs, or
+    registries from which every job picks by its ``action_id``.
 
     Actions may have side effects and must run once per item, so receipts are
     written to the shared folder before anything branches off them.
@@ -146,7 +148,7 @@ def run_jobs(
         DataFrame.unionByName,
         [part.withColumn("job_type", F.lit(kind)) for kind, part in parts if part is not None],
     )
-    results = run_action(work, action)
+    results = run_action(work, action) if isinstance(action, Action) else dispatch_actions(work, action)
     keep = ("job_id", "job_type", "stream_id", "seq")
     stored = materialise(build_receipts(results, F.lit(clock_ms), keep), "receipts")
     once = F.col("job_type") == SINGLETON

@@ -6,8 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rowloom.functions.inputs import fields_of, map_params
-from rowloom.operators.actions import Action, run_action
+from rowloom.functions.inputs import fields_of, map_params, map_params_column
+from rowloom.operators.actions import Action, dispatch_actions, run_action
 from rowloom.sources.files import file_selected
 from rowloom.sources.streams import stream_events
 
@@ -33,6 +33,29 @@ def stream_trigger(
     return done.withColumn("mapped", F.when(F.col("result.success"), map_params(outputs, out_map))).drop("inputs")
 
 
+def stream_triggers(
+    events: DataFrame,
+    triggers: DataFrame,
+    registries: Mapping[str, Mapping[str, Action]],
+    data: str = "data",
+) -> DataFrame:
+    """All triggers at once: ``triggers`` has a row per trigger with its stream as
+    ``owner``, ``action_id``, ``in_map`` and ``out_map``
+    (``array<struct<src,dest,static>>``).
+
+    One row per (event, trigger) with ``trigger_id``, ``result`` and ``mapped``. The
+    triggers are a table of records, so a stream joins them as its static side.
+    """
+    side = triggers.select(
+        F.col("object_id").alias("trigger_id"), F.col("owner").alias("stream_id"), "action_id", "in_map", "out_map"
+    )
+    bound = events.join(side, "stream_id").withColumn("inputs", map_params_column(F.col(data), F.col("in_map")))
+    done = dispatch_actions(bound, registries)
+    outputs = F.coalesce(F.col("result.outputs"), F.create_map().cast("map<string,string>"))
+    mapped = F.when(F.col("result.success"), map_params_column(outputs, F.col("out_map")))
+    return done.withColumn("mapped", mapped).drop("inputs", "in_map", "out_map")
+
+
 def file_trigger(
     files: DataFrame,
     action: Action,

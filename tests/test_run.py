@@ -19,8 +19,6 @@ GRADE = Action("grade", ("mark", "floor"), native=_grade)
 
 
 def job(spark, *rows):
-    schema = spark.sql("select 1").schema  # noqa: F841  (keeps the session warm)
-    names = [line.split()[0] for line in JOBS.replace("\n", " ").split(",") if line.strip() and "<" not in line.split()[0]]
     fields = spark.createDataFrame([], JOBS).schema
     return spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], fields)
 
@@ -92,6 +90,22 @@ def test_whole_run(spark, jobs):
     assert updated["3"] == {"mark": "8", "score": "9"}
 
 
+def test_jobs_pick_their_actions(spark):
+    items = spark.createDataFrame([("o", "o.1", "1", {"mark": "9"})], "owner string, pk string, object_id string, fields map<string,string>")
+    table = spark.createDataFrame(
+        [(f"h/u/job.{a}", "h", "u", "run_on_collection", "o", {"floor": "1"}, a) for a in ("grade", "script", "lost")],
+        "object_id string, hostname string, username string, job_type string, collection_owner string, "
+        "input_data map<string,string>, action_id string",
+    )
+    script = Action("script", ("mark",), python=lambda mark: {"twice": int(mark) * 2})
+    run = run_jobs(table, {"own": {"grade": GRADE, "script": script}}, 1, items=items)
+    got = {r["object_id"]: (r["success"], r["outputs"], r["error_message"]) for r in run.receipts.withColumn("object_id", F.col("job_id")).collect()}
+    assert got == {
+        "h/u/job.grade": (True, {"grade": "10"}, None), "h/u/job.script": (True, {"twice": "18"}, None),
+        "h/u/job.lost": (False, None, "Action not found: lost. Searched: ['own']"),
+    }
+
+
 def test_forced_type_and_fallbacks(spark):
     table = job(spark, {**BASE, "object_id": "a"}, {**BASE, "object_id": "b", "job_type": "singleton", "stream_id": ""})
     forced = resolve_jobs(table, "run_on_stream", stream_id="s0")

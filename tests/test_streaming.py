@@ -4,7 +4,7 @@ from rowloom.functions.inputs import fields_of
 from rowloom.operators.actions import Action, fail, succeed
 from rowloom.session import scratch_path
 from rowloom.streaming.runs import live_counts, read_live_counts, read_new_files, run_on_stream_incremental
-from rowloom.streaming.triggers import collection_changes, file_trigger, stream_trigger
+from rowloom.streaming.triggers import collection_changes, file_trigger, stream_trigger, stream_triggers
 
 EVENTS = "stream_id string, timestamp bigint, value int"
 JOBS = "object_id string, hostname string, username string, stream_id string, input_data map<string,string>, request_cancel boolean"
@@ -60,6 +60,22 @@ def test_stream_trigger_on_a_table(spark):
     assert {r["stream_id"]: r["mapped"] for r in done.collect()} == {"s": {"out": "4"}, "t": None}
 
 
+def test_many_triggers_each_with_its_own_maps(spark):
+    events = spark.createDataFrame([("s", {"n": "4"}), ("t", {"n": "4"}), ("u", {"n": "4"})], "stream_id string, data map<string,string>")
+    triggers = spark.createDataFrame(
+        [
+            ("t1", "s", "positive", [("n", "value", None)], [("value", "out", None), (None, "by", "t1")]),
+            ("t2", "s", "positive", [(None, "value", "-1")], [("value", "out", None)]),
+            ("t3", "t", "nobody", [], []),
+        ],
+        "object_id string, owner string, action_id string, in_map array<struct<src:string,dest:string,static:string>>, "
+        "out_map array<struct<src:string,dest:string,static:string>>",
+    )
+    done = stream_triggers(events, triggers, {"here": {"positive": POSITIVE}}).collect()
+    got = {r["trigger_id"]: (r["result"]["success"], r["mapped"]) for r in done}
+    assert got == {"t1": (True, {"out": "4", "by": "t1"}), "t2": (False, None), "t3": (False, None)}
+
+
 def test_file_trigger_does_not_read_content_it_does_not_need(spark):
     folder = scratch_path(spark, "files")
     spark.range(3).repartition(1).write.json(folder)
