@@ -30,9 +30,11 @@ def fields_of(values: Mapping[str, Column]) -> Column:
     return F.create_map(*pairs).cast(FIELDS) if pairs else empty_fields()
 
 
-def bind_inputs(constants: Column, item: Column, system: Mapping[str, Column]) -> Column:
-    """Job constants, hidden by item fields, hidden by system fields."""
-    return overlay(constants, item, fields_of(system))
+def bind_inputs(constants: Column, item: Column | Sequence[Column], system: Mapping[str, Column]) -> Column:
+    """Job constants, hidden by item fields, hidden by system fields. An item may come
+    as several maps, so that all are merged in one step."""
+    layers = [item] if isinstance(item, Column) else list(item)
+    return overlay(constants, *layers, fields_of(system))
 
 
 def project_params(inputs: Column, params: Column, accepts_any: bool | Column = False) -> Column:

@@ -17,29 +17,59 @@ class ActionFailed(Exception):
     """Raised by a Python action to report a failure with a plain message."""
 
 
+class Inputs:
+    """The inputs of a native action: ``inputs["name"]`` is a column.
+
+    Only declared names can be read, which projects the inputs without building a
+    second map. hostname and username come from the context where the item has none.
+    """
+
+    def __init__(self, fields: Column, params: Sequence[str], accepts_any: bool, context: Mapping[str, Column]):
+        self.fields, self._params, self._any, self._context = fields, params, accepts_any, context
+
+    def __getitem__(self, name: str) -> Column:
+        if not self._any and name not in self._params:
+            raise KeyError(f"{name} is not a declared parameter")
+        value = F.try_element_at(self.fields, F.lit(name))
+        if name in self._params and name in self._context:
+            return F.when(self.has(name), value).otherwise(self._context[name])
+        return value
+
+    def has(self, name: str) -> Column:
+        return F.map_contains_key(self.fields, name)
+
+
 @dataclass(frozen=True)
 class Action:
     """An action with its declared parameters.
 
-    ``native`` builds a result column from the inputs map (see ``succeed`` and
-    ``fail``) and stays inside the JVM. ``python`` takes the inputs as keyword
+    ``native`` builds a result column from ``Inputs`` (see ``succeed`` and ``fail``)
+    and stays inside the JVM. ``python`` takes the inputs as keyword
     arguments and returns a mapping of outputs; it runs on Arrow batches.
     """
 
     action_id: str
     params: tuple[str, ...] = ()
-    native: Callable[[Column], Column] | None = None
+    native: Callable[[Inputs], Column] | None = None
     python: Callable[..., Mapping] | None = None
     accepts_any: bool = False
     primary_output: str = ""
     cost: float | None = None
 
     def inputs(self, inputs: Column, hostname: Column | None = None, username: Column | None = None) -> Column:
+        """The inputs map as the action gets it."""
         declared = F.array(*[F.lit(p) for p in self.params]).cast("array<string>")
         if hostname is not None and username is not None:
             inputs = inject_context(inputs, declared, hostname, username)
         return project_params(inputs, declared, self.accepts_any)
 
+    def result(self, inputs: Column, hostname: Column | None = None, username: Column | None = None) -> Column:
+        """Result column of a native action."""
+        context = {}
+        if hostname is not None and username is not None:
+            context = {"hostname": empty_to_null(hostname), "username": username}
+        return self.native(Inputs(inputs, self.params, self.accepts_any, context))
+
 
 def succeed(outputs: Mapping[str, Column] | None = None, primary: str = "", cost: float | None = None) -> Column:
     return F.struct(
@@ -48,7 +78,7 @@ def succeed(outputs: Mapping[str, Column] | None = None, primary: str = "", cost
         fields_of(outputs or {}).alias("outputs"),
         F.lit(primary).alias("primary_output"),
         F.lit(cost).cast("double").alias("cost"),
-    ).cast(RESULT)
+    )
 
 
 def fail(message: Column) -> Column:
@@ -58,7 +88,7 @@ def fail(message: Column) -> Column:
         F.lit(None).cast(FIELDS).alias("outputs"),
         F.lit("").alias("primary_output"),
         F.lit(None).cast("double").alias("cost"),
-    ).cast(RESULT)
+    )
 
 
 def _python_result(actions: Mapping[str, Action]):
@@ -96,9 +126,9 @@ def run_action(
     into: str = "result",
 ) -> DataFrame:
     """Run one action on every row; adds ``result``."""
-    bound = action.inputs(F.col(inputs), hostname, username)
     if action.native is not None:
-        return df.withColumn(into, action.native(bound))
+        return df.withColumn(into, action.result(F.col(inputs), hostname, username))
+    bound = action.inputs(F.col(inputs), hostname, username)
     return df.withColumn(into, _python_result({action.action_id: action})(F.lit(action.action_id), bound))
 
 
@@ -133,8 +163,8 @@ def dispatch_actions(
     result = fail(not_found(wanted, list(registries)))
     for name, action in known.items():
         if action.native is not None:
-            bound = action.inputs(given, hostname, username)
-            result = F.when(wanted == name, action.native(bound)).otherwise(result)
+            done = action.result(given, hostname, username)
+            result = F.when(wanted == name, done).otherwise(result)
 
     scripted = {name: action for name, action in known.items() if action.native is None}
     if scripted:

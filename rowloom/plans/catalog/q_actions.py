@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.inputs import fields_of
 from rowloom.operators.actions import (
-    Action, ActionFailed, action_percent, build_receipts, count_actions, dispatch_actions, fail,
+    Action, ActionFailed, Inputs, action_percent, build_receipts, count_actions, dispatch_actions, fail,
     run_action, single_action_result, succeed,
 )
 from rowloom.operators.rollup import action_counts
@@ -16,10 +16,10 @@ def _take(inputs: Column, name: str) -> Column:
     return F.try_element_at(inputs, F.lit(name))
 
 
-def look_up_label(inputs: Column) -> Column:
-    quality = _take(inputs, "quality")
+def look_up_label(inputs: Inputs) -> Column:
+    quality = inputs["quality"]
     return F.when(quality.isNull(), fail(F.lit("no label"))).otherwise(
-        succeed({"quality": quality, "toxic": _take(inputs, "toxic")}, primary="quality")
+        succeed({"quality": quality, "toxic": inputs["toxic"]}, primary="quality")
     )
 
 
@@ -54,11 +54,11 @@ def _(t: Tables):
     )
 
 
-def _double(inputs: Column) -> Column:
-    return succeed({"twice": _take(inputs, "value").cast("double") * 2})
+def _double(inputs: Inputs) -> Column:
+    return succeed({"twice": inputs["value"].cast("double") * 2})
 
 
-def _shadowed(inputs: Column) -> Column:
+def _shadowed(_inputs: Inputs) -> Column:
     return fail(F.lit("the first registry should win"))
 
 
@@ -69,7 +69,7 @@ REGISTRIES = {
     },
     "builtin": {
         "click": Action("click", native=_shadowed),
-        "purchase": Action("purchase", ("user_id",), native=lambda i: succeed({"who": _take(i, "user_id")})),
+        "purchase": Action("purchase", ("user_id",), native=lambda i: succeed({"who": i["user_id"]})),
         "signup": Action("signup", native=lambda _i: fail(F.lit(""))),
     },
 }

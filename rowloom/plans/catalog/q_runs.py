@@ -78,8 +78,7 @@ def _(t: Tables):
 
 
 def _secure(inputs):
-    key = F.try_element_at(inputs, F.lit("key"))
-    return F.when(key.startswith("https:"), succeed({"filename": F.try_element_at(inputs, F.lit("filename"))})).otherwise(
+    return F.when(inputs["key"].startswith("https:"), succeed({"filename": inputs["filename"]})).otherwise(
         fail(F.lit("not secure"))
     )
 

@@ -13,10 +13,8 @@ from rowloom.streaming.triggers import collection_changes, file_trigger, read_ne
 
 
 def _check_floor(inputs):
-    low = F.try_element_at(inputs, F.lit("value")).cast("double") < F.try_element_at(inputs, F.lit("floor")).cast("double")
-    return F.when(low, fail(text("below ", F.try_element_at(inputs, F.lit("floor"))))).otherwise(
-        succeed({"value": F.try_element_at(inputs, F.lit("value"))})
-    )
+    low = inputs["value"].cast("double") < inputs["floor"].cast("double")
+    return F.when(low, fail(text("below ", inputs["floor"]))).otherwise(succeed({"value": inputs["value"]}))
 
 
 FLOOR = Action("event.floor", ("value", "floor"), native=_check_floor)

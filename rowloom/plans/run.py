@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.ids import receipt_stream_id, stream_item_id
-from rowloom.functions.inputs import bind_inputs, fields_of, overlay
+from rowloom.functions.inputs import bind_inputs, fields_of
 from rowloom.operators.actions import Action, build_receipts, dispatch_actions, run_action
 from rowloom.operators.fanout import fan_out_collection, fan_out_files, fan_out_stream
 from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
@@ -30,11 +30,10 @@ def _job_columns(jobs: DataFrame) -> list[Column]:
     ]
 
 
-def _document(items: DataFrame) -> Column:
+def _document() -> list[Column]:
     """An item's fields: its typed keys where they are set, under its open fields."""
-    typed = [c for c in ("owner", "pk", "object_id") if c in items.columns]
-    keys = F.map_filter(fields_of({c: F.col(f"item_{c}") for c in typed}), lambda _k, v: v.isNotNull())
-    return overlay(keys, F.col("item_fields"))
+    pk = F.when(F.col("item_pk").isNotNull(), fields_of({"pk": F.col("item_pk")}))
+    return [fields_of({"owner": F.col("item_owner")}), pk, F.col("item_fields")]
 
 
 def _spread(work: DataFrame) -> DataFrame:
@@ -49,7 +48,7 @@ def collection_work(jobs: DataFrame, items: DataFrame) -> DataFrame:
     rows = fan_out_collection(wanted, exclude_jobs(items))
     return rows.select(
         "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", "item_id",
-        bind_inputs(F.col("input_data"), _document(items), {"object_id": F.col("item_id")}).alias("inputs"),
+        bind_inputs(F.col("input_data"), _document(), {"object_id": F.col("item_id")}).alias("inputs"),
     )
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators.actions import (
@@ -37,6 +38,20 @@ def test_context_reaches_actions_that_declare_it(spark):
     assert got["outputs"] == {"hostname": "h", "username": "u"}
 
 
+def test_native_actions_read_declared_inputs_and_context_only(spark):
+    def native(inputs):
+        return succeed({"host": inputs["hostname"], "user": inputs["username"], "x": inputs["x"]})
+
+    rows = [("bare", "", {"x": "1"}), ("own", "", {"hostname": None, "username": "me"})]
+    df = spark.createDataFrame(rows, ROWS)
+    done = run_action(df, Action("n", ("hostname", "username", "x"), native=native), hostname=F.lit("h"), username=F.lit("u"))
+    assert {r["item_id"]: r["result"]["outputs"] for r in done.collect()} == {
+        "bare": {"host": "h", "user": "u", "x": "1"}, "own": {"host": None, "user": "me", "x": None},
+    }
+    with pytest.raises(KeyError):
+        run_action(df, Action("n", ("x",), native=native))
+
+
 def test_dispatch_first_registry_wins_and_unknown_fails(spark):
     registries = {
         "first": {"n": Action("n", native=lambda _i: succeed({"from": F.lit("first")})), "p": DIVIDE},

@@ -9,8 +9,8 @@ from rowloom.schemas import JOBS, MAPPINGS
 
 
 def _grade(inputs):
-    mark = F.try_element_at(inputs, F.lit("mark")).try_cast("int")
-    return F.when(mark >= F.try_element_at(inputs, F.lit("floor")).cast("int"), succeed({"grade": mark + 1})).otherwise(
+    mark = inputs["mark"].try_cast("int")
+    return F.when(mark >= inputs["floor"].cast("int"), succeed({"grade": mark + 1})).otherwise(
         fail(F.lit("low"))
     )
 

@@ -11,7 +11,7 @@ JOBS = "object_id string, hostname string, username string, stream_id string, in
 
 
 def _positive(inputs):
-    value = F.try_element_at(inputs, F.lit("value")).cast("int")
+    value = inputs["value"].cast("int")
     return F.when(value > 0, succeed({"value": value})).otherwise(fail(F.lit("not positive")))
 
 
@@ -80,7 +80,7 @@ def test_file_trigger_does_not_read_content_it_does_not_need(spark):
     folder = scratch_path(spark, "files")
     spark.range(3).repartition(1).write.json(folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = Action("name", ("key",), native=lambda i: succeed({"key": F.try_element_at(i, F.lit("key"))}))
+    name = Action("name", ("key",), native=lambda i: succeed({"key": i["key"]}))
     done = file_trigger(files, name, "part-", ["*.json"], key=F.substring_index("path", "/", -1)).select("result.outputs")
     assert done.count() == 1
     assert "content" not in done._jdf.queryExecution().executedPlan().toString()
