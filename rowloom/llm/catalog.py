@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact, ordinal, piece
+from rowloom.llm import exact, jaccard, ordinal, piece
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def piece_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op9_ngram_jaccard")
+def op9(spark, sf_dir):
+    return jaccard.connected(table(spark, sf_dir, "documents").select("doc_id", "text"))
