@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact, jaccard, ordinal, piece
+from rowloom.llm import exact, jaccard, mixing, ordinal, piece
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def piece_model() -> str:
 @query("op9_ngram_jaccard")
 def op9(spark, sf_dir):
     return jaccard.connected(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_mixing")
+def op6(spark, sf_dir):
+    languages = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
+    return mixing.mix(table(spark, sf_dir, "documents"), share=0.5, languages=languages)
