@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact, jaccard, mixing, ordinal, piece
+from rowloom.llm import exact, jaccard, mixing, ordinal, pii, piece
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op9(spark, sf_dir):
 def op6(spark, sf_dir):
     languages = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
     return mixing.mix(table(spark, sf_dir, "documents"), share=0.5, languages=languages)
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pii.summary(table(spark, sf_dir, "documents"))
