@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact, jaccard, mixing, ordinal, pii, piece
+from rowloom.llm import exact, jaccard, mixing, ordinal, pii, piece, templates
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op6(spark, sf_dir):
 @query("op4_pii")
 def op4(spark, sf_dir):
     return pii.summary(table(spark, sf_dir, "documents"))
+
+
+@query("op7_url_templates")
+def op7(spark, sf_dir):
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return templates.judge(pages, templates.labels_from_pages(labels))
