@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import exact, jaccard, mixing, ordinal, pii, piece, templates
+from rowloom.llm import divergence, exact, jaccard, mixing, ordinal, pii, piece, templates
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op4(spark, sf_dir):
 def op7(spark, sf_dir):
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     return templates.judge(pages, templates.labels_from_pages(labels))
+
+
+@query("op3_quality_divergence")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return divergence.judge(docs).drop("text", "lang")
