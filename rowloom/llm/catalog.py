@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import divergence, exact, jaccard, mixing, ordinal, pii, piece, templates
+from rowloom.llm import divergence, exact, jaccard, licenses, mixing, ordinal, pii, piece, templates
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,38 @@ def op7(spark, sf_dir):
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return divergence.judge(docs).drop("text", "lang")
+
+
+def _license_sql() -> str:
+    """The scan in SQL over the same fixed values."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(x: str) -> str:
+        x = f"translate(coalesce({x}, ''), {quote(licenses.UPPER)}, {quote(licenses.LOWER)})"
+        x = rf"regexp_replace({x}, '(?m)^[^\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{{4}}[^\n]*$', '', 'g')"
+        for spelling, common in licenses.SPELLINGS:
+            x = f"replace({x}, {quote(spelling)}, {quote(common)})"
+        return rf"trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+
+    known = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in licenses.TEXTS + licenses.NOTICES)
+    return f"""
+    WITH known AS (
+        SELECT sha256({canonical("text")}) AS digest, min(name) AS license
+        FROM (VALUES {known}) AS t(name, text) GROUP BY 1),
+    docs AS (
+        SELECT doc_id, row_number() OVER () AS n, text, sha256({canonical("text")}) AS canonical_sha256 FROM documents),
+    lines AS (
+        SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs),
+    notices AS (
+        SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+        FROM lines JOIN known ON known.digest = sha256({canonical("line")})
+        WHERE length(line) <= 400 AND regexp_matches(lower(line), 'licen[cs]e|rights reserved')
+        GROUP BY n)
+    SELECT doc_id, canonical_sha256, license, coalesce(notices, '') AS notices
+    FROM docs LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN notices USING (n)
+    """
+
+
+@query("op1_license_scan", _license_sql())
+def op1(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.prepare_catalog(spark))
