@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import divergence, exact, jaccard, licenses, mixing, ordinal, pii, piece, templates
+from rowloom.llm import divergence, exact, jaccard, licenses, mixing, ordinal, pii, piece, suffix, templates
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def _license_sql() -> str:
 @query("op1_license_scan", _license_sql())
 def op1(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.prepare_catalog(spark))
+
+
+@query("op8_suffix_tree")
+def op8(spark, sf_dir):
+    return suffix.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
