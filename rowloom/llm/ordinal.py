@@ -152,9 +152,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, select_from: int,
     return Ordinal(weights, cuts, select_from, least)
 
 
-def score(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """All columns of ``docs``, with expected_grade, p_select and kept."""
-    docs = without(docs, *[f.name for f in RESULT])
+def score(docs: DataFrame, model: Ordinal, prefix: str = "") -> DataFrame:
+    """All columns of ``docs``, with expected_grade, p_select and kept, named with ``prefix``."""
+    result = [T.StructField(prefix + f.name, f.dataType) for f in RESULT]
+    docs = without(docs, *[f.name for f in result])
     columns = docs.columns
 
     def make():
@@ -166,11 +167,11 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
             eta = np.array([weights[features(x, memory)].sum(dtype=np.float64) for x in data])
             above = 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - eta[:, None], -40, 40)))
             p = above[:, model.select_from - 1]
-            return {"expected_grade": above.sum(axis=1), "p_select": p, "kept": p >= model.least}
+            return dict(zip([f.name for f in result], (above.sum(axis=1), p, p >= model.least)))
 
         return compute
 
-    return per_batch(docs.withColumn("_data", raw("text")), make, RESULT, columns)
+    return per_batch(docs.withColumn("_data", raw("text")), make, result, columns)
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -179,6 +180,6 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade"))
 
 
-def select(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, least: float = 0.5, prefix: str = "") -> DataFrame:
     """Train on the labelled documents and score every document."""
-    return score(docs, train(docs, grades(labels), n_grades=3, select_from=2, least=least))
+    return score(docs, train(docs, grades(labels), n_grades=3, select_from=2, least=least), prefix)
