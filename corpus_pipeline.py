@@ -23,7 +23,8 @@ LANGUAGES = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier selects."""
     prepare(spark)
-    return ordinal.select(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    scored = ordinal.select(docs, table(spark, sf_dir, "labels"), prefix="_quality_")
+    return scored.where("_quality_kept").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
