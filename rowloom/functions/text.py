@@ -63,7 +63,8 @@ def epoch_millis(at: Column) -> Column:
     return F.unix_millis(at.cast("timestamp"))
 
 
-def to_millis(value: Column) -> Column:
-    """Normalise a mixed epoch column: values below 10^11 are seconds."""
-    value = value.cast("bigint")
-    return F.when(value < 100_000_000_000, value * 1000).otherwise(value)
+def to_millis(value: Column, unit: str | Column) -> Column:
+    """Milliseconds of an epoch value in ``unit``: "s" or "ms", for all rows or per row.
+    Any other unit gives null."""
+    value, unit = value.cast("bigint"), F.lit(unit) if isinstance(unit, str) else unit
+    return F.when(unit == "s", value * 1000).when(unit == "ms", value)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -24,8 +26,12 @@ class Inputs:
     second map. hostname and username come from the context where the item has none.
     """
 
-    def __init__(self, fields: Column, params: Sequence[str], accepts_any: bool, context: Mapping[str, Column]):
+    def __init__(
+        self, fields: Column, params: Sequence[str], accepts_any: bool, context: Mapping[str, Column],
+        columns: Mapping[str, Column] | None = None,
+    ):
         self.fields, self._params, self._any, self._context = fields, params, accepts_any, context
+        self._columns = columns or {}
 
     def __getitem__(self, name: str) -> Column:
         if not self._any and name not in self._params:
@@ -35,6 +41,16 @@ class Inputs:
             return F.when(self.has(name), value).otherwise(self._context[name])
         return value
 
+    def column(self, name: str) -> Column:
+        """A declared input that comes as a column of its own type, such as a file's bytes."""
+        if name not in self._params:
+            raise KeyError(f"{name} is not a declared parameter")
+        return self._columns[name]
+
+    def number(self, name: str) -> Column:
+        """An input as a double; null where it is none, so that one bad value fails one item."""
+        return self[name].try_cast("double")
+
     def has(self, name: str) -> Column:
         return F.map_contains_key(self.fields, name)
 
@@ -63,12 +79,15 @@ class Action:
             inputs = inject_context(inputs, declared, hostname, username)
         return project_params(inputs, declared, self.accepts_any)
 
-    def result(self, inputs: Column, hostname: Column | None = None, username: Column | None = None) -> Column:
+    def result(
+        self, inputs: Column, hostname: Column | None = None, username: Column | None = None,
+        columns: Mapping[str, Column] | None = None,
+    ) -> Column:
         """Result column of a native action."""
         context = {}
         if hostname is not None and username is not None:
             context = {"hostname": empty_to_null(hostname), "username": username}
-        return self.native(Inputs(inputs, self.params, self.accepts_any, context))
+        return self.native(Inputs(inputs, self.params, self.accepts_any, context, columns))
 
 
 def succeed(outputs: Mapping[str, Column] | None = None, primary: str = "", cost: float | None = None) -> Column:
@@ -91,6 +110,18 @@ def fail(message: Column) -> Column:
     )
 
 
+def as_text(value) -> str | None:
+    """An output as text that other tools can read: lists and mappings as JSON, bytes as base64."""
+    if value is None or isinstance(value, str):
+        return value
+    if isinstance(value, (bytes, bytearray)):
+        return base64.b64encode(value).decode()
+    try:
+        return json.dumps(value, default=as_text)
+    except (TypeError, ValueError):
+        return str(value)
+
+
 def _python_result(actions: Mapping[str, Action]):
     """One UDF for all Python actions. Only the inputs travel to Python; rows of
     other actions arrive as null and are passed over."""
@@ -103,7 +134,7 @@ def _python_result(actions: Mapping[str, Action]):
             outputs = action.python(**dict(inputs or {}))
         except Exception as error:  # an item's failure is data, never a failed batch
             return False, str(error), None, "", action.cost
-        texts = {k: None if v is None else str(v) for k, v in (outputs or {}).items()}
+        texts = {k: as_text(v) for k, v in (outputs or {}).items()}
         return True, None, texts, action.primary_output, action.cost
 
     @F.pandas_udf(RESULT)
@@ -124,10 +155,12 @@ def run_action(
     hostname: Column | None = None,
     username: Column | None = None,
     into: str = "result",
+    columns: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Run one action on every row; adds ``result``."""
+    """Run one action on every row; adds ``result``. ``columns`` are typed inputs of a native
+    action; a Python action gets its inputs as texts."""
     if action.native is not None:
-        return df.withColumn(into, action.result(F.col(inputs), hostname, username))
+        return df.withColumn(into, action.result(F.col(inputs), hostname, username, columns))
     bound = action.inputs(F.col(inputs), hostname, username)
     return df.withColumn(into, _python_result({action.action_id: action})(F.lit(action.action_id), bound))
 

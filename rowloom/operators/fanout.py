@@ -1,108 +1,91 @@
 """Fan-out: one row per (job, item) with position and total.
 
-Nothing here numbers a large collection in one task. An item's position is its rank
-within a slice of its collection plus the size of the slices before it. A collection
-has one slice per some millions of items. The slice comes from a hash of the item id,
-so it is the same in every stage and after every retry. The slices are the join key
-with the jobs as well, so that join has no hot key either.
+Nothing here numbers a large collection or stream in one task. The items of a collection
+are ordered by a hash of their id, those of a stream by time. A position is the rank within
+a block (the first digits of the hash, or a span of time) plus the sizes of the blocks
+before it. As a block is a part of the order itself, its width never changes a position.
+Items are read twice: once narrow, to count blocks, and once to rank.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rowloom.functions.ids import file_name
-from rowloom.operators.narrow import keep_keys
 from rowloom.operators.topn import first_per_group
-from rowloom.session import STREAM_READ_LIMIT
 from rowloom.sources.collections import with_item_id
 from rowloom.sources.files import explode_files
 
-SLICE_ROWS = 2_000_000
-MAX_DIGITS = 8
+#: hex digits that tell the blocks of a collection apart, and the span of a stream's block
+BLOCK_DIGITS = 3
+BLOCK_MS = 3_600_000
 
 
-def _sliced(items: DataFrame, slice_rows: int) -> DataFrame:
-    """Add ``_slice``: empty for a collection of up to ``slice_rows`` items, else the
-    first d hex digits of a hash of the item id, 16^d slices being enough.
+def _numbered(rows: DataFrame, counted: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """``rows`` with ``seq`` 1..n and ``n`` per ``key``, by ``_block`` and then ``order``.
 
-    The table of large collections is broadcast: whatever the data, it has at most
-    one row per ``slice_rows`` items.
+    ``counted`` has the same rows with ``key`` and ``_block`` at least.
     """
-    n = F.col("_n")
-    digits = reduce(lambda a, b: a + b, [(n > slice_rows * 16**d).cast("int") for d in range(MAX_DIGITS)])
-    large = (
-        items.groupBy("owner")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(n > slice_rows)
-        .select("owner", digits.alias("_digits"))
+    sizes = counted.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy(key)
+    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        F.col(key).alias("_key"),
+        F.col("_block").alias("_of"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
+        F.sum("_size").over(whole).alias("n"),
     )
-    hashed = F.substring(F.md5("item_id"), F.lit(1), F.col("_digits"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_block").orderBy(*order)))
+    same = (F.col(key) == F.col("_key")) & F.col("_block").eqNullSafe(F.col("_of"))
     return (
-        items.join(F.broadcast(large), "owner", "left")
-        .withColumn("_slice", F.when(F.col("_digits") > 0, hashed).otherwise(F.lit("")))
-        .drop("_digits")
+        ranked.join(sizes, same)
+        .withColumn("seq", (F.col("_before") + F.col("_rank")).cast("bigint"))
+        .drop("_key", "_of", "_before", "_rank")
     )
 
 
 def fan_out_collection(
-    jobs: DataFrame, items: DataFrame, slice_rows: int = SLICE_ROWS
+    jobs: DataFrame, items: DataFrame, digits: int = BLOCK_DIGITS, counted: DataFrame | None = None
 ) -> DataFrame:
     """Every job with every item of its collection, ``seq`` 1..n and total ``n``.
 
-    The store gives a collection in no fixed order. We fix one that can be counted
-    in parallel: slice (one for all but large collections), item id, ``object_id``.
+    The store gives a collection in no fixed order. Ours is the hash of the item id, then
+    item id and ``object_id``. ``counted`` may give the same items without what was joined
+    to them, to be counted more cheaply. Jobs are few beside items; where their side is too
+    large to be broadcast, adaptive skew handling splits a hot collection.
     """
-    items = keep_keys(items, jobs.select(F.col("collection_owner").alias("owner")), "owner")
-    sliced = _sliced(with_item_id(items), slice_rows)
-    # narrow scan, counted map-side: one row per (owner, slice)
-    sizes = sliced.groupBy("owner", "_slice").agg(F.count(F.lit(1)).alias("_size"))
-    of_owner = Window.partitionBy("owner")
-    before = of_owner.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        "owner",
-        "_slice",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(of_owner).alias("n"),
-    )
-    work = jobs.join(
-        sizes.withColumnRenamed("owner", "collection_owner"), "collection_owner", "inner"
-    )
-    in_slice = Window.partitionBy("owner", "_slice").orderBy("item_id", "object_id")
-    ranked = sliced.withColumn("_rank", F.row_number().over(in_slice))
-    ranked = ranked.withColumnsRenamed({c: f"item_{c}" for c in items.columns})
-    return (
-        ranked.join(
-            work.withColumnRenamed("_slice", "_work_slice"),
-            (F.col("item_owner") == F.col("collection_owner")) & (F.col("_slice") == F.col("_work_slice")),
-            "inner",
-        )
-        .withColumn("seq", (F.col("_before") + F.col("_rank")).cast("bigint"))
-        .drop("_slice", "_work_slice", "_before", "_rank")
-    )
+    hashed = lambda df: with_item_id(df).withColumn("_hash", F.md5("item_id"))
+    blocked = lambda df: hashed(df).withColumn("_block", F.substring("_hash", 1, digits))
+    rows = blocked(items)
+    narrow = blocked(items if counted is None else counted).select("owner", "_block")
+    ranked = _numbered(rows, narrow, "owner", [F.col("_hash"), F.col("item_id"), F.col("object_id")])
+    ranked = ranked.drop("_hash", "_block").withColumnsRenamed({c: f"item_{c}" for c in items.columns})
+    return ranked.join(jobs, F.col("item_owner") == F.col("collection_owner"))
 
 
 def fan_out_stream(
     jobs: DataFrame,
     events: DataFrame,
-    limit: int = STREAM_READ_LIMIT,
-    after_timestamp: int = 0,
+    limit: int | None = None,
+    after_timestamp: int | None = None,
     tie: str = "object_id",
+    block_ms: int = BLOCK_MS,
 ) -> DataFrame:
-    """Every job with the first ``limit`` items of its stream in time order.
+    """Every job with the items of its stream in time order; items without a time first.
 
-    The limit is applied per stream before the join, so each stream enters the join
-    with at most ``limit`` rows however long it is, and two jobs on one stream share
-    the ranking. ``n`` is the number of items read.
+    Without ``limit`` these are all items. With it, each stream enters the join with its
+    first ``limit`` rows however long it is. ``n`` is the number of items read.
     """
-    wanted = keep_keys(events.filter(F.col("timestamp") > after_timestamp), jobs, "stream_id")
-    first = first_per_group(wanted, ["stream_id"], [F.col("timestamp"), F.col(tie)], limit)
-    first = first.withColumn("seq", F.col("seq").cast("bigint")).withColumn(
-        "n", F.count(F.lit(1)).over(Window.partitionBy("stream_id"))
-    )
+    wanted = events if after_timestamp is None else events.filter(F.col("timestamp") > after_timestamp)
+    if limit is None:
+        rows = wanted.withColumn("_block", F.floor(F.col("timestamp") / block_ms))
+        first = _numbered(rows, rows, "stream_id", [F.col("timestamp"), F.col(tie)]).drop("_block")
+    else:
+        first = first_per_group(wanted, ["stream_id"], [F.col("timestamp"), F.col(tie)], limit)
+        total = F.count(F.lit(1)).over(Window.partitionBy("stream_id"))
+        first = first.withColumn("seq", F.col("seq").cast("bigint")).withColumn("n", total)
     first = first.withColumnsRenamed({c: f"item_{c}" for c in events.columns})
     return first.join(jobs, F.col("item_stream_id") == jobs["stream_id"], "inner")
 

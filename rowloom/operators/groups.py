@@ -2,41 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import DataFrame, functions as F
+#: letters of a pattern that an email must contain, by which rules and users are joined
+LETTERS = 3
+#: rules without such letters that one pass over the users may hold
+MOST_OPEN_RULES = 1_000
 
-RULES_PER_PASS = 200
 
+def required_letters(pattern: Column) -> Column:
+    """The first letters of a pattern when every match must contain them; else null.
 
-def _blocks(groups: DataFrame) -> Iterator[list]:
-    rules = (
-        groups.filter(F.coalesce(F.col("add_to_user_on_signup"), F.lit(False)))
-        .filter(F.coalesce(F.col("email_regex_match"), F.lit("")) != "")
-        .select("group_id", "email_regex_match")
-        .distinct()
-        .toLocalIterator()
-    )
-    while block := list(islice(rules, RULES_PER_PASS)):
-        yield block
+    They are plain characters right at its beginning, nothing after them can undo them, and
+    the pattern has neither alternatives nor flags.
+    """
+    found = F.regexp_extract(pattern, rf"^\^?([A-Za-z0-9@_-]{{{LETTERS}}})(?![*?{{])", 1)
+    return F.when((found != "") & ~F.contains(pattern, F.lit("|")) & ~F.contains(pattern, F.lit("(?")), found)
 
 
 def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
     """(user_id, group_id) for sign-up groups whose pattern is found in the email.
 
-    Groups are rules written by administrators, read in blocks and turned into
-    literal patterns: each is compiled once, and every block is one narrow pass over
-    the users with no join. A join on ``rlike`` would compare all pairs and compile
-    a pattern per pair.
+    Rules that begin with plain letters are joined with the users whose email contains these
+    letters, and verified; so a user only meets rules that may fit. The others, which any
+    email may fit, are tried in one narrow pass; there may be ``MOST_OPEN_RULES`` of them.
     """
-    passes = None
-    for block in _blocks(groups):
-        hits = [
-            F.when(F.col("email").rlike(r["email_regex_match"]), F.lit(r["group_id"])) for r in block
-        ]
-        found = users.select("user_id", F.explode(F.filter(F.array(*hits), lambda g: g.isNotNull())).alias("group_id"))
-        passes = found if passes is None else passes.unionByName(found)
-    if passes is None:
-        return users.select("user_id", F.lit(None).cast("string").alias("group_id")).limit(0)
-    return passes
+    rules = (
+        groups.filter(F.coalesce(F.col("add_to_user_on_signup"), F.lit(False)))
+        .filter(F.coalesce(F.col("email_regex_match"), F.lit("")) != "")
+        .select("group_id", "email_regex_match")
+        .distinct()
+        .withColumn("_letters", required_letters(F.col("email_regex_match")))
+    )
+    open_rules = rules.filter(F.col("_letters").isNull()).limit(MOST_OPEN_RULES + 1).collect()
+    if len(open_rules) > MOST_OPEN_RULES:
+        raise ValueError(f"more than {MOST_OPEN_RULES} rules begin without {LETTERS} plain letters")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("email") - LETTERS + 1))
+    letters = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("email"), i, F.lit(LETTERS))))
+    near = users.filter(F.col("email").isNotNull()).select("user_id", "email", F.explode(letters).alias("_letters"))
+    found = near.join(rules.filter(F.col("_letters").isNotNull()), "_letters")
+    found = found.filter(F.expr("email rlike email_regex_match")).select("user_id", "group_id")
+    if not open_rules:
+        return found
+    hits = [F.when(F.col("email").rlike(r["email_regex_match"]), F.lit(r["group_id"])) for r in open_rules]
+    any_ = F.explode(F.filter(F.array(*hits), lambda g: g.isNotNull()))
+    return found.unionByName(users.select("user_id", any_.alias("group_id")))

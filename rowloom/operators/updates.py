@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from rowloom.functions.inputs import overlay
 from rowloom.schemas import FIELDS
 
+NO_ID = "unknown"  # fixed value: the id of an item that has none
+
 
 def derive_mappings(scripts: DataFrame, key: str = "object_id") -> DataFrame:
     """(key, source, target) from each script's first UPDATE_VALUES node.
@@ -84,10 +86,11 @@ def update_back(
 ) -> DataFrame:
     """Items with outputs of succeeded runs set on their fields.
 
-    Adds ``updated``. A result whose item is gone changes nothing. The join key is
-    the item id, unique in ``items``, so neither side has a hot key.
+    Adds ``updated``. A result whose item is gone changes nothing, nor does one of an item
+    without an id: such items share a stand-in for one, and are not written to. The join key
+    is the item id, unique in ``items``, so neither side has a hot key.
     """
-    updates = planned_updates(results, key, order)
+    updates = planned_updates(results.filter(F.col(key) != NO_ID), key, order)
     return (
         items.join(updates, key, "left")
         .withColumn("updated", F.col("_updates").isNotNull())
@@ -100,4 +103,5 @@ def update_back(
 
 def missing_items(items: DataFrame, results: DataFrame, key: str = "item_id") -> DataFrame:
     """Keys of results whose item does not exist: a warning, not a failure."""
-    return results.select(key).join(items.select(key), key, "left_anti").distinct()
+    known = items.select(key).filter(F.col(key) != NO_ID)
+    return results.select(key).distinct().join(known, key, "left_anti")

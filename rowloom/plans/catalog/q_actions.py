@@ -55,7 +55,7 @@ def _(t: Tables):
 
 
 def _double(inputs: Inputs) -> Column:
-    return succeed({"twice": inputs["value"].cast("double") * 2})
+    return succeed({"twice": inputs.number("value") * 2})
 
 
 def _shadowed(_inputs: Inputs) -> Column:

@@ -8,7 +8,7 @@ from rowloom.operators.groups import match_groups
 from rowloom.operators.updates import derive_mappings, update_back
 from rowloom.plans.catalog.q_scalars import only_if
 from rowloom.plans.catalog.registry import (
-    COLLECTION_JOBS, COLLECTION_ROWS, TYPE_STREAMS, Tables, query, text,
+    COLLECTION_ITEMS, COLLECTION_JOBS, COLLECTION_ROWS, TYPE_STREAMS, Tables, query, text,
 )
 from rowloom.schemas import MAPPINGS
 from rowloom.sources.collections import exclude_jobs, with_item_id
@@ -16,7 +16,7 @@ from rowloom.sources.collections import exclude_jobs, with_item_id
 FAN_OUT = f"""{COLLECTION_ROWS}, {COLLECTION_JOBS}, fan_out AS (
     SELECT j.object_id AS job_id, i.*,
            row_number() OVER (PARTITION BY j.object_id
-                              ORDER BY i.item_id, i.object_id) AS seq,
+                              ORDER BY md5(i.item_id), i.item_id, i.object_id) AS seq,
            count(*) OVER (PARTITION BY j.object_id) AS n
     FROM collection_jobs j JOIN collection_rows i ON i.owner = j.collection_owner)"""
 
@@ -32,7 +32,7 @@ def _(t: Tables):
     SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY timestamp, object_id) AS seq FROM type_streams)
 SELECT 'h1/ops/job.s-' || event_type AS job_id, object_id, timestamp, seq,
        count(*) OVER (PARTITION BY stream_id) AS n
-FROM ranked WHERE seq <= 10000""")
+FROM ranked""")
 def _(t: Tables):
     rows = fan_out_stream(t.stream_jobs, t.type_streams)
     return rows.select(
@@ -50,23 +50,27 @@ def _(t: Tables):
     return fan_out_files(t.file_jobs).select(F.col("object_id").alias("job_id"), "seq", "key", "filename", "prefix")
 
 
-@query("update_back", f"""WITH {COLLECTION_ROWS}
+@query("update_back", f"""WITH {COLLECTION_ITEMS}, collection_rows AS (
+    SELECT *, CASE WHEN doc_id % 40 = 1 THEN 'unknown' ELSE coalesce(pk, object_id) END AS item_id
+    FROM collection_items WHERE NOT contains(coalesce(pk, ''), '/job.'))
 SELECT i.item_id, i.lang,
        CASE WHEN l.doc_id IS NULL OR i.doc_id % 2 = 1 THEN 'old' ELSE CAST(l.quality AS VARCHAR) END AS score,
        CASE WHEN l.doc_id IS NOT NULL AND i.doc_id % 5 <> 0 THEN CAST(l.toxic AS VARCHAR) END AS flag,
        l.doc_id IS NOT NULL AND (i.doc_id % 2 = 0 OR i.doc_id % 5 <> 0) AS updated
-FROM collection_rows i LEFT JOIN labels l ON l.doc_id = i.doc_id""")
+FROM collection_rows i LEFT JOIN labels l ON l.doc_id = i.doc_id AND i.item_id <> 'unknown'""")
 def _(t: Tables):
-    items = with_item_id(exclude_jobs(t.collection_items)).withColumn(
+    # some items have neither pk nor object_id; nothing may be written to those
+    doc = F.col("doc_id")
+    rows = exclude_jobs(t.collection_items).withColumn("object_id", F.when(doc % 40 != 1, F.col("object_id")))
+    items = with_item_id(rows).withColumn(
         "fields", fields_of({"lang": F.col("lang"), "score": F.lit("old")})
     )
-    doc = F.col("doc_id")
-    labels = t.read("labels").select(F.col("doc_id").cast("string").alias("object_id"), "quality", "toxic")
+    labels = t.read("labels").select("doc_id", "quality", "toxic")
     mappings = F.array(
         F.struct(F.lit("q").alias("source"), F.lit("score").alias("target")),
         F.struct(F.lit("t").alias("source"), F.lit("flag").alias("target")),
     ).cast(MAPPINGS)
-    results = items.join(labels, "object_id").select(
+    results = items.join(labels, "doc_id").select(
         "item_id",
         overlay(
             only_if(doc % 2 == 0, {"q": F.col("quality")}), only_if(doc % 5 != 0, {"t": F.col("toxic")})

@@ -28,9 +28,9 @@ def _(t: Tables):
 @query("read_stream", f"""WITH {TYPE_STREAMS}
 SELECT stream_id, timestamp, object_id, value FROM type_streams
 WHERE stream_id = 'h1/ops/stream.click' AND timestamp > 1704153600000
-ORDER BY timestamp, object_id LIMIT 10000""")
+ORDER BY timestamp, object_id LIMIT 500""")
 def _(t: Tables):
-    found = read_stream(t.type_streams, "h1/ops/stream.click", after_timestamp=1_704_153_600_000)
+    found = read_stream(t.type_streams, "h1/ops/stream.click", after_timestamp=1_704_153_600_000, limit=500)
     return found.select("stream_id", "timestamp", "object_id", "value")
 
 

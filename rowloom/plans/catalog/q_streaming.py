@@ -13,8 +13,12 @@ from rowloom.streaming.triggers import collection_changes, file_trigger, read_ne
 
 
 def _check_floor(inputs):
-    low = inputs["value"].cast("double") < inputs["floor"].cast("double")
-    return F.when(low, fail(text("below ", inputs["floor"]))).otherwise(succeed({"value": inputs["value"]}))
+    value, floor = inputs.number("value"), inputs.number("floor")
+    return (
+        F.when(value.isNull() | floor.isNull(), fail(F.lit("not a number")))
+        .when(value < floor, fail(text("below ", inputs["floor"])))
+        .otherwise(succeed({"value": inputs["value"]}))
+    )
 
 
 FLOOR = Action("event.floor", ("value", "floor"), native=_check_floor)
@@ -32,17 +36,20 @@ def live(t: Tables) -> DataFrame:
 
 @query("run_on_stream_incremental", f"""
 SELECT 'h1/ops/job.s-' || event_type AS job_id, 'h1/ops/stream-run-all.s-' || event_type AS stream_id,
-       'h1/ops/stream.' || event_type || '@' || {MS} AS object_id, {MS} AS timestamp, value >= 50 AS success,
-       CASE WHEN value < 50 THEN 'below 50' END AS error_message
+       'h1/ops/stream.' || event_type || '@' || {MS} AS object_id, {MS} AS timestamp, event_id AS seq,
+       value >= 50 AND event_id % 10 > 0 AS success,
+       CASE WHEN event_id % 10 = 0 THEN 'not a number' WHEN value < 50 THEN 'below 50' END AS error_message
 FROM events""")
 def _(t: Tables):
     out = scratch_path(t.spark, "receipts")
-    fields = fields_of({"value": F.col("value"), "event_type": F.col("event_type")})
+    # every tenth value is malformed: it fails its own item and no other
+    value = F.when(F.col("event_id") % 10 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
+    fields = fields_of({"value": value, "event_type": F.col("event_type")})
     run_on_stream_incremental(
-        live(t), lambda: t.stream_jobs, FLOOR, fields, out, scratch_path(t.spark, "offsets")
+        live(t), lambda: t.stream_jobs, FLOOR, fields, out, scratch_path(t.spark, "offsets"), event_key="event_id"
     )
     receipts = t.spark.read.parquet(out)
-    return receipts.select("job_id", "stream_id", "object_id", "timestamp", "success", "error_message")
+    return receipts.select("job_id", "stream_id", "object_id", "timestamp", "seq", "success", "error_message")
 
 
 @query("live_counts", """
@@ -77,22 +84,23 @@ def _(t: Tables):
     return t.spark.read.parquet(out).drop("batch_id")
 
 
-def _count_lines(key, content):
-    # inputs are text; the file's bytes arrive base64-coded
-    import base64
-
-    return {"lines": base64.b64decode(content).count(b"\n")}
+def _count_titles(inputs):
+    body = inputs.column("content").cast("string")
+    times = lambda part: F.length(body) - F.length(F.replace(body, F.lit(part), F.lit("")))
+    return succeed({"pages": times("\n"), "titles": times("<h1>") / 4, "chars": F.length(body)})
 
 
-COUNT_LINES = Action("file.count_lines", ("key", "content"), python=_count_lines)
+COUNT_TITLES = Action("file.count_titles", ("key", "content"), native=_count_titles)
 
 
 @query("file_trigger", """
-SELECT substring(url, 1, 5) AS kind, count(*) AS lines FROM pages WHERE page_id % 4 < 3 GROUP BY 1""")
+SELECT substring(url, 1, 5) AS kind, count(*) AS pages,
+       CAST(sum((length(html) - length(replace(html, '<h1>', ''))) // 4) AS BIGINT) AS titles
+FROM pages WHERE page_id % 4 < 3 GROUP BY 1""")
 def _(t: Tables):
     # pages become files of at most 5,000 lines: inbox/kind=…/part-*.json, and one kind of name not asked for
     inbox = scratch_path(t.spark, "inbox")
-    pages = t.read("pages").select("page_id", F.substring("url", 1, 5).alias("kind"))
+    pages = t.read("pages").select("page_id", "html", F.substring("url", 1, 5).alias("kind"))
     writer = lambda rows, name: (
         rows.write.partitionBy("kind").option("maxRecordsPerFile", 5_000).json(f"{inbox}/{name}")
     )
@@ -101,27 +109,27 @@ def _(t: Tables):
     files = read_new_binary_files(t.spark, inbox, "*.json")
     key = F.substring_index("path", "/inbox/", -1)
     done = file_trigger(
-        files, COUNT_LINES, "wanted/", ["part-*.json"], recursive=True,
-        values={"content": F.base64("content")}, key=key,
-    )
-    rows = done.select(
-        F.regexp_extract("path", "kind=([^/]*)/", 1).alias("kind"),
-        F.try_element_at("result.outputs", F.lit("lines")).cast("bigint").alias("lines"),
+        files, COUNT_TITLES, "wanted/", ["part-*.json"], recursive=True, key=key, columns={"content": F.col("content")}
     )
+    number = lambda n: F.try_element_at("result.outputs", F.lit(n)).cast("double").cast("bigint").alias(n)
+    rows = done.select(F.regexp_extract("path", "kind=([^/]*)/", 1).alias("kind"), number("pages"), number("titles"))
     out = scratch_path(t.spark, "counted")
     drain(rows, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch_id={i}"), scratch_path(t.spark, "offsets"))
-    counted = t.spark.read.parquet(out).groupBy("kind").agg(F.sum("lines").alias("lines"))
-    return counted.select(F.url_decode("kind").alias("kind"), "lines")
+    counted = t.spark.read.parquet(out).groupBy("kind").agg(F.sum("pages").alias("pages"), F.sum("titles").alias("titles"))
+    return counted.select(F.url_decode("kind").alias("kind"), "pages", "titles")
 
 
 @query("collection_changes", """
 SELECT doc_id, CASE WHEN doc_id % 14 = 7 THEN NULL ELSE lang END AS lang,
        n_chars + CASE WHEN doc_id % 14 = 0 THEN 1 ELSE 0 END AS n_chars
-FROM documents WHERE doc_id % 7 = 0""")
+FROM documents WHERE doc_id % 7 < 2""")
 def _(t: Tables):
     key = F.col("doc_id")
     old = t.read("documents").select("doc_id", "text", "lang", "n_chars")
-    new = old.withColumns({
+    # a null in a list, and the word for it
+    tags = lambda missing: F.array(F.when(key % 7 == 1, missing).otherwise(F.col("lang")))
+    old, plain = old.withColumn("tags", tags(F.lit(None))), old
+    new = plain.withColumn("tags", tags(F.lit("null"))).withColumns({
         "lang": F.when(key % 14 != 7, F.col("lang")),
         "n_chars": F.col("n_chars") + F.when(key % 14 == 0, 1).otherwise(0),
     })

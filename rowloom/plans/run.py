@@ -16,15 +16,20 @@ from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
 from rowloom.operators.progress import job_progress
 from rowloom.operators.rollup import finish_jobs, job_counts
 from rowloom.operators.updates import update_back
-from rowloom.schemas import SINGLETON
-from rowloom.session import STREAM_READ_LIMIT, materialise
+from rowloom.schemas import MAPPINGS, SINGLETON
+from rowloom.session import materialise
+from rowloom.sinks.receipts import append_receipts
 from rowloom.sources.collections import exclude_jobs, with_item_id
 
+CARRIED = ("job_id", "action_id", "hostname", "username")
+
 
 def _job_columns(jobs: DataFrame) -> list[Column]:
     return [
         F.col("object_id").alias("job_id"),
         receipt_stream_id(F.col("hostname"), F.col("username"), F.col("object_id")).alias("receipt_stream"),
+        F.col("hostname"),
+        F.col("username"),
         F.col("input_data"),
         (F.col("action_id") if "action_id" in jobs.columns else F.lit(None).cast("string")).alias("action_id"),
     ]
@@ -43,23 +48,23 @@ def _spread(work: DataFrame) -> DataFrame:
     return work.repartition("job_id", "seq")
 
 
-def collection_work(jobs: DataFrame, items: DataFrame) -> DataFrame:
+def collection_work(jobs: DataFrame, items: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     wanted = jobs.filter(F.col("job_type") == "run_on_collection").select("collection_owner", *_job_columns(jobs))
-    rows = fan_out_collection(wanted, exclude_jobs(items))
+    rows = fan_out_collection(wanted, exclude_jobs(items), counted=None if counted is None else exclude_jobs(counted))
     return rows.select(
-        "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", "item_id",
+        *CARRIED, F.col("receipt_stream").alias("stream_id"), "seq", "n", "item_id",
         bind_inputs(F.col("input_data"), _document(), {"object_id": F.col("item_id")}).alias("inputs"),
     )
 
 
-def stream_work(jobs: DataFrame, events: DataFrame, limit: int = STREAM_READ_LIMIT) -> DataFrame:
+def stream_work(jobs: DataFrame, events: DataFrame, limit: int | None = None) -> DataFrame:
     wanted = jobs.filter(F.col("job_type") == "run_on_stream").select("stream_id", *_job_columns(jobs))
     rows = fan_out_stream(wanted, events, limit)
     at, source = F.col("item_timestamp"), F.col("stream_id")
     bound = bind_inputs(F.col("input_data"), F.col("item_fields"), {"stream_id": source, "timestamp": at})
     return _spread(
         rows.select(
-            "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n",
+            *CARRIED, F.col("receipt_stream").alias("stream_id"), "seq", "n",
             stream_item_id(source, at).alias("item_id"), bound.alias("inputs"),
         )
     )
@@ -69,7 +74,7 @@ def single_work(jobs: DataFrame) -> DataFrame:
     """Jobs that run once, on their own input; the job id is one of the inputs."""
     wanted = jobs.filter(F.col("job_type") == SINGLETON).select(*_job_columns(jobs))
     return wanted.select(
-        "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), F.lit(1).cast("bigint").alias("seq"),
+        *CARRIED, F.col("receipt_stream").alias("stream_id"), F.lit(1).cast("bigint").alias("seq"),
         F.lit(1).cast("bigint").alias("n"), F.col("job_id").alias("item_id"),
         bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), {"job_id": F.col("job_id")}).alias("inputs"),
     )
@@ -84,7 +89,7 @@ def file_work(jobs: DataFrame) -> DataFrame:
     }
     return _spread(
         rows.select(
-            "job_id", "action_id", F.col("receipt_stream").alias("stream_id"), "seq", "n", F.col("key").alias("item_id"),
+            *CARRIED, F.col("receipt_stream").alias("stream_id"), "seq", "n", F.col("key").alias("item_id"),
             bind_inputs(F.col("input_data"), F.lit(None).cast("map<string,string>"), system).alias("inputs"),
         )
     )
@@ -108,8 +113,11 @@ class Run:
         return job_progress(self.receipts)
 
     def updated_items(self, items: DataFrame, mappings: DataFrame) -> DataFrame:
-        """Items with outputs written back; ``mappings`` is (object_id, mappings)
-        per job. Collections only."""
+        """Items with outputs written back; ``mappings`` is (object_id, mappings) per job, or
+        (object_id, source, target) as ``derive_mappings`` gives. Collections only."""
+        if "mappings" not in mappings.columns:
+            pairs = F.sort_array(F.collect_list(F.struct("source", "target")))  # a script's links
+            mappings = mappings.groupBy("object_id").agg(pairs.cast(MAPPINGS).alias("mappings"))
         good = self.receipts.filter(F.col("success") & F.col("outputs").isNotNull())
         planned = good.join(mappings.withColumnRenamed("object_id", "job_id"), "job_id").select(
             F.col("object_id").alias("item_id"), "outputs", "mappings",
@@ -125,15 +133,25 @@ def run_jobs(
     items: DataFrame | None = None,
     events: DataFrame | None = None,
     forced_type: str | None = None,
-    limit: int = STREAM_READ_LIMIT,
+    limit: int | None = None,
+    collection_owner: str | None = None,
+    stream_id: str | None = None,
+    receipts_path: str | None = None,
 ) -> Run:
     """Run an action over everything the jobs point at: one action for all jobs, or
     registries from which every job picks by its ``action_id``.
 
     Actions may have side effects and must run once per item, so receipts are
-    written to the shared folder before anything branches off them.
+    written to the shared folder before anything branches off them. hostname and username
+    of the job reach actions that declare them. A job whose kind of source was not given
+    is rejected. With ``receipts_path`` the receipts are also appended there.
     """
-    checked = validate_jobs(resolve_jobs(jobs, forced_type))
+    checked = validate_jobs(resolve_jobs(jobs, forced_type, collection_owner, stream_id))
+    for kind, source in (("run_on_collection", items), ("run_on_stream", events)):
+        if source is None:
+            missing = (F.col("job_type") == kind) & F.col("reject_reason").isNull()
+            reason = F.when(missing, f"no items were given for {kind}").otherwise(F.col("reject_reason"))
+            checked = checked.withColumn("reject_reason", reason)
     rejected = checked.filter(F.col("reject_reason").isNotNull())
     valid, cancelled = split_cancelled(checked.filter(F.col("reject_reason").isNull()))
 
@@ -147,11 +165,14 @@ def run_jobs(
         DataFrame.unionByName,
         [part.withColumn("job_type", F.lit(kind)) for kind, part in parts if part is not None],
     )
-    results = run_action(work, action) if isinstance(action, Action) else dispatch_actions(work, action)
+    run = run_action if isinstance(action, Action) else dispatch_actions
+    results = run(work, action, hostname=F.col("hostname"), username=F.col("username"))
     keep = ("job_id", "job_type", "stream_id", "seq")
     stored = materialise(build_receipts(results, F.lit(clock_ms), keep), "receipts")
     once = F.col("job_type") == SINGLETON
     receipts = stored.filter(~once).drop("job_type")
+    if receipts_path is not None:
+        append_receipts(receipts, receipts_path)
 
     final = finish_jobs(valid.filter(~once), job_counts(receipts))
     singles = stored.filter(once).select(

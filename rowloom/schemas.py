@@ -24,7 +24,6 @@ MODE_REQUIRED = {
 }
 
 STATUSES = ("INITIALIZING", "RUNNING", "FAILED", "SUCCEEDED")
-EVENT_TYPES = ("PING", "BLOB_CREATED", "BLOB_DELETED", "GENERIC", "SLACK")
 
 FIELDS = "map<string,string>"
 
@@ -96,8 +95,3 @@ VALUE_FIELDS = {
     "json_data": "string",
 }
 VALUE = "struct<ptype:string," + ",".join(f"{name}:{kind}" for name, kind in VALUE_FIELDS.items()) + ">"
-
-
-def struct_of(params: dict[str, str]) -> str:
-    """DDL of the inputs or outputs declared as {name: tag}."""
-    return ", ".join(f"`{name}` {TYPE_OF_TAG[tag][1]}" for name, tag in params.items())

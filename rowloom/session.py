@@ -9,8 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STREAM_READ_LIMIT = 10_000
-
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -20,8 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.requireAllClusterKeysForDistribution": "true",
     # a later map hides an earlier one key by key
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    # lets "first n of each stream" drop rows before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": str(STREAM_READ_LIMIT),
+    # "first n of each stream" drops rows before the shuffle, whatever n is
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
 }
 
 
@@ -66,13 +64,14 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder, because there the
-    driver and the executors are one process.
+    Only a ``local[...]`` session may fall back to a temporary folder, because there the
+    driver and the executors are one process; clusters of any kind must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="rowloom-")
     spark.conf.set("spark.checkpoint.dir", root)

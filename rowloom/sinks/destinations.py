@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from rowloom.sinks.documents import save_documents
+from rowloom.sinks.documents import upsert_into
 from rowloom.sinks.files import write_files
 from rowloom.sinks.receipts import append_receipts
 
@@ -26,6 +26,7 @@ def route(df: DataFrame, destination: Mapping[str, str]) -> DataFrame | None:
 def write_destination(df: DataFrame, destination: Mapping[str, str]) -> str | None:
     """Write rows to a STREAM, a COLLECTION or FILEs; an inactive one writes nothing.
 
+    A COLLECTION keeps the documents it has; those of the same ``object_id`` are replaced.
     Returns the folder written to.
     """
     rows = route(df, destination)
@@ -37,5 +38,5 @@ def write_destination(df: DataFrame, destination: Mapping[str, str]) -> str | No
             return None
         return path
     if kind == "COLLECTION":
-        return f"{path}/v{save_documents(rows, path)}"
+        return f"{path}/v{upsert_into(rows, path)}"
     return write_files(rows, path, destination.get("extension", "parquet"))

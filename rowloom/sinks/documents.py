@@ -48,13 +48,33 @@ def save_documents(documents: DataFrame, root: str) -> int:
     """Write a new version next to the old one and return its number.
 
     A version counts once its write has committed, so readers never see half of one
-    and a plan that reads the old version can write the new one.
+    and a plan that reads the old version can write the new one. Of two writers that take
+    the same number the later fails and must start again from what the first one wrote.
     """
-    version = current_version(documents.sparkSession, root) + 1
-    documents.write.mode("overwrite").parquet(f"{root}/v{version}")
+    spark = documents.sparkSession
+    version = current_version(spark, root) + 1
+    files, folder = _folder(spark, f"{root}/v{version}")
+    files.mkdirs(folder.getParent())
+    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.v{version}.claim")
+    if not files.createNewFile(claim):
+        raise RuntimeError(f"version {version} of {root} is being written by another run")
+    try:
+        # what a writer that died left there is not a version; the claim makes it ours
+        documents.write.mode("overwrite").parquet(f"{root}/v{version}")
+    finally:
+        files.delete(claim, False)
     return version
 
 
+def upsert_into(documents: DataFrame, root: str, key: str = "object_id", order: str | None = None) -> int:
+    """Upsert into the current version under ``root``; the first write makes one."""
+    spark = documents.sparkSession
+    if current_version(spark, root) == 0:
+        return save_documents(documents, root)
+    base = read_documents(spark, root)
+    return save_documents(upsert_documents(base, documents, key, order), root)
+
+
 def merge_documents(new: DataFrame, table: str, key: str = "object_id") -> None:
     """Upsert into a catalog table whose format supports MERGE; only the files that
     hold changed keys are rewritten. Plain parquet tables do not support it."""

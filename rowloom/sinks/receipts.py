@@ -6,6 +6,8 @@ import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rowloom.session import materialise
+
 log = logging.getLogger(__name__)
 
 BUCKETS = 256
@@ -18,11 +20,13 @@ def stream_bucket(stream_id: Column) -> Column:
 
 
 def append_receipts(receipts: DataFrame, path: str) -> bool:
-    """Append one batch of receipts; false (and a log line) if the write failed.
+    """Append one batch of receipts; false (and a log line) if the append failed.
 
-    A failed receipt write never fails the run. The rebalance hint lets Spark merge
+    The receipts are computed and stored first, and a failure of that work is raised: only
+    the copy into the receipts table never fails a run. The rebalance hint lets Spark merge
     small write tasks and split those of a hot bucket.
     """
+    receipts = materialise(receipts, "receipts-to-append")
     try:
         (
             receipts.withColumn("bucket", stream_bucket(F.col("stream_id")))
@@ -38,22 +42,14 @@ def append_receipts(receipts: DataFrame, path: str) -> bool:
         return False
 
 
-def write_batch_receipts(receipts: DataFrame, path: str, batch_id: int) -> bool:
+def write_batch_receipts(receipts: DataFrame, path: str, batch_id: int) -> None:
     """Receipts of one micro-batch in a folder of its own.
 
     A replayed batch replaces its own folder, so nothing is written twice and the
-    cost does not grow with the receipts already there.
+    cost does not grow with the receipts already there. A failure is raised, so that the
+    batch counts as not handled.
     """
-    return _replace(receipts, f"{path}/batch_id={batch_id}")
-
-
-def _replace(receipts: DataFrame, path: str) -> bool:
-    try:
-        receipts.write.mode("overwrite").parquet(path)
-        return True
-    except Exception as error:
-        log.warning("receipts were not written to %s: %s", path, error)
-        return False
+    receipts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_receipts(spark: SparkSession, path: str, stream_id: str | None = None) -> DataFrame:

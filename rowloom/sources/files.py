@@ -38,10 +38,3 @@ def file_events(
     files: DataFrame, prefix: str, patterns: Sequence[str] = (), recursive: bool = False, key: str = "key"
 ) -> DataFrame:
     return files.filter(file_selected(F.col(key), prefix, patterns, recursive))
-
-
-def list_files(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
-    """Files under a path as rows. Without ``content`` no file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    columns = ["path", "modificationTime", "length"] + (["content"] if content else [])
-    return files.select(*columns)

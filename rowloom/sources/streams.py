@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowloom.operators.topn import first_per_group
-from rowloom.session import STREAM_READ_LIMIT
 
 
 def read_stream(
     events: DataFrame,
     stream_id: str,
-    after_timestamp: int = 0,
-    limit: int = STREAM_READ_LIMIT,
+    after_timestamp: int | None = None,
+    limit: int | None = None,
     tie: str = "object_id",
 ) -> DataFrame:
-    """Bounded read of one stream: items after a time, oldest first, at most ``limit``."""
-    wanted = events.filter((F.col("stream_id") == stream_id) & (F.col("timestamp") > after_timestamp))
-    first = first_per_group(wanted, ["stream_id"], [F.col("timestamp"), F.col(tie)], limit, "_seq")
-    return first.orderBy("_seq").drop("_seq")
+    """Read of one stream, oldest first: items after a time, if one is given, and at most
+    ``limit``, if one is given. A limit keeps that many rows in each task before any is moved."""
+    wanted = events.filter(F.col("stream_id") == stream_id)
+    if after_timestamp is not None:
+        wanted = wanted.filter(F.col("timestamp") > after_timestamp)
+    ordered = wanted.orderBy("timestamp", tie)
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def stream_events(

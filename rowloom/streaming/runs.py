@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from rowloom.operators.actions import Action, build_receipts, run_action
 from rowloom.functions.ids import receipt_stream_id, stream_item_id
 from rowloom.functions.inputs import bind_inputs
-from rowloom.operators.jobs import split_cancelled
+from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
 from rowloom.sinks.receipts import write_batch_receipts
 
 
@@ -37,9 +37,16 @@ def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str
     query.awaitTermination()
 
 
-def bind_stream_items(events: DataFrame, jobs: DataFrame, fields: Column) -> DataFrame:
-    """Events of the jobs' streams with bound inputs, one row per (job, event)."""
-    going, _cancelled = split_cancelled(jobs)
+def bind_stream_items(events: DataFrame, jobs: DataFrame, fields: Column, event_key: str | None = None) -> DataFrame:
+    """Events of the jobs' streams with bound inputs, one row per (job, event).
+
+    Jobs are checked as in a whole run: only valid stream jobs that aren't cancelled take
+    part. ``event_key`` is a number that tells events of one millisecond apart; without it
+    the time is the only key, and a later event of the same time takes the place.
+    """
+    kind = None if "job_type" in jobs.columns else "run_on_stream"
+    checked = validate_jobs(resolve_jobs(jobs, kind)).filter(F.col("reject_reason").isNull())
+    going, _cancelled = split_cancelled(checked.filter(F.col("job_type") == "run_on_stream"))
     side = going.select(
         F.col("object_id").alias("job_id"), "hostname", "username", "stream_id", "input_data"
     )
@@ -49,7 +56,10 @@ def bind_stream_items(events: DataFrame, jobs: DataFrame, fields: Column) -> Dat
         "job_id",
         receipt_stream_id(F.col("hostname"), F.col("username"), F.col("job_id")).alias("receipt_stream"),
         stream_item_id(F.col("stream_id"), F.col("timestamp")).alias("item_id"),
-        F.col("timestamp").alias("seq"),
+        "hostname",
+        "username",
+        "timestamp",
+        F.col(event_key or "timestamp").cast("bigint").alias("seq"),
         bind_inputs(
             F.col("input_data"), fields, {"stream_id": F.col("stream_id"), "timestamp": F.col("timestamp")}
         ).alias("inputs"),
@@ -57,17 +67,25 @@ def bind_stream_items(events: DataFrame, jobs: DataFrame, fields: Column) -> Dat
 
 
 def run_on_stream_incremental(
-    events: DataFrame, jobs: Callable[[], DataFrame], action: Action, fields: Column, out: str, checkpoint: str
+    events: DataFrame,
+    jobs: Callable[[], DataFrame],
+    action: Action,
+    fields: Column,
+    out: str,
+    checkpoint: str,
+    event_key: str | None = None,
 ) -> None:
     """Run an action on every new event of the jobs' streams and write receipts.
 
     ``jobs`` is read again at every micro-batch, so a job cancelled meanwhile gets
     no more items. Receipts carry the item's own time and go to a folder per batch,
-    so a replay after a lost executor or a restart leaves one receipt per item.
+    so a replay after a lost executor or a restart leaves one receipt per item. The write is
+    where the actions run: if it fails, the batch fails and is handled again.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        results = run_action(bind_stream_items(batch, jobs(), fields), action)
-        write_batch_receipts(build_receipts(results, F.col("seq")), out, batch_id)
+        bound = bind_stream_items(batch, jobs(), fields, event_key)
+        results = run_action(bound, action, hostname=F.col("hostname"), username=F.col("username"))
+        write_batch_receipts(build_receipts(results, F.col("timestamp")), out, batch_id)
 
     drain(events, each, checkpoint)
 

@@ -64,16 +64,18 @@ def file_trigger(
     recursive: bool = False,
     values: Mapping[str, Column] | None = None,
     key: Column | None = None,
+    columns: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Run an action with fixed parameters on each file that is selected.
 
     ``files`` is a batch or streaming ``binaryFile`` source; the file's key is added
-    to the inputs as ``key``. ``content`` is read only if a parameter asks for it.
+    to the inputs as ``key``. ``columns`` gives a native action typed inputs, such as the
+    file's bytes; ``content`` is read only if one asks for it.
     """
     at = key if key is not None else F.col("path")
     chosen = files.filter(file_selected(at, prefix, patterns, recursive))
     bound = chosen.withColumn("inputs", fields_of({**(values or {}), "key": at}))
-    return run_action(bound, action).drop("inputs")
+    return run_action(bound, action, columns=columns).drop("inputs")
 
 
 def read_new_binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -106,8 +108,6 @@ def collection_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequen
 
 
 def _digest(columns: Sequence[str]) -> Column:
-    parts = []
-    for name in columns:
-        text = F.col(name).cast("string")
-        parts.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """Digest of typed values: JSON with nulls tells a null from a text and one text from two."""
+    values = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in columns]
+    return F.sha2(F.to_json(F.array(*values)), 256)

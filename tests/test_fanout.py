@@ -21,14 +21,14 @@ def skewed_items():
     return rows
 
 
-@pytest.mark.parametrize("slice_rows", [1, 3, 25, 2000])
-def test_every_job_numbers_every_item_once(spark, slice_rows):
+@pytest.mark.parametrize("digits", [0, 1, 3, 8])
+def test_every_job_numbers_every_item_once_at_any_width(spark, digits):
     rows = skewed_items()
     jobs = [("j1", "hot"), ("j2", "hot"), ("j3", "o5"), ("j4", "nobody"), ("j5", "o6")]
     out = fan_out_collection(
         spark.createDataFrame(jobs, "object_id string, collection_owner string"),
         spark.createDataFrame(rows, ITEMS).repartition(5),
-        slice_rows,
+        digits,
     ).collect()
     of_owner, found = defaultdict(list), defaultdict(list)
     for owner, pk, object_id in rows:
@@ -38,8 +38,7 @@ def test_every_job_numbers_every_item_once(spark, slice_rows):
         found[row["object_id"]].append((row["seq"], row["item_id"], row["n"]))
     for job, owner in jobs:
         mine = of_owner[owner]
-        digits = sum(len(mine) > slice_rows * 16**d for d in range(8))
-        ordered = sorted(mine, key=lambda item: (md5(item.encode()).hexdigest()[:digits], item))
+        ordered = sorted(mine, key=lambda item: (md5(item.encode()).hexdigest(), item))
         assert sorted(found[job]) == [(i, item, len(ordered)) for i, item in enumerate(ordered, 1)]
 
 
@@ -72,6 +71,16 @@ def test_stream_limit_and_empty_stream(spark):
     assert "d" not in per_job
 
 
+@pytest.mark.parametrize("block_ms", [1, 7, 3_600_000])
+def test_streams_are_read_whole_by_default(spark, block_ms):
+    times = [None, -5, 0, 3, 3, 12, 99_999_999]
+    events = [("s", t, str(k)) for k, t in enumerate(times)] + [("t", 1, "x")]
+    jobs = spark.createDataFrame([("j", "s")], "object_id string, stream_id string")
+    out = fan_out_stream(jobs, spark.createDataFrame(events, EVENTS).repartition(3), block_ms=block_ms).collect()
+    assert sorted((r["seq"], r["item_timestamp"], r["n"]) for r in out) == [(i, t, 7) for i, t in enumerate(times, 1)]
+    assert read_stream(spark.createDataFrame(events, EVENTS), "s").count() == 7
+
+
 def test_read_stream_is_strictly_after_and_ordered(spark):
     events = spark.createDataFrame([("s", 3, "b"), ("s", 1, "a"), ("s", 2, "c"), ("s", 3, "a"), ("t", 9, "z")], EVENTS)
     assert [(r[1], r[2]) for r in read_stream(events, "s", 1, 2).collect()] == [(2, "c"), (3, "a")]

@@ -102,7 +102,8 @@ def test_scalars(one):
     assert one(text.mask_secret(F.lit("A_KEY"), F.lit(""))) is None
     assert one(text.mask_secret(F.lit("key"), F.lit("abcdef"))) == "abcdef"
     assert one(text.empty_to_null(F.lit(""))) is None
-    assert one(text.to_millis(F.lit(1_700_000_000))) == one(text.to_millis(F.lit(1_700_000_000_000)))
+    assert one(text.to_millis(F.lit(1_700_000_000), "s")) == one(text.to_millis(F.lit(1_700_000_000_000), "ms"))
+    assert one(text.to_millis(F.lit(5), F.lit("ms"))) == 5 and one(text.to_millis(F.lit(5), "h")) is None
 
 
 @pytest.mark.parametrize(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from rowloom.operators.fanout import fan_out_collection, fan_out_stream
-from rowloom.operators.narrow import keep_keys
+from rowloom.plans.catalog import QUERIES
 from rowloom.operators.progress import job_progress
 from rowloom.operators.rollup import job_counts
 from rowloom.session import scratch_path
@@ -47,20 +47,20 @@ def test_fan_out_prunes_partitions_of_owners_without_jobs(spark, items):
     assert out.count() == 40
 
 
-def test_fan_out_shuffles_rows_by_slice_not_by_owner(spark, items):
+def test_fan_out_ranks_rows_by_block_not_by_owner(spark, items):
     jobs = spark.createDataFrame([("j", "o1")], "object_id string, collection_owner string")
     # even when the rows already lie by owner
     lying = spark.read.parquet(items + "/plain").repartition(4, "owner")
     shown = plan(fan_out_collection(jobs, lying).select("seq", "n", "item_id"))
     for window in re.findall(r"Window \[row_number.*", shown):
-        assert "windowspecdefinition(owner, _slice" in window
-    assert "Exchange hashpartitioning(owner, _slice" in shown
+        assert "windowspecdefinition(owner, _block" in window
+    assert "Exchange hashpartitioning(owner, _block" in shown
 
 
 def test_stream_limit_works_before_each_shuffle(spark, items):
     events = spark.read.parquet(items + "/plain").selectExpr("owner stream_id", "cast(size as bigint) timestamp", "object_id")
     jobs = spark.createDataFrame([("j", "o1")], "object_id string, stream_id string")
-    shown = plan(fan_out_stream(jobs, events))
+    shown = plan(fan_out_stream(jobs, events, limit=20_000))
     limits = re.findall(r"WindowGroupLimit \[(.*?)\].*(Partial|Final)", shown)
     assert limits == [("stream_id", "Final"), ("stream_id", "Partial"), ("stream_id, _slice", "Final"), ("stream_id, _slice", "Partial")]
     # between the scan and the first limit there is no exchange of the events
@@ -84,15 +84,14 @@ def test_counts_read_two_columns_and_fold_before_the_shuffle(spark):
     assert "partial_count" in shown
 
 
-def test_keys_are_broadcast_only_when_counted_as_few(spark):
-    df = spark.range(100).withColumnRenamed("id", "k")
-    keys = spark.range(10).withColumnRenamed("id", "k")
-    assert "BroadcastHashJoin" in plan(keep_keys(df, keys, "k", limit=10))
-    assert keep_keys(df, keys, "k", limit=10).count() == 10
-    assert keep_keys(df, keys, "k", limit=9) is df
-
-
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_query_compares_all_pairs(spark, name):
-    shown = plan(contract.queries()[name](spark, SF_DIR))
+    shown = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in shown and "BroadcastNestedLoopJoin" not in shown
+
+
+def test_a_run_reads_its_items_twice_and_its_labels_once(spark):
+    shown = plan(QUERIES["label_run"](spark, SF_DIR))
+    assert shown.count("labels.parquet") == 1
+    # twice for the items; the jobs of this query are derived from the same table
+    assert shown.count("documents.parquet") <= 4

@@ -131,3 +131,35 @@ def test_latest_and_stats_break_ties_by_seq(spark):
     assert (stats["run_count"], stats["error_count"], stats["last_err_message"], stats["last_object_id"]) == (3, 2, "e1", "b")
     quiet = trigger_stats(df.filter("success"), ["k"]).first()
     assert quiet["last_err_at"] is None and quiet["last_err_message"] is None
+
+
+def test_context_source_and_typed_outputs(spark):
+    items = spark.createDataFrame([("o", "o.1", "1", {}), ("o", None, None, {})], "owner string, pk string, object_id string, fields map<string,string>")
+    table = spark.createDataFrame(
+        [("h/u/job.c", "h", "u", "run_on_collection", "", None), ("h/u/job.s", "h", "u", "run_on_stream", None, "st")],
+        "object_id string, hostname string, username string, job_type string, collection_owner string, stream_id string",
+    ).withColumn("input_data", F.create_map().cast("map<string,string>"))
+    script = Action("who", ("username",), python=lambda username: {"who": username, "l": [1, "a"], "b": b"ab", "t": True})
+    run = run_jobs(table, script, 1, items=items, collection_owner="o")
+    rows = {r["object_id"]: r["outputs"] for r in run.receipts.collect()}
+    assert rows == {k: {"who": "u", "l": '[1, "a"]', "b": "YWI=", "t": "true"} for k in ("o.1", "unknown")}
+    assert {r["object_id"]: r["reject_reason"] for r in run.rejected.collect()} == {"h/u/job.s": "no items were given for run_on_stream"}
+    links = spark.createDataFrame([("h/u/job.c", "who", "owner_name")], "object_id string, source string, target string")
+    updated = {r["item_id"]: r["fields"] for r in run.updated_items(items, links).collect()}
+    assert updated == {"o.1": {"owner_name": "u"}, "unknown": {}}
+
+
+def test_receipts_of_a_run_are_appended(spark):
+    from rowloom.session import scratch_path
+    from rowloom.sinks.receipts import read_receipts
+
+    items = spark.createDataFrame([("o", f"o.{i}", str(i), {"mark": "x" if i == 2 else "9"}) for i in range(4)], "owner string, pk string, object_id string, fields map<string,string>")
+    table = spark.createDataFrame(
+        [("h/u/job.c", "h", "u", "run_on_collection", "o", {"floor": "1"})],
+        "object_id string, hostname string, username string, job_type string, collection_owner string, input_data map<string,string>",
+    )
+    path = scratch_path(spark, "all-receipts")
+    for clock in (1, 2):
+        run_jobs(table, GRADE, clock, items=items, receipts_path=path)
+    got = read_receipts(spark, path).collect()
+    assert len(got) == 8 and sorted(r["object_id"] for r in got if not r["success"]) == ["o.2", "o.2"]

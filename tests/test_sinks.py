@@ -23,11 +23,34 @@ def test_receipts_append_and_read_one_stream(spark):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
-def test_failed_receipt_write_is_reported_not_raised(spark, tmp_path):
+def test_only_the_copy_of_receipts_may_fail(spark, tmp_path):
     blocked = tmp_path / "file"
     blocked.write_text("in the way")
     assert append_receipts(receipts(spark, "a"), f"file://{blocked}/sub") is False
-    assert write_batch_receipts(receipts(spark, "a"), f"file://{blocked}/sub", 0) is False
+    with pytest.raises(Exception):
+        write_batch_receipts(receipts(spark, "a"), f"file://{blocked}/sub", 0)
+    broken = receipts(spark, "a", "b").selectExpr("stream_id", "object_id", "seq", "cast(stream_id as bigint) AS timestamp")
+    with pytest.raises(Exception):  # the work itself, not the copy
+        append_receipts(broken, scratch_path(spark, "r"))
+
+
+def test_a_second_write_adds_to_a_collection(spark):
+    where = {"kind": "COLLECTION", "owner": "o", "path": scratch_path(spark, "c")}
+    write = lambda *rows: write_destination(spark.createDataFrame(rows, "object_id string, v int"), where)
+    write(("a", 1), ("b", 1))
+    write(("b", 2), ("c", 2))
+    assert sorted((r["object_id"], r["v"]) for r in read_documents(spark, where["path"]).collect()) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_two_writers_of_one_version(spark):
+    root = scratch_path(spark, "d")
+    rows = spark.createDataFrame([("a", 1)], "object_id string, v int")
+    save_documents(rows, root)
+    folder = root.removeprefix("file:")
+    open(f"{folder}/.v2.claim", "w").close()
+    with pytest.raises(RuntimeError):
+        save_documents(rows, root)
+    assert current_version(spark, root) == 1
 
 
 def test_replayed_batch_replaces_itself(spark):

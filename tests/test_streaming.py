@@ -11,7 +11,7 @@ JOBS = "object_id string, hostname string, username string, stream_id string, in
 
 
 def _positive(inputs):
-    value = inputs["value"].cast("int")
+    value = inputs["value"].try_cast("int")
     return F.when(value > 0, succeed({"value": value})).otherwise(fail(F.lit("not positive")))
 
 
@@ -92,3 +92,43 @@ def test_collection_changes_is_null_safe_and_not_fooled_by_joined_values(spark):
     new = spark.createDataFrame([(1, "x", None), (2, "y", None), (3, "a", "b"), (5, None, ""), (6, "n", "n")], schema)
     assert sorted(r["k"] for r in collection_changes(old, new, "k").collect()) == [2, 3, 5]
     assert sorted(r["k"] for r in collection_changes(old, new, "k", ["b"]).collect()) == [2, 3, 5]
+
+
+def test_a_failing_batch_is_handled_again(spark, monkeypatch):
+    import pytest
+
+    source, out, offsets = (scratch_path(spark, n) for n in ("source", "out", "offsets"))
+    events = [("s", 1, 5), ("s", 1, 6), ("s", 2, -1)]
+    spark.createDataFrame(events, EVENTS).write.parquet(source)
+    jobs = spark.createDataFrame([("h/u/job.1", "h", "u", "s", {}, False)], JOBS)
+
+    def run(action):
+        stream = read_new_files(spark, source, spark.createDataFrame([], EVENTS).schema)
+        run_on_stream_incremental(
+            stream, lambda: jobs, action, fields_of({"value": F.col("value")}), out, offsets, event_key="value"
+        )
+
+    broken = Action("broken", ("value",), native=lambda i: succeed({"x": F.raise_error(F.lit("lost"))}))
+    with pytest.raises(Exception):
+        run(broken)
+    run(POSITIVE)
+    got = spark.read.parquet(out).collect()
+    assert sorted((r["timestamp"], r["seq"], r["success"]) for r in got) == [(1, 5, True), (1, 6, True), (2, -1, False)]
+
+
+def test_only_valid_stream_jobs_take_part(spark):
+    source, out, offsets = (scratch_path(spark, n) for n in ("source", "out", "offsets"))
+    spark.createDataFrame([("s", 1, 5)], EVENTS).write.parquet(source)
+    rows = [("h/u/job.1", "h", "u", "s", {}, False, "run_on_stream"), ("h/u/job.2", "h", "u", "s", {}, False, "run_on_files"), ("h/u/job.3", "h", "", "s", {}, False, "run_on_stream")]
+    jobs = spark.createDataFrame(rows, JOBS + ", job_type string")
+    stream = read_new_files(spark, source, spark.createDataFrame([], EVENTS).schema)
+    run_on_stream_incremental(stream, lambda: jobs, POSITIVE, fields_of({"value": F.col("value")}), out, offsets)
+    assert "h/u/job.2" not in {r["job_id"] for r in spark.read.parquet(out).collect()}
+
+
+def test_changes_in_nested_columns(spark):
+    schema = "k int, tags array<string>, m map<string,string>, t string"
+    old = [(1, [None], {"a": "1"}, None), (2, ["x", "y"], {}, "a"), (3, ["x"], {"a": None}, "b"), (4, None, None, "null"), (5, ["x"], {"a": "1"}, "c")]
+    new = [(1, ["null"], {"a": "1"}, None), (2, ["x, y"], {}, "a"), (3, ["x"], {}, "b"), (4, None, None, None), (5, ["x"], {"a": "1"}, "c")]
+    done = collection_changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "k")
+    assert sorted(r["k"] for r in done.collect()) == [1, 2, 3, 4]

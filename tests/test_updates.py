@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from rowloom.operators.groups import match_groups
@@ -50,11 +51,24 @@ def test_derive_mappings(spark):
     assert got == [("two", "A", "last"), ("two", "D", "d")]
 
 
-def test_match_groups_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("rowloom.operators.groups.RULES_PER_PASS", 2)
-    users = spark.createDataFrame([(1, "ann@x.org"), (2, "bob@y.org"), (3, None)], "user_id bigint, email string")
-    rules = [("x", "@x", True), ("b", "^b", True), ("all", ".", True), ("off", ".", False), ("blank", "", True), ("null", None, True)]
+def test_items_without_an_id_are_left_alone(spark):
+    items = spark.createDataFrame([("unknown", {"x": "0"}), ("a", {"x": "0"})], "item_id string, fields map<string,string>")
+    results = spark.createDataFrame([(k, {"o": "1"}, [("o", "x")], 1) for k in ("unknown", "a")], RESULTS)
+    got = {r["item_id"]: r["fields"]["x"] for r in update_back(items, results).collect()}
+    assert got == {"unknown": "0", "a": "1"}
+    assert [r[0] for r in missing_items(items, results).collect()] == ["unknown"]
+
+
+def test_match_groups(spark, monkeypatch):
+    users = spark.createDataFrame([(1, "ann@x.org"), (2, "bob@y.org"), (3, None), (4, "")], "user_id bigint, email string")
+    rules = [
+        ("x", "@x", True), ("b", "^b", True), ("all", ".", True), ("off", ".", False), ("blank", "", True), ("null", None, True),
+        ("ann", "ann@", True), ("zero", "ann?z*", True), ("either", "bob|ann", True), ("start", "^bob@y[.]", True), ("not", "^nn@", True),
+    ]
     groups = spark.createDataFrame(rules, "group_id string, email_regex_match string, add_to_user_on_signup boolean")
-    got = sorted((r["user_id"], r["group_id"]) for r in match_groups(users, groups).collect())
-    assert got == [(1, "all"), (1, "x"), (2, "all"), (2, "b")]
+    want = [(1, "all"), (1, "ann"), (1, "either"), (1, "x"), (1, "zero"), (2, "all"), (2, "b"), (2, "either"), (2, "start")]
+    assert sorted((r["user_id"], r["group_id"]) for r in match_groups(users, groups).collect()) == want
     assert match_groups(users, groups.filter(F.lit(False))).count() == 0
+    monkeypatch.setattr("rowloom.operators.groups.MOST_OPEN_RULES", 2)
+    with pytest.raises(ValueError):
+        match_groups(users, groups)
