@@ -66,29 +66,34 @@ def tempered(cells: DataFrame, margin: str, power: float, fixed: dict[str, float
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """``cells`` (margins, tokens) with ``weight``: shares that sum to 1 and meet the targets."""
+    """``cells`` (margins, tokens) with ``weight``: shares that sum to 1 and meet the targets.
+
+    The cells are stored after each margin, so that every plan is one sum and one join. A
+    margin's distance from its target is measured just before it is scaled; a sweep that
+    finds all of them close is the last one.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(total) if total else 1.0))
-    targets = {m: materialise(t.coalesce(1), f"target-{m}") for m, t in targets.items()}
+    for margin, target in targets.items():
+        fitted = fitted.join(target.withColumnRenamed("target", f"target_{margin}"), margin, "left")
+    fitted = materialise(fitted, "cells")
     for _ in range(MOST_SWEEPS):
-        for margin, target in targets.items():
-            now = fitted.groupBy(margin).agg(F.sum("weight").alias("now")).join(target, margin)
-            factor = now.select(margin, (F.col("target") / F.nullif("now", F.lit(0.0))).alias("factor"))
-            fitted = fitted.join(factor, margin, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        fitted = materialise(fitted, "cells")
-        if _off(fitted, targets) <= CLOSE:
+        off = 0.0
+        for margin in targets:
+            target = F.coalesce(f"target_{margin}", F.lit(0.0))
+            now = fitted.groupBy(margin).agg(F.sum("weight").alias("now"))
+            scaled = fitted.drop("gap").join(now, margin).select(
+                *cells.columns,
+                (F.col("weight") * target / F.nullif("now", F.lit(0.0))).alias("scaled"),
+                *[f"target_{m}" for m in targets],
+                F.abs(F.col("now") - target).alias("gap"),
+            )
+            scaled = scaled.withColumn("scaled", F.coalesce("scaled", F.lit(0.0))).withColumnRenamed("scaled", "weight")
+            fitted = materialise(scaled, "cells")
+            off = max(off, fitted.agg(F.max("gap")).first()[0] or 0.0)
+        if off <= CLOSE:
             break
-    return fitted
-
-
-def _off(fitted: DataFrame, targets: dict[str, DataFrame]) -> float:
-    """The largest distance of a margin from its target."""
-    worst = None
-    for margin, target in targets.items():
-        now = fitted.groupBy(margin).agg(F.sum("weight").alias("now")).join(target, margin)
-        gap = now.agg(F.max(F.abs(F.col("now") - F.col("target"))).alias("gap"))
-        worst = gap if worst is None else worst.unionByName(gap)
-    return worst.agg(F.max("gap")).first()[0] or 0.0
+    return fitted.select(*cells.columns, "weight")
 
 
 def probabilities(fitted: DataFrame, share: float) -> DataFrame:
@@ -101,8 +106,9 @@ def probabilities(fitted: DataFrame, share: float) -> DataFrame:
     wanted, low, high = share * ends[0], share * 0.5 / ends[2], 2.0 / ends[1]
     for _ in range(PASSES):
         tried = [low * (high / low) ** (k / (TRIED - 1)) for k in range(TRIED)]
-        sums = [F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))) for c in tried]
-        got = rated.agg(*sums).first()
+        each = rated.select("tokens", "ratio", F.posexplode(F.array(*[F.lit(c) for c in tried])).alias("k", "c"))
+        sums = each.groupBy("k").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("c") * F.col("ratio"))).alias("got"))
+        got = dict(sums.collect())
         above = next((k for k in range(TRIED) if got[k] >= wanted * (1 - 1e-9)), TRIED - 1)
         low, high = tried[max(0, above - 1)], tried[above]
         if low == high:

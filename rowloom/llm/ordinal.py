@@ -17,6 +17,7 @@ one. Columns named as the results are replaced; others pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -130,8 +131,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, min_docs=3, l
 def train(docs: DataFrame, ratings: DataFrame, n_grades: int, select_from: int, least=0.5, max_rated=12_000) -> Ordinal:
     """Fit on ``ratings`` (doc_id, grade 0..n_grades-1) of ``docs`` (doc_id, text).
 
-    At most ``max_rated`` rated documents are used; their features, and nothing else, go to
-    the driver, a few kilobytes each.
+    At most ``max_rated`` rated documents are used. One task gets their features, a few
+    kilobytes each, and fits the model; the driver gets the weights that are not zero.
     """
     prepare(docs.sparkSession)
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -142,14 +143,33 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, select_from: int,
         memory = Remembered(_buckets)
         return lambda batch: {"f": [features(x, memory).tobytes() for x in batch.column("data").to_pylist()]}
 
-    got = per_batch(texts, make, [T.StructField("f", T.BinaryType())], ["grade"]).toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in got.column("f").to_pylist()]
-    if not rows:
-        return Ordinal(np.zeros(DIMENSIONS + SHARES * STEPS, np.float32), np.full(n_grades - 1, -40.0), select_from, least)
-    grades = np.array(got.column("grade").to_pylist(), np.int64)
-    order = np.lexsort((np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in rows], np.uint64), grades))
-    weights, cuts = fit([rows[i] for i in order], grades[order], n_grades)
-    return Ordinal(weights, cuts, select_from, least)
+    featured = per_batch(texts, make, [T.StructField("f", T.BinaryType())], ["grade"])
+    got = featured.repartition(1).mapInArrow(_fit_task(n_grades), "at binary, weight binary, cuts binary").first()
+    weights = np.zeros(DIMENSIONS + SHARES * STEPS, np.float32)
+    if got is None:
+        return Ordinal(weights, np.full(n_grades - 1, -40.0), select_from, least)
+    weights[np.frombuffer(got["at"], np.int32)] = np.frombuffer(got["weight"], np.float32)
+    return Ordinal(weights, np.frombuffer(got["cuts"], np.float64), select_from, least)
+
+
+def _fit_task(n_grades: int):
+    """All rated documents (grade, f) of one task to one row, the model; none to no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, grades = [], []
+        for batch in batches:
+            rows += [np.frombuffer(x, np.int32) for x in batch.column("f").to_pylist()]
+            grades += batch.column("grade").to_pylist()
+        if not rows:
+            return
+        grades = np.array(grades, np.int64)
+        order = np.lexsort((np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in rows], np.uint64), grades))
+        weights, cuts = fit([rows[i] for i in order], grades[order], n_grades)
+        at = np.flatnonzero(weights).astype(np.int32)
+        made = (at.tobytes(), weights[at].astype(np.float32).tobytes(), cuts.astype(np.float64).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in made], names=["at", "weight", "cuts"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Ordinal, prefix: str = "") -> DataFrame:
