@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import divergence, exact, jaccard, licenses, mixing, ordinal, pii, piece, suffix, templates
+from rowloom.llm import divergence, exact, jaccard, licenses, mixing, ordinal, pii, piece, suffix, templates, tokenfile
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,15 @@ def op1(spark, sf_dir):
 @query("op8_suffix_tree")
 def op8(spark, sf_dir):
     return suffix.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_token_files")
+def op13(spark, sf_dir):
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), word_model())
+
+
+def word_model() -> str:
+    """The tokenizer file of the query; the operator takes any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
