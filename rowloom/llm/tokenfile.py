@@ -9,16 +9,18 @@ A folder of token files holds, for each shard of the documents in ascending id o
 * ``ids-*.arrow``: the document ids, an Arrow file of one column
 * ``shards``: a Parquet table that lists the files with their first document and first id
 
-Texts are encoded once and stored; the stored ids are dealt to shards by ranges of the
-document id, sorted, and written as they come. Shard totals become bases by prefix sums, and
-a last narrow pass turns the offsets inside a shard into offsets of the collection.
+Documents are dealt to shards by ranges of their id and sorted; each shard is encoded and
+written by one task as its documents come. Shard totals become bases by prefix sums, and a
+last narrow pass turns the offsets inside a shard into offsets of the collection.
 
 A file is named after the attempt that wrote it and counts only if ``shards`` lists it, so
 that a task which is lost, repeated or run twice at the same time leaves at most a file that
 nobody reads. Any file system that Arrow can open will do; local ones are memory-mapped.
 
 The library is asked for each distinct word between ASCII white space, as its rules never
-look across it, and the answers are remembered within bounds.
+look across it, and the answers are remembered within bounds. Where a word is plain letters
+and then ASCII punctuation, the two are asked for apart, as the rules cut there too, and the
+letters in lower case, which is how the rules take them.
 
 Cases: a null or empty text has the end id alone. Rows without an id come first, rows of
 equal id in the order of their ids' bytes; repeated rows stay. An empty table makes a folder
@@ -32,6 +34,8 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -39,11 +43,15 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from rowloom.llm.common import Remembered, per_batch, prepare, raw
+from rowloom.llm.common import Remembered, prepare, raw
 from rowloom.session import materialise, scratch_path
 
-#: bytes of ids in a shard, and documents a reader handles at once
-SHARD_BYTES, READ_DOCUMENTS = 64 << 20, 1_000
+#: bytes of text that make a shard, and documents a reader handles at once
+SHARD_BYTES, READ_DOCUMENTS = 32 << 20, 1_000
+#: words, and parts of words, that a worker remembers with their ids before it starts anew
+MEMORY = 500_000
+#: letters that stay alone in composition and lower case, then something that begins with punctuation
+PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~].*)?", re.DOTALL)
 #: the id that ends a document, unless told otherwise
 END_ID = 1
 
@@ -84,14 +92,26 @@ class Words:
         from tokenizers import Tokenizer
 
         self.model, self.type = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        self.memory = Remembered(self._ids)
+        self.words, self.parts = Remembered(self._word, MEMORY), Remembered(self._ids, MEMORY)
 
-    def _ids(self, word: bytes) -> bytes:
-        made = self.model.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(made, self.type).tobytes()
+    def _ids(self, part: str) -> bytes:
+        return np.array(self.model.encode(part, add_special_tokens=False).ids, self.type).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        word = word.decode()
+        cut = PARTS.fullmatch(word)
+        if not cut:
+            return self._ids(word)
+        return self.parts[cut[1].lower()] + (self.parts[cut[2]] if cut[2] else b"")
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.memory.__getitem__, text.split()))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@lru_cache(maxsize=2)
+def words_of(path: str, width: int) -> Words:
+    """Kept from task to task of a worker."""
+    return Words(path, width)
 
 
 def width_of(path: str, end: int) -> int:
@@ -102,66 +122,43 @@ def width_of(path: str, end: int) -> int:
     return 2 if most < 1 << 16 else 4
 
 
-def encode(docs: DataFrame, path: str, width: int, end: int = END_ID, id_column="doc_id", text="text") -> DataFrame:
-    """id and ``ids``: the bytes of a document's ids with the end id."""
-    prepare(docs.sparkSession)
-
-    def make() -> Callable[[pa.RecordBatch], dict]:
-        words, last = Words(path, width), np.array([end], f"<u{width}").tobytes()
-
-        def compute(batch: pa.RecordBatch) -> dict:
-            return {"ids": pa.array([words.encode(x) + last for x in batch.column("text").to_pylist()], pa.binary())}
-
-        return compute
-
-    rows = docs.select(F.col(id_column).alias("id"), raw(text).alias("text"))
-    return per_batch(rows, make, [T.StructField("ids", T.BinaryType())], ["id"])
-
-
-def _writer(folder: str, width: int):
-    """Write the sorted rows of one partition as one shard; yields its line of the table."""
+def _writer(folder: str, path: str, width: int, end: int):
+    """Encode the sorted documents of one partition as one shard; yields its line of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, lengths, ids, kind = None, [], [], None
-        name = uuid.uuid4().hex
-
-        def parts():
-            nonlocal shard, kind
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                kind = batch.schema.field("id").type
-                shard = batch.column("shard")[0].as_py() if shard is None else shard
-                made = batch.column("ids").to_pylist()
-                lengths.append(np.fromiter(map(len, made), np.uint64, len(made)) // np.uint64(width))
-                ids.append(batch.column("id"))
-                yield b"".join(made)
-
-        stream = parts()
-        first = next(stream, None)
+        filled = (batch for batch in batches if batch.num_rows)
+        first = next(filled, None)
         if first is None:
             return
+        words, last = words_of(path, width), np.array([end], f"<u{width}").tobytes()
+        name, lengths, ids = uuid.uuid4().hex, [], []
 
-        def whole():
-            yield first
-            yield from stream
-
-        _save(folder, f"tokens-{name}.bin", whole())
-        ends = np.cumsum(np.concatenate([[np.uint64(0)], *lengths]), dtype="<u8")
-        _save(folder, f"starts-{name}.bin", iter([ends.tobytes()]))
+        def parts() -> Iterator[bytes]:
+            for batch in chain([first], filled):
+                ids.append(batch.column("id"))
+                for text in batch.column("text").to_pylist():
+                    made = words.encode(text) + last
+                    lengths.append(len(made) // width)
+                    yield made
+
+        _save(folder, f"tokens-{name}.bin", parts())
+        starts = np.cumsum(np.array([0, *lengths], "<u8"))
+        _save(folder, f"starts-{name}.bin", iter([starts.astype("<u8").tobytes()]))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_file(sink, pa.schema([("id", kind)])) as out:
+        with pa.ipc.new_file(sink, pa.schema([("id", ids[0].type)])) as out:
             for part in ids:
                 out.write_batch(pa.record_batch([part], names=["id"]))
         _save(folder, f"ids-{name}.arrow", iter([sink.getvalue()]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([shard], pa.int32()), pa.array([len(ends) - 1], pa.int64()), pa.array([int(ends[-1])], pa.int64()),
-                pa.array([f"tokens-{name}.bin"]), pa.array([f"starts-{name}.bin"]), pa.array([f"ids-{name}.arrow"]),
-                pa.array([width], pa.int32()),
-            ],
-            names=["shard", "documents", "n_tokens", "tokens_file", "offsets_file", "ids_file", "width"],
-        )
+        line = {
+            "shard": pa.array([first.column("shard")[0].as_py()], pa.int32()),
+            "documents": pa.array([len(lengths)], pa.int64()),
+            "n_tokens": pa.array([int(starts[-1])], pa.int64()),
+            "tokens_file": [f"tokens-{name}.bin"],
+            "offsets_file": [f"starts-{name}.bin"],
+            "ids_file": [f"ids-{name}.arrow"],
+            "width": pa.array([width], pa.int32()),
+        }
+        yield pa.RecordBatch.from_pydict(line)
 
     return run
 
@@ -187,13 +184,13 @@ def write(
     """Write the token files of ``docs`` into ``folder``, a new one that all executors reach."""
     spark = prepare(docs.sparkSession)
     width = width_of(path, end)
-    stored = materialise(encode(docs, path, width, end, id_column, text), "encoded")
-    size = stored.agg(F.sum(F.length("ids"))).first()[0] or 0
+    rows = docs.select(F.col(id_column).alias("id"), raw(text).alias("text"))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     # equal ids are dealt by their content too, so that one id with many texts isn't one shard
-    order = [F.col("id").asc_nulls_first(), F.xxhash64("ids").asc(), F.col("ids").asc()]
-    ranged = stored.repartitionByRange(max(1, ceil(size / shard_bytes)), *order[:2]).sortWithinPartitions(*order)
-    shards = ranged.withColumn("shard", F.spark_partition_id()).select("shard", "id", "ids")
-    shards = materialise(shards.mapInArrow(_writer(folder, width), SHARDS), "shards")
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc()]
+    ranged = rows.repartitionByRange(max(1, ceil(size / shard_bytes)), *order[:2]).sortWithinPartitions(*order)
+    shards = ranged.withColumn("shard", F.spark_partition_id()).select("shard", "id", "text")
+    shards = materialise(shards.mapInArrow(_writer(folder, path, width, end), SHARDS), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = shards.withColumns(
         {
