@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import divergence, exact, jaccard, licenses, mixing, ordinal, pii, piece, suffix, templates, tokenfile
+from rowloom.llm import divergence, exact, jaccard, licenses, merkle, mixing, ordinal, pii, piece, suffix, templates, tokenfile
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,70 @@ def word_model() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _manifest_sql(levels: int = 6) -> str:
+    """The manifest in SQL: trees of up to 16 to the power of ``levels`` leaves, a level a step."""
+
+    def digest(text: str) -> str:
+        marked = lambda x: f"coalesce(octet_length(encode({x})) || ':' || {x}, '-')"
+        return f"sha256({' || '.join(marked(x) for x in ('doc_id::VARCHAR', 'source', 'lang', 'n_chars::VARCHAR', text))})"
+
+    def tree(name: str, first: str) -> list[str]:
+        """Levels of nodes (key, pos, digest, n), and each with its siblings left and right."""
+        made = [f"{name}0 AS ({first})"]
+        for k in range(levels):
+            side = "string_agg(digest, '') OVER (PARTITION BY key, pos // 16 ORDER BY pos ROWS BETWEEN {})"
+            made.append(
+                f"{name}_steps{k} AS (SELECT key, pos, n, coalesce({side.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, '') AS l, "
+                f"coalesce({side.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}, '') AS r FROM {name}{k})"
+            )
+            made.append(
+                f"{name}{k + 1} AS (SELECT key, pos // 16 AS pos, CASE WHEN n = 1 THEN min(digest) "
+                f"ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest, (n + 15) // 16 AS n "
+                f"FROM {name}{k} GROUP BY key, pos // 16, n)"
+            )
+        return made
+
+    def climb(name: str, source: str, key: str, pos: str) -> list[str]:
+        """Rows of ``source`` (with f and proof) taken through the steps of a tree."""
+        made = []
+        for k in range(levels):
+            made.append(
+                f"{name}_up{k} AS (SELECT d.* EXCLUDE (f, proof), CASE WHEN s.n = 1 THEN f ELSE sha256(l || f || r) END AS f, "
+                f"proof || l || r AS proof FROM {source} d JOIN {name}_steps{k} s "
+                f"ON s.key IS NOT DISTINCT FROM d.{key} AND s.pos = d.{pos} // {16**k})"
+            )
+            source = f"{name}_up{k}"
+        return made
+
+    steps = [
+        """crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS r(i)))""",
+        f"""leaves AS (SELECT doc_id, source, {digest("text")} AS leaf,
+            {digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS tampered,
+            xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+                lambda x: ascii(x)::BIGINT)), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS crc
+            FROM documents, crc_table)""",
+        """ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            count(*) OVER (PARTITION BY source) AS n, '' AS proof,
+            CASE WHEN crc % 5 = 0 THEN tampered ELSE leaf END AS f FROM leaves)""",
+        *tree("docs", "SELECT source AS key, pos, leaf AS digest, n FROM ranked"),
+        f"""tops AS (SELECT key AS source, digest AS subroot, row_number() OVER (ORDER BY encode(key) NULLS FIRST) - 1 AS place,
+            count(*) OVER () AS sources FROM docs{levels})""",
+        *tree("roots", "SELECT 0 AS key, place AS pos, subroot AS digest, sources AS n FROM tops"),
+        *climb("docs", "ranked", "source", "pos"),
+        f"""subrooted AS (SELECT d.*, subroot, place, 0 AS one FROM docs_up{levels - 1} d
+            JOIN tops ON tops.source IS NOT DISTINCT FROM d.source)""",
+        *climb("roots", "subrooted", "one", "place"),
+    ]
+    return f"""
+    WITH {", ".join(steps)}
+    SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = digest AS verified
+    FROM roots_up{levels - 1}, roots{levels}
+    """
+
+
+@query("op11_merkle_manifest", _manifest_sql())
+def op11(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
