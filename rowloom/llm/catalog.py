@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowloom.llm import divergence, exact, jaccard, licenses, merkle, mixing, ordinal, pii, piece, suffix, templates, tokenfile
+from rowloom.llm import divergence, exact, jaccard, licenses, merkle, mixing, ordinal, periodic, pii, piece, suffix, templates, tokenfile
 from rowloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,8 @@ def _manifest_sql(levels: int = 6) -> str:
 @query("op11_merkle_manifest", _manifest_sql())
 def op11(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs")
+def op12(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"))

@@ -112,3 +112,11 @@ def per_batch(
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that the operator is about to add; other columns pass through."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
