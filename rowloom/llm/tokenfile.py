@@ -43,12 +43,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from rowloom.llm.common import Remembered, prepare, raw
+from rowloom.llm.common import prepare, raw
 from rowloom.session import materialise, scratch_path
 
 #: bytes of text that make a shard, and documents a reader handles at once
 SHARD_BYTES, READ_DOCUMENTS = 32 << 20, 1_000
-#: words, and parts of words, that a worker remembers with their ids before it starts anew
+#: words, and parts of words, beyond which a worker starts its memory of ids anew
 MEMORY = 500_000
 #: letters that stay alone in composition and lower case, then something that begins with punctuation
 PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~].*)?", re.DOTALL)
@@ -85,27 +85,38 @@ def _map(folder: str, name: str) -> pa.Buffer:
 
 
 class Words:
-    """``bytes`` of a text's ids, little-endian of the given width, by one tokenizer file."""
+    """``bytes`` of texts' ids, little-endian of the given width, by one tokenizer file."""
 
     def __init__(self, path: str, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.type = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        self.words, self.parts = Remembered(self._word, MEMORY), Remembered(self._ids, MEMORY)
-
-    def _ids(self, part: str) -> bytes:
-        return np.array(self.model.encode(part, add_special_tokens=False).ids, self.type).tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        word = word.decode()
-        cut = PARTS.fullmatch(word)
-        if not cut:
-            return self._ids(word)
-        return self.parts[cut[1].lower()] + (self.parts[cut[2]] if cut[2] else b"")
-
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [x.split() for x in texts]
+        here = set().union(*split)
+        new = here.difference(self.words)
+        if len(self.words) + len(new) > MEMORY:
+            self.words.clear()
+            new = here
+        if len(self.parts) > MEMORY:
+            self.parts.clear()
+        self._learn(list(new))
+        return [b"".join(map(self.words.__getitem__, x)) for x in split]
+
+    def _learn(self, words: list[bytes]) -> None:
+        cuts = []
+        for word in words:
+            cut = PARTS.fullmatch(text := word.decode())
+            cuts.append((cut[1].lower(), cut[2] or "") if cut else (text, ""))
+        new = list({p for cut in cuts for p in cut if p not in self.parts})
+        for part, made in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.parts[part] = np.array(made.ids, self.type).tobytes()
+        for word, (letters, rest) in zip(words, cuts, strict=True):
+            self.words[word] = self.parts[letters] + self.parts[rest]
 
 
 @lru_cache(maxsize=2)
@@ -136,10 +147,9 @@ def _writer(folder: str, path: str, width: int, end: int):
         def parts() -> Iterator[bytes]:
             for batch in chain([first], filled):
                 ids.append(batch.column("id"))
-                for text in batch.column("text").to_pylist():
-                    made = words.encode(text) + last
-                    lengths.append(len(made) // width)
-                    yield made
+                for made in words.encode(batch.column("text").to_pylist()):
+                    lengths.append(len(made) // width + 1)
+                    yield made + last
 
         _save(folder, f"tokens-{name}.bin", parts())
         starts = np.cumsum(np.array([0, *lengths], "<u8"))

@@ -32,7 +32,7 @@ ODD = [
 
 @pytest.mark.parametrize("text", ODD)
 def test_words_are_the_whole_text(text, words, library):
-    assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() + [1] == library(text)
+    assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() + [1] == library(text)
 
 
 @settings(max_examples=300, deadline=None)
@@ -43,7 +43,7 @@ def test_any_text(text):
     model = getattr(test_any_text, "model", None) or (Tokenizer.from_file(word_model()), tokenfile.Words(word_model(), 4))
     test_any_text.model = model
     want = model[0].encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(model[1].encode(text.encode()), "<u4").tolist() == want
+    assert np.frombuffer(model[1].encode([text.encode()])[0], "<u4").tolist() == want
 
 
 @pytest.mark.parametrize("shard_bytes", [64 << 20, 500])
@@ -99,5 +99,13 @@ def test_text_ids_and_one_id_for_all(spark, library):
     assert len(got) == 400 and {r.doc_id for r in got} == {"same"}
 
 
+def test_memory_is_bounded(monkeypatch, library):
+    monkeypatch.setattr(tokenfile, "MEMORY", 50)
+    words, texts = tokenfile.Words(word_model(), 4), [" ".join(f"w{i * j}x" for j in range(20)) for i in range(40)]
+    for text in texts:
+        assert np.frombuffer(words.encode([text.encode()])[0], "<u4").tolist() + [1] == library(text)
+        assert len(words.words) <= 70
+
+
 def test_wide_ids():
     assert tokenfile.width_of(word_model(), 1) == 2 and tokenfile.width_of(word_model(), 70_000) == 4
