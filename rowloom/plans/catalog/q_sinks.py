@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rowloom.plans.catalog.registry import COLLECTION_ITEMS, RECEIPTS, Tables, query, text
 from rowloom.session import scratch_path
 from rowloom.sinks.destinations import write_destination
-from rowloom.sinks.documents import read_documents, save_documents, upsert_documents
+from rowloom.sinks.documents import read_documents, snapshot, upsert_into
 from rowloom.sinks.files import write_files
 from rowloom.sinks.receipts import append_receipts, read_receipts, stream_put
 
@@ -33,19 +33,33 @@ def _(t: Tables):
 @query("upsert_documents", f"""WITH {COLLECTION_ITEMS}, fresh AS (
     SELECT CASE WHEN doc_id % 3 = 0 THEN 'new' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS object_id,
            'q' || quality AS lang, CAST(toxic AS BIGINT) AS n_chars
-    FROM labels)
-SELECT object_id, lang, n_chars FROM collection_items WHERE object_id NOT IN (SELECT object_id FROM fresh)
-UNION ALL SELECT object_id, lang, n_chars FROM fresh""")
+    FROM labels),
+first AS (
+    SELECT object_id, lang, n_chars FROM collection_items WHERE object_id NOT IN (SELECT object_id FROM fresh)
+    UNION ALL SELECT object_id, lang, n_chars FROM fresh),
+again AS (
+    SELECT CAST(l_orderkey % 500 AS VARCHAR) AS object_id, 'r' || max(l_orderkey) AS lang,
+           max(l_orderkey * 100 + l_linenumber) AS n_chars
+    FROM lineitem GROUP BY 1)
+SELECT * FROM first WHERE object_id NOT IN (SELECT object_id FROM again)
+UNION ALL SELECT * FROM again""")
 def _(t: Tables):
+    """Two rounds of writes onto a first one; in the last, many rows come for one key."""
     root = scratch_path(t.spark, "documents")
-    save_documents(t.collection_items.select("object_id", "lang", "n_chars"), root)
+    upsert_into(t.collection_items.select("object_id", "lang", "n_chars"), root)
     fresh = t.read("labels").select(
         F.when(F.col("doc_id") % 3 == 0, text("new", F.col("doc_id")))
         .otherwise(F.col("doc_id").cast("string")).alias("object_id"),
         text("q", F.col("quality")).alias("lang"),
         F.col("toxic").cast("bigint").alias("n_chars"),
     )
-    save_documents(upsert_documents(read_documents(t.spark, root), fresh), root)
+    upsert_into(fresh, root, base=snapshot(t.spark, root))
+    again = t.read("lineitem").select(
+        (F.col("l_orderkey") % 500).cast("string").alias("object_id"),
+        text("r", F.col("l_orderkey")).alias("lang"),
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).cast("bigint").alias("n_chars"),
+    )
+    upsert_into(again, root, order="n_chars")
     return read_documents(t.spark, root)
 
 
@@ -79,7 +93,9 @@ def _(t: Tables):
         folder = write_destination(mine, where)
         if folder is None:
             continue
-        if where["kind"] == "FILE":
+        if where["kind"] == "COLLECTION":
+            back = read_documents(t.spark, folder)
+        elif where["kind"] == "FILE":
             back = t.spark.read.schema("object_id string, success boolean").json(folder)
         else:
             back = t.spark.read.parquet(folder)

@@ -27,7 +27,7 @@ def write_destination(df: DataFrame, destination: Mapping[str, str]) -> str | No
     """Write rows to a STREAM, a COLLECTION or FILEs; an inactive one writes nothing.
 
     A COLLECTION keeps the documents it has; those of the same ``object_id`` are replaced.
-    Returns the folder written to.
+    Returns the folder written to; that of a COLLECTION is read with ``read_documents``.
     """
     rows = route(df, destination)
     if rows is None:
@@ -38,5 +38,6 @@ def write_destination(df: DataFrame, destination: Mapping[str, str]) -> str | No
             return None
         return path
     if kind == "COLLECTION":
-        return f"{path}/v{upsert_into(rows, path)}"
+        upsert_into(rows, path)
+        return path
     return write_files(rows, path, destination.get("extension", "parquet"))

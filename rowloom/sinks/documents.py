@@ -1,8 +1,57 @@
-"""Keyed replace of documents."""
+"""Documents by key: a store of hash buckets with versions.
+
+A store is a folder::
+
+    versions/00000000000000000007.json    what version 7 consists of, a folder per bucket
+    data/<write>/__bucket__=12/*.parquet  the documents of one bucket, as one write left them
+
+A document lies in the bucket of its key's hash, so the buckets are even whatever the data.
+A write touches the buckets of its keys only: these are read, merged and written anew; of all
+others the new version names the folders it had. Files are never changed, so readers keep the
+version they began with.
+
+A version becomes visible by one step that fails if another writer took its number: an
+exclusive hard link on local and mounted file systems, a rename without overwriting on HDFS.
+On other file systems (object stores above all) neither is known to be exclusive, and a write
+is refused. Of two writers that began from one version, the later thus fails with `Conflict`
+and nothing of it is seen; it may begin anew from what the first one left (``retries``).
+"""
 
 from __future__ import annotations
 
+import json
+import os
+import time
+import uuid
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from rowloom.session import scratch_path
+
+BUCKET = "__bucket__"
+#: buckets of a new store; choose them so that one bucket is a good file or a few
+BUCKETS = 32
+
+
+class Conflict(RuntimeError):
+    """Another writer committed a version since this one began."""
+
+
+def latest(documents: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One document per key: that of the greatest ``order``, or any one. Documents without a
+    key are not replaced by each other."""
+    rest = [c for c in documents.columns if c != key]
+    named = documents.filter(F.col(key).isNotNull())
+    if order is None:
+        last = named.dropDuplicates([key])
+    else:
+        last = named.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_doc"))
+        last = last.select(key, *[F.col(f"_doc.{c}").alias(c) for c in rest])
+    return last.select(*documents.columns).unionByName(documents.filter(F.col(key).isNull()))
 
 
 def upsert_documents(base: DataFrame, new: DataFrame, key: str = "object_id", order: str | None = None) -> DataFrame:
@@ -12,67 +61,225 @@ def upsert_documents(base: DataFrame, new: DataFrame, key: str = "object_id", or
     the keys of ``new`` must be unique.
     """
     if order is not None:
-        rest = [c for c in new.columns if c != key]
-        new = new.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_doc")).select(
-            key, *[F.col(f"_doc.{c}").alias(c) for c in rest]
-        )
+        new = latest(new, key, order)
     kept = base.join(new.select(key), key, "left_anti")
     return kept.unionByName(new.select(*base.columns))
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+@dataclass(frozen=True)
+class Snapshot:
+    """One version: how its documents are dealt out, and which write left each bucket."""
+
+    root: str
+    version: int
+    key: str
+    buckets: int
+    schema: StructType
+    parts: dict[int, str] = field(default_factory=dict)
+
+    def folders(self, of: Iterable[int] | None = None) -> list[str]:
+        """Folders of the buckets ``of``, or of all."""
+        chosen = sorted(self.parts if of is None else set(of) & set(self.parts))
+        return [f"{self.root}/data/{self.parts[b]}/{BUCKET}={b}" for b in chosen]
+
+    def read(self, spark: SparkSession, of: Iterable[int] | None = None) -> DataFrame:
+        folders = self.folders(of)
+        if not folders:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*folders)
+
+
+class _Files:
+    """The few calls on the folder's file system that the driver makes."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm = spark.sparkContext._jvm
+        self.hadoop = self.jvm.org.apache.hadoop.fs
+        self.system = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, name: str):
+        return self.hadoop.Path(name)
+
+    def names(self, folder: str) -> list[tuple[str, int]]:
+        """Names in a folder, with their time in ms."""
+        if not self.system.exists(self.path(folder)):
+            return []
+        return [(s.getPath().getName(), s.getModificationTime()) for s in self.system.listStatus(self.path(folder))]
+
+    def text(self, name: str) -> str:
+        stream = self.system.open(self.path(name))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def delete(self, name: str) -> None:
+        self.system.delete(self.path(name), True)
+
+    def put_new(self, name: str, text: str) -> None:
+        """Create a file with all its content, or raise `Conflict` if there is one."""
+        scheme, folder = self.system.getUri().getScheme(), os.path.dirname(name)
+        draft = f"{folder}/.{uuid.uuid4().hex}"
+        self.system.mkdirs(self.path(folder))
+        if scheme not in ("file", "hdfs"):
+            raise RuntimeError(f"no exclusive commit is known for {scheme}: files")
+        out = self.system.create(self.path(draft))
+        out.write(text.encode())
+        out.close()
+        if scheme == "file":
+            local = lambda x: urlparse(x).path
+            try:
+                os.link(local(draft), local(name))
+            except FileExistsError:
+                raise Conflict(f"{name} was written by another run") from None
+            finally:
+                os.unlink(local(draft))
+        elif not self.system.rename(self.path(draft), self.path(name)):
+            self.delete(draft)
+            raise Conflict(f"{name} was written by another run")
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    names = [name for name, _ in _Files(spark, root).names(f"{root}/versions")]
+    return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json") and not n.startswith("."))
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    """Highest complete version under ``root``; 0 if there is none."""
-    files, folder = _folder(spark, root)
-    if not files.exists(folder):
-        return 0
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    versions = [0]
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and files.exists(jvm_path(status.getPath(), "_SUCCESS")):
-            versions.append(int(name[1:]))
-    return max(versions)
+    """The last version under ``root``; 0 if there is none."""
+    return max(versions(spark, root), default=0)
+
+
+def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snapshot | None:
+    """The last version or a given one; nothing if there is none."""
+    version = current_version(spark, root) if version is None else version
+    if version == 0:
+        return None
+    said = json.loads(_Files(spark, root).text(_version_file(root, version)))
+    parts = {int(b): write for b, write in said["parts"].items()}
+    return Snapshot(root, version, said["key"], said["buckets"], StructType.fromJson(said["schema"]), parts)
+
+
+def read_documents(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    found = snapshot(spark, root, version)
+    if found is None:
+        raise FileNotFoundError(f"no documents under {root}")
+    return found.read(spark)
+
+
+def _version_file(root: str, version: int) -> str:
+    return f"{root}/versions/{version:020d}.json"
+
+
+def _commit(spark: SparkSession, new: Snapshot) -> int:
+    said = {"key": new.key, "buckets": new.buckets, "schema": new.schema.jsonValue(), "parts": new.parts}
+    _Files(spark, new.root).put_new(_version_file(new.root, new.version), json.dumps(said))
+    return new.version
+
 
+def _bucketed(documents: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Documents without a key are dealt by all they hold, as no other write can meet them."""
+    whole = F.xxhash64(F.to_json(F.struct(*documents.columns)))
+    at = F.when(F.col(key).isNull(), whole).otherwise(F.xxhash64(key))
+    return documents.withColumn(BUCKET, F.pmod(at, F.lit(buckets)).cast("int"))
 
-def read_documents(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v{current_version(spark, root)}")
 
+def _write(documents: DataFrame, key: str, buckets: int, folder: str) -> list[int]:
+    """Write documents by bucket; the buckets that have any."""
+    if BUCKET in documents.columns:
+        raise ValueError(f"documents have a column {BUCKET}")
+    dealt = _bucketed(documents, key, buckets).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET)
+    dealt.write.partitionBy(BUCKET).parquet(folder)
+    names = [name for name, _ in _Files(documents.sparkSession, folder).names(folder)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}="))
 
-def save_documents(documents: DataFrame, root: str) -> int:
-    """Write a new version next to the old one and return its number.
 
-    A version counts once its write has committed, so readers never see half of one
-    and a plan that reads the old version can write the new one. Of two writers that take
-    the same number the later fails and must start again from what the first one wrote.
+def save_documents(
+    documents: DataFrame,
+    root: str,
+    key: str = "object_id",
+    base: Snapshot | None = None,
+    buckets: int | None = None,
+) -> int:
+    """Write ``documents`` as the whole content of a new version and return its number.
+
+    ``base`` is the version that they were derived from; it fails with `Conflict` if there is
+    a later one. Without it this is the version found now.
     """
     spark = documents.sparkSession
-    version = current_version(spark, root) + 1
-    files, folder = _folder(spark, f"{root}/v{version}")
-    files.mkdirs(folder.getParent())
-    claim = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.v{version}.claim")
-    if not files.createNewFile(claim):
-        raise RuntimeError(f"version {version} of {root} is being written by another run")
-    try:
-        # what a writer that died left there is not a version; the claim makes it ours
-        documents.write.mode("overwrite").parquet(f"{root}/v{version}")
-    finally:
-        files.delete(claim, False)
-    return version
-
-
-def upsert_into(documents: DataFrame, root: str, key: str = "object_id", order: str | None = None) -> int:
-    """Upsert into the current version under ``root``; the first write makes one."""
+    base = base or snapshot(spark, root)
+    buckets = buckets or (base.buckets if base else BUCKETS)
+    write = uuid.uuid4().hex
+    parts = dict.fromkeys(_write(documents, key, buckets, f"{root}/data/{write}"), write)
+    schema = StructType.fromJson(documents.schema.jsonValue())
+    return _commit(spark, Snapshot(root, base.version + 1 if base else 1, key, buckets, schema, parts))
+
+
+def upsert_into(
+    documents: DataFrame,
+    root: str,
+    key: str = "object_id",
+    order: str | None = None,
+    base: Snapshot | None = None,
+    buckets: int = BUCKETS,
+    retries: int = 0,
+) -> int:
+    """Upsert into the store under ``root``, made if it isn't there; the new version's number.
+
+    The new documents are computed once. Only buckets that hold one of their keys are read and
+    written. ``base`` is the version found now, unless given; if another version was committed
+    since, this fails with `Conflict`, or begins anew from that one up to ``retries`` times.
+    """
     spark = documents.sparkSession
-    if current_version(spark, root) == 0:
-        return save_documents(documents, root)
-    base = read_documents(spark, root)
-    return save_documents(upsert_documents(base, documents, key, order), root)
+    base = base or snapshot(spark, root)
+    if base is None:
+        try:
+            return save_documents(latest(documents, key, order), root, key, buckets=buckets)
+        except Conflict:
+            if not retries:
+                raise
+            return upsert_into(documents, root, key, order, None, buckets, retries - 1)
+    staged = scratch_path(spark, "upsert")
+    new = latest(documents, key, order).select(*base.schema.names)
+    changed = _write(new, key, base.buckets, staged)
+    if not changed:
+        return base.version
+    new = spark.read.schema(new.schema).parquet(*[f"{staged}/{BUCKET}={b}" for b in changed])
+    while True:
+        write = uuid.uuid4().hex
+        merged = upsert_documents(base.read(spark, changed), new, key)
+        written = _write(merged, key, base.buckets, f"{root}/data/{write}")
+        parts = {**base.parts, **dict.fromkeys(written, write)}
+        try:
+            return _commit(spark, Snapshot(root, base.version + 1, key, base.buckets, base.schema, parts))
+        except Conflict:
+            if not retries:
+                raise
+            retries, dealt, base = retries - 1, base.buckets, snapshot(spark, root)
+            if base.buckets != dealt:
+                return upsert_into(new, root, key, None, base, buckets, retries)
+
+
+def rebucket(spark: SparkSession, root: str, buckets: int) -> int:
+    """Deal all documents to another number of buckets, as a new version."""
+    base = snapshot(spark, root)
+    return save_documents(base.read(spark), root, base.key, base, buckets)
+
+
+def vacuum(spark: SparkSession, root: str, keep_versions: int = 10, older_than_ms: int = 7 * 86_400_000) -> list[str]:
+    """Remove versions before the last ``keep_versions``, and writes that no version left names.
+
+    Writes younger than ``older_than_ms`` stay, as their version may be yet to come. Returns
+    the writes removed.
+    """
+    files, known = _Files(spark, root), versions(spark, root)
+    for version in known[:-keep_versions]:
+        files.delete(_version_file(root, version))
+    used = {w for v in known[-keep_versions:] for w in snapshot(spark, root, v).parts.values()}
+    now = time.time() * 1000
+    gone = [name for name, at in files.names(f"{root}/data") if name not in used and at < now - older_than_ms]
+    for name in gone:
+        files.delete(f"{root}/data/{name}")
+    return sorted(gone)
 
 
 def merge_documents(new: DataFrame, table: str, key: str = "object_id") -> None:

@@ -1,8 +1,21 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from rowloom.session import scratch_path
 from rowloom.sinks.destinations import write_destination
-from rowloom.sinks.documents import current_version, merge_documents, read_documents, save_documents, upsert_documents
+from rowloom.sinks.documents import (
+    Conflict,
+    current_version,
+    merge_documents,
+    read_documents,
+    rebucket,
+    save_documents,
+    snapshot,
+    upsert_documents,
+    upsert_into,
+    vacuum,
+)
 from rowloom.sinks.files import write_files
 from rowloom.sinks.receipts import append_receipts, read_receipts, stream_put, write_batch_receipts
 
@@ -42,15 +55,85 @@ def test_a_second_write_adds_to_a_collection(spark):
     assert sorted((r["object_id"], r["v"]) for r in read_documents(spark, where["path"]).collect()) == [("a", 1), ("b", 2), ("c", 2)]
 
 
-def test_two_writers_of_one_version(spark):
+DOCUMENT = "object_id string, v int"
+
+
+def stored(spark, root, *rows, **how):
+    return upsert_into(spark.createDataFrame(rows, DOCUMENT), root, **how)
+
+
+def held(spark, root, version=None):
+    return sorted(tuple(r) for r in read_documents(spark, root, version).collect())
+
+
+def test_of_two_writers_from_one_version_the_later_fails(spark):
+    root = scratch_path(spark, "d")
+    stored(spark, root, ("a", 1))
+    seen = snapshot(spark, root)
+    assert stored(spark, root, ("b", 1), base=seen) == 2
+    with pytest.raises(Conflict):
+        stored(spark, root, ("c", 1), base=seen)
+    with pytest.raises(Conflict):
+        save_documents(spark.createDataFrame([("d", 1)], DOCUMENT), root, base=seen)
+    assert held(spark, root) == [("a", 1), ("b", 1)] and current_version(spark, root) == 2
+    assert stored(spark, root, ("c", 1), base=seen, retries=1) == 3  # begins anew from what the first left
+    assert held(spark, root) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_writers_at_the_same_time_lose_nothing(spark):
     root = scratch_path(spark, "d")
-    rows = spark.createDataFrame([("a", 1)], "object_id string, v int")
-    save_documents(rows, root)
-    folder = root.removeprefix("file:")
-    open(f"{folder}/.v2.claim", "w").close()
-    with pytest.raises(RuntimeError):
-        save_documents(rows, root)
-    assert current_version(spark, root) == 1
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(lambda k: stored(spark, root, (f"k{k}", k), ("shared", k), retries=20, buckets=4), range(6)))
+    assert sorted(done) == list(range(1, 7))
+    rows = held(spark, root)
+    assert [r[0] for r in rows] == ["k0", "k1", "k2", "k3", "k4", "k5", "shared"]
+    assert dict(rows)["shared"] == done.index(6)  # the last version's
+
+
+def test_only_changed_buckets_are_written(spark):
+    root = scratch_path(spark, "d")
+    stored(spark, root, *[(f"k{i}", 0) for i in range(300)], buckets=16)
+    before = snapshot(spark, root)
+    stored(spark, root, ("k5", 1), ("k5x", 1))
+    after = snapshot(spark, root)
+    changed = [b for b in after.parts if after.parts[b] != before.parts[b]]
+    assert 1 <= len(changed) <= 2 and len(before.parts) == 16
+    assert all(set(before.folders([b])) == set(after.folders([b])) for b in after.parts if b not in changed)
+    assert dict(held(spark, root))["k5"] == 1 and len(held(spark, root)) == 301
+    assert dict(held(spark, root, 1))["k5"] == 0 and len(held(spark, root, 1)) == 300  # older versions stay readable
+
+
+def test_documents_without_a_key_stay_and_are_spread(spark):
+    root = scratch_path(spark, "d")
+    for _round in range(2):
+        stored(spark, root, *[(None, i) for i in range(200)], ("a", _round), buckets=8)
+    rows = read_documents(spark, root).collect()
+    assert len(rows) == 401 and [r["v"] for r in rows if r["object_id"] == "a"] == [1]
+    assert len(snapshot(spark, root).parts) == 8
+
+
+def test_empty_writes_and_missing_stores(spark):
+    root = scratch_path(spark, "d")
+    with pytest.raises(FileNotFoundError):
+        read_documents(spark, root)
+    assert stored(spark, root, ("a", 1)) == 1
+    nothing = spark.createDataFrame([], DOCUMENT)
+    assert upsert_into(nothing, root) == 1  # nothing to commit
+    assert save_documents(nothing, root) == 2
+    assert held(spark, root) == [] and held(spark, root, 1) == [("a", 1)]
+
+
+def test_rebucket_and_vacuum(spark):
+    root = scratch_path(spark, "d")
+    for k in range(4):
+        stored(spark, root, *[(f"k{i}", k) for i in range(50)], buckets=4)
+    rebucket(spark, root, 9)
+    assert len(snapshot(spark, root).parts) == 9
+    assert vacuum(spark, root, keep_versions=1) == []  # young writes stay
+    gone = vacuum(spark, root, keep_versions=1, older_than_ms=-60_000)
+    assert len(gone) == 4 and held(spark, root) == sorted((f"k{i}", 3) for i in range(50))
+    with pytest.raises(Exception):
+        read_documents(spark, root, 2)
 
 
 def test_replayed_batch_replaces_itself(spark):
