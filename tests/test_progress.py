@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.operators import progress as thin
 from rowloom.operators.progress import job_progress, percent_of, thin_progress
 
 
@@ -56,3 +58,40 @@ def test_thin_progress_equals_sequential_loop(spark, seed):
     kept = thin_progress(df, interval_ms=interval, span_ms=span).select("job_id", "seq").collect()
     assert len(kept) == len(expected)
     assert {(r["job_id"], r["seq"]) for r in kept} == expected
+
+
+PROGRESS = "job_id string, seq bigint, n bigint, percent int, timestamp bigint, started_at bigint"
+
+
+def test_step_functions_compose_to_that_of_the_whole():
+    draw = random.Random(4)
+    for _ in range(300):
+        interval, width = draw.randint(2, 30), draw.randint(30, 90)
+        times = np.array(sorted(draw.sample(range(width * 4), draw.randint(1, 120))))
+        parts = [times[(times >= k * width) & (times < (k + 1) * width)] for k in range(4)]
+        steps = [thin._exits(p, k * width, interval) for k, p in enumerate(parts) if len(p)]
+        left, right = steps[0], steps[-1]
+        for other in steps[1:]:
+            left = thin._then(left, other)
+        for other in reversed(steps[:-1]):
+            right = thin._then(other, right)
+        for x in range(-40, 0):
+            kept = thin._kept(times, x, interval)
+            want = times[kept[-1]] if kept else x
+            assert thin._step(*left, np.array([x]))[0] == want == thin._step(*right, np.array([x]))[0]
+
+
+def test_a_long_chain_is_never_one_group(spark):
+    """One job on one percent for 3,000 spans: no row holds more than one span or two step functions."""
+    interval, width, draw = 60, 200, random.Random(8)
+    times = sorted(draw.sample(range(600_000), 30_000))
+    rows = [("j", seq, 10**9, 0, at, 0) for seq, at in enumerate(times, 1)]
+    df = spark.createDataFrame(rows, PROGRESS)
+    spans = thin.materialise(thin._spans(df, interval, width), "spans")
+    assert spans.count() > 2_900 and spans.selectExpr("max(size(times))").first()[0] <= width
+    nodes = spans.selectExpr("job_id", "percent", "node", "array(1L) AS bounds", "array(1L) AS exits")
+    pairs = thin._pairs(nodes)
+    assert pairs.count() <= spans.count() // 2 + 1
+    assert nodes.groupBy("job_id", "percent", F.floor(F.col("node") / 2)).count().agg(F.max("count")).first()[0] <= 2
+    kept = [r["seq"] for r in thin_progress(df, interval, width).select("seq").collect()]
+    assert sorted(kept) == sequential([(seq, at, 0) for _, seq, _, _, at, _ in rows], 0, interval)
