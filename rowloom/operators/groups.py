@@ -1,49 +1,244 @@
-"""Assignment of users to groups by their email."""
+"""Assignment of users to groups by their email.
+
+A rule is a pattern that must be found in the email. What a match can't do without is read
+from the pattern's syntax: runs of plain letters (all of them), and for alternatives one run
+of each (any of them). A rule is then looked up by letters, three at a time: of each run the
+three that the fewest emails have, of the rule's requirements the one that the fewest emails
+meet. Users meet only rules whose letters their email has; the pattern itself decides.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: letters of a pattern that an email must contain, by which rules and users are joined
+#: letters by which rules and emails are joined
 LETTERS = 3
-#: rules without such letters that one pass over the users may hold
-MOST_OPEN_RULES = 1_000
+#: into how many parts the users are dealt for rules that any email may fit
+OPEN_PARTS = 64
+#: escapes of one letter that stand for no letter of their own, and those that take no room
+CLASSES, EDGES = set("dDwWsShHvVRtnrfae"), set("bBAzZ")
+
+
+class _Unread(Exception):
+    """Syntax that isn't read; the pattern is tried on every email then."""
 
 
-def required_letters(pattern: Column) -> Column:
-    """The first letters of a pattern when every match must contain them; else null.
+class _Reader:
+    """Requirements of a pattern: a list of lists of runs, of each list one run must be there.
 
-    They are plain characters right at its beginning, nothing after them can undo them, and
-    the pattern has neither alternatives nor flags.
+    Only plain syntax is read: letters, escapes, sets of letters, groups, alternatives and
+    repetition. Lookaround, flags other than i, m and s, quotation, references, nested sets and
+    named classes are left unread.
     """
-    found = F.regexp_extract(pattern, rf"^\^?([A-Za-z0-9@_-]{{{LETTERS}}})(?![*?{{])", 1)
-    return F.when((found != "") & ~F.contains(pattern, F.lit("|")) & ~F.contains(pattern, F.lit("(?")), found)
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+
+    def peek(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def take(self) -> str:
+        self.at += 1
+        return self.text[self.at - 1 : self.at]
+
+    def whole(self) -> list[list[str]]:
+        if self.text.startswith("(?"):
+            flags, closed, _rest = self.text[2:].partition(")")
+            if closed and flags and set(flags) <= set("ims"):
+                self.at = len(flags) + 3
+        found = self.alternatives()
+        if self.at < len(self.text):
+            raise _Unread
+        return found
+
+    def alternatives(self) -> list[list[str]]:
+        branches = [self.sequence()]
+        while self.peek() == "|":
+            self.take()
+            branches.append(self.sequence())
+        if len(branches) == 1:
+            return branches[0]
+        if not all(branches):
+            return []
+        # a match has all that one branch requires: for each branch its longest requirement
+        best = [max(b, key=lambda runs: min(map(len, runs))) for b in branches]
+        return [sorted({run for runs in best for run in runs})]
+
+    def sequence(self) -> list[list[str]]:
+        needs, run = [], ""
+        while self.at < len(self.text) and self.peek() not in "|)":
+            letter, inner = self.atom()
+            least, once = self.repetition()
+            if letter == "" and inner is None:  # takes no room
+                continue
+            if letter and once:
+                run += letter
+            elif letter and least:
+                needs.append([run + letter])
+                run = letter
+            else:
+                needs.append([run])
+                run = ""
+                if inner and least:
+                    needs += inner
+        needs.append([run])
+        return [runs for runs in needs if all(runs)]
+
+    def atom(self) -> tuple[str | None, list[list[str]] | None]:
+        """(a plain letter; "" for what takes no room; None for any other, requirements inside)."""
+        c = self.take()
+        if c in "^$":
+            return "", None
+        if c == ".":
+            return None, []
+        if c == "(":
+            return None, self.group()
+        if c == "[":
+            return self.letters(), []
+        if c == "\\":
+            return self.escaped(), ([] if self.text[self.at - 1] not in EDGES else None)
+        if c in "*+?{":
+            raise _Unread
+        return c, []
+
+    def group(self) -> list[list[str]]:
+        if self.peek() == "?":
+            self.take()
+            if self.take() != ":":
+                raise _Unread
+        found = self.alternatives()
+        if self.take() != ")":
+            raise _Unread
+        return found
+
+    def escaped(self) -> str | None:
+        c = self.take()
+        if not c or (c.isalnum() and c not in CLASSES and c not in EDGES):
+            raise _Unread
+        return None if c in CLASSES else "" if c in EDGES else c
+
+    def letters(self) -> str | None:
+        """A set of letters; one of a single letter is that letter."""
+        inside = []
+        if self.peek() == "]" or self.text[self.at : self.at + 2] == "^]":
+            raise _Unread
+        while (c := self.take()) != "]":
+            if c in ("", "[", "&"):
+                raise _Unread
+            if c == "\\":
+                c += self.take()
+                if c[1:].isalnum() and c[1:] not in CLASSES:
+                    raise _Unread
+            inside.append(c)
+        if len(inside) == 1 and inside[0] != "^" and not inside[0][1:].isalnum():
+            return inside[0][-1]
+        return None
+
+    def repetition(self) -> tuple[bool, bool]:
+        """(at least once, exactly once)."""
+        c = self.peek()
+        if c == "{":
+            said = self.text[self.at + 1 : self.text.find("}", self.at)] if "}" in self.text[self.at :] else ""
+            low, comma, high = said.partition(",")
+            if not low.isdigit() or not (high.isdigit() or not high):
+                raise _Unread
+            self.at += len(said) + 2
+            least, once = int(low) > 0, low == "1" and (not comma or high == "1")
+        elif c and c in "*+?":
+            self.take()
+            least, once = c == "+", False
+        else:
+            return True, True
+        if self.peek() and self.peek() in "+?":  # possessive or reluctant
+            self.take()
+        if self.peek() and self.peek() in "*+?{":
+            raise _Unread
+        return least, once
+
+
+def required_runs(pattern: str) -> list[list[str]]:
+    """What every match must contain: of each list one of its runs, in ASCII lower case. Runs
+    shorter than three letters say too little and are left out with their list."""
+    try:
+        needs = _Reader(pattern).whole()
+    except _Unread:
+        return []
+    plain = lambda run: max(re.split(r"[^\x00-\x7F]+", run), key=len).lower()
+    kept = {tuple(sorted({plain(run) for run in runs})) for runs in needs}
+    return sorted(list(runs) for runs in kept if all(len(run) >= LETTERS for run in runs))
+
+
+def _pieces(text: Column) -> Column:
+    """All three letters in a row of a text, each once."""
+    starts = F.sequence(F.lit(1), F.length(text) - (LETTERS - 1))
+    pieces = F.transform(starts, lambda i: F.substring(text, i, F.lit(LETTERS)))
+    return F.when(F.length(text) >= LETTERS, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _read_runs(patterns: pd.Series) -> pd.Series:
+    return patterns.map(required_runs)
+
+
+def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The letters a rule is looked up by, from how many emails have each."""
+    for rules in batches:
+        chosen = []
+        for runs, known in zip(rules["runs"], rules["known"], strict=True):
+            emails = {} if known is None else {x["piece"]: x["emails"] for x in known}
+            best = None
+            for need in runs:
+                pieces = [[run[i : i + LETTERS] for i in range(len(run) - LETTERS + 1)] for run in need]
+                rarest = [min((emails.get(piece, 0), piece) for piece in of_run) for of_run in pieces]
+                cost = sum(n for n, _ in rarest)
+                if best is None or cost < best[0]:
+                    best = cost, sorted({piece for _, piece in rarest})
+            chosen.append([] if best is None else best[1])
+        yield pd.DataFrame({"pattern": rules["pattern"], "pieces": chosen})
+
+
+def rule_letters(users: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pieces`` for each of the distinct ``patterns``: the letters of which every email that
+    it fits has one. None for patterns that any email may fit."""
+    read = patterns.withColumn("runs", _read_runs("pattern"))
+    pieces = F.array_distinct(F.flatten(F.transform(F.flatten("runs"), _pieces)))
+    asked = read.select("pattern", "runs", pieces.alias("asked"))
+    wanted = asked.select(F.explode("asked").alias("piece"))
+    emails = users.select(F.explode(_pieces(F.lower("email"))).alias("piece"))
+    counts = emails.join(wanted.distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("emails"))
+    each = asked.select("pattern", F.explode("asked").alias("piece")).join(counts, "piece")
+    known = each.groupBy("pattern").agg(F.collect_list(F.struct("piece", "emails")).alias("known"))
+    return read.join(known, "pattern", "left").mapInPandas(_choose, "pattern string, pieces array<string>")
 
 
 def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
     """(user_id, group_id) for sign-up groups whose pattern is found in the email.
 
-    Rules that begin with plain letters are joined with the users whose email contains these
-    letters, and verified; so a user only meets rules that may fit. The others, which any
-    email may fit, are tried in one narrow pass; there may be ``MOST_OPEN_RULES`` of them.
+    Emails and rules meet by letters that a match can't do without. Rules without such letters
+    are tried on every email, as they must be; users are dealt into parts for that, so that no
+    task tries all. There is no limit on rules of either kind, and which side is broadcast is
+    left to the planner, by size.
     """
     rules = (
         groups.filter(F.coalesce(F.col("add_to_user_on_signup"), F.lit(False)))
         .filter(F.coalesce(F.col("email_regex_match"), F.lit("")) != "")
-        .select("group_id", "email_regex_match")
+        .select("group_id", F.col("email_regex_match").alias("pattern"))
         .distinct()
-        .withColumn("_letters", required_letters(F.col("email_regex_match")))
     )
-    open_rules = rules.filter(F.col("_letters").isNull()).limit(MOST_OPEN_RULES + 1).collect()
-    if len(open_rules) > MOST_OPEN_RULES:
-        raise ValueError(f"more than {MOST_OPEN_RULES} rules begin without {LETTERS} plain letters")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("email") - LETTERS + 1))
-    letters = F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("email"), i, F.lit(LETTERS))))
-    near = users.filter(F.col("email").isNotNull()).select("user_id", "email", F.explode(letters).alias("_letters"))
-    found = near.join(rules.filter(F.col("_letters").isNotNull()), "_letters")
-    found = found.filter(F.expr("email rlike email_regex_match")).select("user_id", "group_id")
-    if not open_rules:
-        return found
-    hits = [F.when(F.col("email").rlike(r["email_regex_match"]), F.lit(r["group_id"])) for r in open_rules]
-    any_ = F.explode(F.filter(F.array(*hits), lambda g: g.isNotNull()))
-    return found.unionByName(users.select("user_id", any_.alias("group_id")))
+    users = users.filter(F.col("email").isNotNull()).select("user_id", "email")
+    looked = rules.join(rule_letters(users, rules.select("pattern").distinct()), "pattern")
+    by_piece = looked.select("group_id", "pattern", "pieces", F.explode("pieces").alias("_piece"))
+    every_part = F.transform(F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1)), lambda k: F.concat(F.lit("part "), k.cast("string")))
+    by_part = looked.filter(F.size("pieces") == 0).select("group_id", "pattern", "pieces", F.explode(every_part).alias("_piece"))
+    # the name of a part is longer than three letters, so it is none of an email's
+    part = F.concat(F.lit("part "), F.pmod(F.xxhash64("user_id", "email"), F.lit(OPEN_PARTS)).cast("string"))
+    asked = users.select("user_id", "email", F.explode(F.concat(_pieces(F.lower("email")), F.array(part))).alias("_piece"))
+    met = asked.join(by_piece.unionByName(by_part), "_piece")
+    # an email that has several of a rule's letters meets it once, at the first of them
+    has = F.filter("pieces", lambda piece: F.contains(F.lower("email"), piece))
+    once = (F.size("pieces") == 0) | (F.get(has, F.lit(0)) == F.col("_piece"))
+    return met.filter(once).filter(F.expr("email rlike pattern")).select("user_id", "group_id")

@@ -122,14 +122,26 @@ WITH users AS (
     SELECT c_custkey AS user_id, 'c' || c_custkey || '@' || lower(c_mktsegment) || '.example.com' AS email
     FROM customer),
 user_groups AS (
-    SELECT 'g_even' AS group_id, '[02468]@' AS pattern UNION ALL SELECT 'g_auto', '@automobile'
-    UNION ALL SELECT 'g_n' || n_nationkey, '^c' || n_nationkey || '[0-9]*@' FROM nation WHERE n_regionkey <> 2)
-SELECT user_id, group_id FROM users JOIN user_groups ON regexp_matches(email, pattern)""")
+    SELECT 'g_even' AS group_id, '[02468]@' AS pattern, '@' AS has UNION ALL SELECT 'g_auto', '@automobile', '@'
+    UNION ALL SELECT 'g_n' || n_nationkey, '^c' || n_nationkey || '[0-9]*@', 'c' || n_nationkey
+    FROM nation WHERE n_regionkey <> 2
+    UNION ALL SELECT 'g_s' || s_suppkey, '^c[0-9]+' || (s_suppkey % 900 + 100) || '@(?:auto|machi)',
+           (s_suppkey % 900 + 100) || '@' FROM supplier
+    UNION ALL SELECT 'g_d' || doc_id, '(c' || doc_id || '@|u' || doc_id || '@)[a-z]+[.]example', doc_id || '@'
+    FROM documents)
+SELECT user_id, group_id FROM users JOIN user_groups
+ON CASE WHEN contains(email, has) THEN regexp_matches(email, pattern) ELSE FALSE END""")
 def _(t: Tables):
+    """A rule per document and per supplier (11,000 at scale 0.1): for one user, for some, for
+    many, and some without any letters to look them up by."""
     users = t.read("customer").select(
         F.col("c_custkey").alias("user_id"),
         text("c", F.col("c_custkey"), "@", F.lower("c_mktsegment"), ".example.com").alias("email"),
     )
+    rule = lambda df, name, pattern: df.select(
+        name.alias("group_id"), pattern.alias("email_regex_match"), F.lit(True).alias("add_to_user_on_signup")
+    )
+    supplier, doc = F.col("s_suppkey"), F.col("doc_id")
     groups = t.read("nation").select(
         text("g_n", F.col("n_nationkey")).alias("group_id"),
         text("^c", F.col("n_nationkey"), "[0-9]*@").alias("email_regex_match"),
@@ -139,4 +151,10 @@ def _(t: Tables):
         "group_id, email_regex_match, add_to_user_on_signup",
         ("g_even", "[02468]@", True), ("g_auto", "@automobile", True), ("g_off", ".*", False),
     )
-    return match_groups(users, groups.unionByName(fixed))
+    for more in (
+        fixed,
+        rule(t.read("supplier"), text("g_s", supplier), text("^c[0-9]+", supplier % 900 + 100, "@(?:auto|machi)")),
+        rule(t.read("documents"), text("g_d", doc), text("(c", doc, "@|u", doc, "@)[a-z]+[.]example")),
+    ):
+        groups = groups.unionByName(more)
+    return match_groups(users, groups)

@@ -1,7 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.operators.groups import match_groups
+from rowloom.operators.groups import match_groups, required_runs, rule_letters
 from rowloom.operators.updates import derive_mappings, missing_items, update_back
 from rowloom.schemas import LINKS, MAPPINGS, NODES
 
@@ -59,16 +62,78 @@ def test_items_without_an_id_are_left_alone(spark):
     assert [r[0] for r in missing_items(items, results).collect()] == ["unknown"]
 
 
-def test_match_groups(spark, monkeypatch):
-    users = spark.createDataFrame([(1, "ann@x.org"), (2, "bob@y.org"), (3, None), (4, "")], "user_id bigint, email string")
+def matched(spark, users, rules):
+    users = spark.createDataFrame(users, "user_id bigint, email string")
+    groups = spark.createDataFrame(rules, "group_id string, email_regex_match string, add_to_user_on_signup boolean")
+    return sorted((r["user_id"], r["group_id"]) for r in match_groups(users, groups).collect())
+
+
+def test_match_groups(spark):
+    users = [(1, "ann@x.org"), (2, "bob@y.org"), (3, None), (4, "")]
     rules = [
         ("x", "@x", True), ("b", "^b", True), ("all", ".", True), ("off", ".", False), ("blank", "", True), ("null", None, True),
         ("ann", "ann@", True), ("zero", "ann?z*", True), ("either", "bob|ann", True), ("start", "^bob@y[.]", True), ("not", "^nn@", True),
-    ]
-    groups = spark.createDataFrame(rules, "group_id string, email_regex_match string, add_to_user_on_signup boolean")
-    want = [(1, "all"), (1, "ann"), (1, "either"), (1, "x"), (1, "zero"), (2, "all"), (2, "b"), (2, "either"), (2, "start")]
-    assert sorted((r["user_id"], r["group_id"]) for r in match_groups(users, groups).collect()) == want
-    assert match_groups(users, groups.filter(F.lit(False))).count() == 0
-    monkeypatch.setattr("rowloom.operators.groups.MOST_OPEN_RULES", 2)
-    with pytest.raises(ValueError):
-        match_groups(users, groups)
+        ("none", "$", True), ("case", "(?i)ANN@X", True), ("upper", "ANN", True), ("twice", "(ann|x[.]org|org)", True),
+    ]
+    assert matched(spark, users, rules) == [
+        (1, "all"), (1, "ann"), (1, "case"), (1, "either"), (1, "none"), (1, "twice"), (1, "x"), (1, "zero"),
+        (2, "all"), (2, "b"), (2, "either"), (2, "none"), (2, "start"), (2, "twice"), (4, "none"),
+    ]
+    assert matched(spark, users, []) == [] and matched(spark, [], rules) == []
+
+
+@pytest.mark.parametrize(
+    "pattern, runs",
+    [
+        ("[0-9]+@shop", [["@shop"]]), ("abc", [["abc"]]), ("ab", []), ("abcd?", [["abc"]]), ("abc*de", []), ("abcc+de", [["abcc"], ["cde"]]),
+        ("(foo|barn)@", [["barn", "foo"]]), ("(foo|b)@", []), ("foo|bar", [["bar", "foo"]]), ("a(?:bcd)efg", [["bcd"], ["efg"]]),
+        ("(?:bcd)?efg", [["efg"]]), ("(?:bcd){2,}efg", [["bcd"], ["efg"]]), ("x\\.org$", [["x.org"]]), ("x[.]org", [["x.org"]]), ("[a]bc", [["abc"]]),
+        ("\\Qabc\\E", []), ("(?=abc)def", []), ("(?x)a b c", []), ("(?i)ABC", [["abc"]]), ("[a-z&&[^b]]abc", []), ("\\bjoe\\b", [["joe"]]),
+        ("abc\\ddef", [["abc"], ["def"]]), ("\\x41bcd", []), ("ab{3}cd", [["bcd"]]), ("naïve@x", [["ve@x"]]), ("(a(bcd|efgh)+i|jkl)", [["bcd", "efgh", "jkl"]]),
+    ],
+)
+def test_required_runs(pattern, runs):
+    assert required_runs(pattern) == runs
+
+
+def test_matches_have_what_their_pattern_requires():
+    draw = random.Random(6)
+
+    def made(depth=0):
+        parts = []
+        for _ in range(draw.randint(1, 5)):
+            atom = draw.choice(["abc", "b", "ca", "@", "[.]", "\\.", "[ab]", "[^c]", ".", "\\w"] + ["("] * (depth < 2))
+            if atom == "(":
+                atom = draw.choice(["(", "(?:"]) + "|".join(made(depth + 1) for _ in range(draw.randint(1, 3))) + ")"
+            elif len(atom) > 1 and atom.isalpha():
+                parts.append(atom)
+                continue
+            often = ["", "", "?", "{2}", "{0,1}", "{1,2}"] + ["*", "+", "+?"] * (depth == 0 and atom[0] != "(")
+            parts.append(atom + draw.choice(often))  # nothing endless inside a group, or search takes forever
+        return "".join(parts)
+
+    met = 0
+    for _ in range(3_000):
+        pattern = draw.choice(["", "^"]) + made() + draw.choice(["", "$"])
+        needs = required_runs(pattern)
+        for _ in range(20):
+            email = "".join(draw.choice("abc@.") for _ in range(draw.randint(0, 12)))
+            if re.search(pattern, email):
+                met += 1
+                assert all(any(run in email for run in runs) for runs in needs), (pattern, email)
+    assert met > 2_000
+
+
+def test_many_rules_of_both_kinds(spark):
+    """Rules are looked up by their rarest letters, so hardly any user meets a rule in vain; and
+    there may be any number of rules without letters."""
+    users = [(i, f"user{i:04}@shop{i % 7}.com") for i in range(400)]
+    rules = [(f"g{i}", f"[0-9]+@shop{i}[.]|^user{i:04}@", True) for i in range(600)]
+    opened = [(f"o{i}", f"{i % 10}{i // 10 % 10}@", True) for i in range(1_100)]
+    want = [(u, g) for u, email in users for g, pattern, _ in rules + opened if re.search(pattern, email)]
+    assert matched(spark, users, rules + opened) == sorted(want)
+    patterns = spark.createDataFrame([(p,) for _, p, _ in rules], "pattern string")
+    letters = rule_letters(spark.createDataFrame(users, "user_id bigint, email string"), patterns).collect()
+    assert all(r["pieces"] for r in letters)
+    tried = sum(any(piece in email for piece in r["pieces"]) for r in letters for _, email in users)
+    assert tried < len(users) * len(rules) / 20
