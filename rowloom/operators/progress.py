@@ -129,7 +129,8 @@ def _each_batch(df: DataFrame, schema: str, keep: tuple[str, ...], make) -> Data
 
 def _spans(progress: DataFrame, interval: int, width: int) -> DataFrame:
     """Chains that last an interval or more, a row per span of them: its distinct times in
-    order and the first row of each (``times``, ``seqs``), and the chain's ``start`` and ends."""
+    order and the first row of each (``times``, ``seqs``), the chain's ``start`` and ends, and
+    the span's number in the chain as ``node``."""
     chains = (
         progress.groupBy("job_id", "percent")
         .agg(F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to"), F.min("started_at").alias("_at"))
@@ -143,9 +144,12 @@ def _spans(progress: DataFrame, interval: int, width: int) -> DataFrame:
     steps = progress.groupBy("job_id", "percent", "timestamp").agg(F.min("seq").alias("seq"))
     return (
         steps.join(chains, ["job_id", "percent"])
-        .groupBy("job_id", "percent", "start", "first", "last", F.floor(F.col("timestamp") / width).alias("node"))
+        .groupBy("job_id", "percent", "start", "first", "last", F.floor(F.col("timestamp") / width).alias("span"))
         .agg(F.sort_array(F.collect_list(F.struct("timestamp", "seq"))).alias("_steps"))
-        .select("job_id", "percent", "start", "first", "last", "node", F.col("_steps.timestamp").alias("times"), F.col("_steps.seq").alias("seqs"))
+        .select(
+            "job_id", "percent", "start", "first", "last", "span", (F.col("span") - F.col("first")).alias("node"),
+            F.col("_steps.timestamp").alias("times"), F.col("_steps.seq").alias("seqs"),
+        )
     )
 
 
@@ -182,23 +186,22 @@ def _entered(spans: DataFrame, interval: int, width: int) -> DataFrame:
     child with what the left one makes of that. A chain of n spans takes log2(n) rounds.
     """
     cut = spans.filter("first < last")
-    reach = F.length(F.bin(F.col("first").bitwiseXOR(F.col("last"))))
-    rounds = cut.agg(F.max(reach)).first()[0] or 0
+    rounds = int(cut.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0).bit_length()
     kinds = dict(spans.dtypes)
     head = f"job_id {kinds['job_id']}, percent {kinds['percent']}, node bigint"
 
     def summed(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        lines = zip(_arrays(batch.column("times")), batch.column("node").to_pylist(), batch.column("start").to_pylist(), strict=True)
+        lines = zip(_arrays(batch.column("times")), batch.column("span").to_pylist(), batch.column("start").to_pylist(), strict=True)
         # a chain's first span is entered with the chain's start, which may lie inside it
-        made = [_exits(times, max(node * width, start + 1), interval) for times, node, start in lines]
+        made = [_exits(times, max(span * width, start + 1), interval) for times, span, start in lines]
         return {"bounds": _lists([m[0] for m in made]), "exits": _lists([m[1] for m in made])}
 
-    nodes = _each_batch(cut.select("job_id", "percent", "node", "start", "times"), f"{head}, {STEPS}", ("job_id", "percent", "node"), summed)
+    nodes = _each_batch(cut.select("job_id", "percent", "node", "span", "start", "times"), f"{head}, {STEPS}", ("job_id", "percent", "node"), summed)
     levels = []
     for _round in range(rounds):
         levels.append(materialise(_pairs(nodes), "pairs"))
         nodes = _composed(levels[-1])
-    begun = cut.select("job_id", "percent", F.floor(F.col("node") / 2**rounds).alias("node"), F.col("start").alias("before")).distinct()
+    begun = cut.filter("node = 0").select("job_id", "percent", "node", F.col("start").alias("before"))
     for pairs in reversed(levels):
         both = pairs.join(begun, ["job_id", "percent", "node"])
         fitting = F.filter(F.arrays_zip("left.bounds", "left.exits"), lambda step: step["bounds"] >= F.col("before"))
