@@ -5,9 +5,9 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.operators.fanout import fan_out_collection, fan_out_files, fan_out_stream
+from rowloom.operators.fanout import fan_out_collection, fan_out_files, fan_out_stream, hash_blocks, range_blocks
 from rowloom.operators.topn import first_per_group
-from rowloom.sources.collections import exclude_jobs, multi_get, union_pages
+from rowloom.sources.collections import exclude_jobs, multi_get, union_pages, with_item_id
 from rowloom.sources.streams import read_stream
 
 ITEMS = "owner string, pk string, object_id string"
@@ -71,12 +71,11 @@ def test_stream_limit_and_empty_stream(spark):
     assert "d" not in per_job
 
 
-@pytest.mark.parametrize("block_ms", [1, 7, 3_600_000])
-def test_streams_are_read_whole_by_default(spark, block_ms):
+def test_streams_are_read_whole_by_default(spark):
     times = [None, -5, 0, 3, 3, 12, 99_999_999]
     events = [("s", t, str(k)) for k, t in enumerate(times)] + [("t", 1, "x")]
     jobs = spark.createDataFrame([("j", "s")], "object_id string, stream_id string")
-    out = fan_out_stream(jobs, spark.createDataFrame(events, EVENTS).repartition(3), block_ms=block_ms).collect()
+    out = fan_out_stream(jobs, spark.createDataFrame(events, EVENTS).repartition(3)).collect()
     assert sorted((r["seq"], r["item_timestamp"], r["n"]) for r in out) == [(i, t, 7) for i, t in enumerate(times, 1)]
     assert read_stream(spark.createDataFrame(events, EVENTS), "s").count() == 7
 
@@ -103,3 +102,49 @@ def test_multi_get_and_pages(spark):
     again = spark.createDataFrame([("o", "p1", "1"), ("o", None, "2")], ITEMS)
     assert union_pages(again, pages).count() == 4
     assert exclude_jobs(spark.createDataFrame([("o", "h/job.1", "1"), ("o", None, "2"), ("o", "job.1", "3")], ITEMS)).count() == 2
+
+
+@pytest.fixture
+def eight_ranges(spark):
+    """Ranges that adaptive execution doesn't join again, as the rows here are few."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("time", [None, 77])
+def test_items_of_one_moment_or_none_are_spread(spark, eight_ranges, time):
+    """A task ranks and sorts one block: here an eighth of a stream whose times say nothing."""
+    events = [("s", time, f"{k:05}") for k in range(4_000)] + [("t", k, str(k)) for k in range(30)]
+    df = spark.createDataFrame(events, EVENTS).repartition(3)
+    sizes = range_blocks(df, "stream_id", [F.col("timestamp"), F.col("object_id")], "items").groupBy("_block").count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 2 * 4_030 / 8
+    jobs = spark.createDataFrame([("j", "s"), ("k", "t"), ("l", None)], "object_id string, stream_id string")
+    out = fan_out_stream(jobs, df).collect()
+    seqs = sorted((r["seq"], r["item_object_id"]) for r in out if r["object_id"] == "j")
+    assert seqs == [(i, f"{i - 1:05}") for i in range(1, 4_001)]
+    assert sorted(r["seq"] for r in out if r["object_id"] == "k") == list(range(1, 31))
+
+
+def test_items_of_equal_order_are_spread_by_what_they_hold(spark, eight_ranges):
+    df = spark.range(4_000).selectExpr("'s' AS stream_id", "5L AS timestamp", "'same' AS object_id", "id", "map('k', id) AS props")
+    sizes = range_blocks(df, "stream_id", [F.col("timestamp"), F.col("object_id")], "items").groupBy("_block").count().collect()
+    assert max(r["count"] for r in sizes) < 2 * 4_000 / 8
+    jobs = spark.createDataFrame([("j", "s")], "object_id string, stream_id string")
+    assert sorted(r["seq"] for r in fan_out_stream(jobs, df).collect()) == list(range(1, 4_001))
+
+
+@pytest.mark.parametrize("digits", [0, 1, 3])
+def test_items_without_an_id_are_spread_and_stay_in_place(spark, digits):
+    rows = [("o", None, None, i) for i in range(2_000)] + [("o", f"k{i}", None, i) for i in range(500)]
+    items = spark.createDataFrame(rows, ITEMS + ", v int").repartition(3)
+    if digits:
+        blocks = hash_blocks(with_item_id(items), digits, items.columns).groupBy("_block").count()
+        assert blocks.agg(F.max("count")).first()[0] < 3 * 2_500 / 16**digits + 20
+    jobs = spark.createDataFrame([("j", "o")], "object_id string, collection_owner string")
+    out = sorted((r["seq"], r["item_id"]) for r in fan_out_collection(jobs, items, digits).collect())
+    ids = sorted((r[1] or "unknown" for r in rows), key=lambda i: (md5(i.encode()).hexdigest(), i))
+    assert out == list(enumerate(ids, 1))
