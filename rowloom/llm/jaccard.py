@@ -37,7 +37,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rowloom.llm.common import hashed, prepare, raw, rolling, scramble, word_hashes
+from rowloom.llm.common import hashed, prepare, raw, rolling, scramble, unused, word_hashes
 from rowloom.llm.graph import components
 from rowloom.session import materialise
 
@@ -71,7 +71,8 @@ def _deal(width: int, parts: int):
 
         def rows():
             hold = task * 1_000_000 + holds
-            out = [(0, hold % parts, hold, i, n, d, np.uint16(k).tobytes(), None) for k, (i, n, d) in enumerate(zip(ids, sizes, digests))]
+            spot = int(scramble(np.array([hold], np.uint64))[0] % np.uint64(parts))
+            out = [(0, spot, hold, i, n, d, np.uint16(k).tobytes(), None) for k, (i, n, d) in enumerate(zip(ids, sizes, digests))]
             tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             idx = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
             order = np.argsort(tokens, kind="stable")
@@ -80,7 +81,7 @@ def _deal(width: int, parts: int):
             count = np.diff(first, append=len(tokens))
             often = np.repeat(count >= OFTEN, count)
             if often.any():
-                out.append((3, hold % parts, hold, None, None, None, idx[often].tobytes(), tokens[often].tobytes()))
+                out.append((3, spot, hold, None, None, None, idx[often].tobytes(), tokens[often].tobytes()))
             heads, number = tokens[first[count >= OFTEN]], count[count >= OFTEN].astype(np.uint16)
             for kind, values, extra in ((1, tokens[~often], idx[~often]), (2, heads, number)):
                 part = (scramble(values) % np.uint64(parts)).astype(np.int64)
@@ -244,6 +245,9 @@ class PrefixTree:
             self.least[k], self.most[k], self.longest[k] = self.sizes[span].min(), self.sizes[span].max(), lengths[span].max()
         by = np.argsort(self.parent, kind="stable")
         self.children = by
+        tops = np.flatnonzero(self.parent < 0)
+        tops = tops[np.argsort(self.lo[tops])]
+        self.top = tops[np.searchsorted(self.lo[tops], np.arange(len(self.sets)), "right") - 1]
         self.child_lo = np.searchsorted(self.parent[by], np.arange(-1, len(a)))
         self.child_hi = np.searchsorted(self.parent[by], np.arange(-1, len(a)), "right")
 
@@ -258,13 +262,13 @@ class PrefixTree:
         lo, hi = self.child_lo[nodes + 1], self.child_hi[nodes + 1]
         return self.children[_ranges(lo, hi - lo)]
 
-    def walk(self, q: int, percent: int, skip: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """Leaves after ``q`` that link with it. ``skip``: nodes not to enter."""
+    def walk(self, q: int, percent: int, nodes: np.ndarray, known: Known, mark: np.ndarray) -> np.ndarray:
+        """Leaves after ``q`` that link with it, below ``nodes``, that aren't known to be connected."""
         mine, n = self.sets[q], self.sizes[q]
         mark[mine] = True
-        nodes, sums, found = self._below(np.array([-1])), None, []
+        sums, found = None, []
         while len(nodes):
-            ok = (self.hi[nodes] > q) & ~skip[nodes] & (100 * self.most[nodes] >= percent * n) & (percent * self.least[nodes] <= 100 * n)
+            ok = (self.hi[nodes] > q) & ~known.same(q, nodes) & (100 * self.most[nodes] >= percent * n) & (percent * self.least[nodes] <= 100 * n)
             nodes = nodes[ok]
             sums = np.zeros(len(nodes), np.int64) if sums is None else sums[ok]
             if not len(nodes):
@@ -293,6 +297,70 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class Known:
+    """Which sets are connected, and which subtrees and shingles have connected sets only.
+
+    Merges are noted at once, on labels. What subtrees and shingles tell is brought up to date
+    after some share of all merges, so a tree is passed over a bounded number of times; in
+    between it may say "not connected" too often, which costs steps but no link.
+    """
+
+    REFRESHES = 64
+
+    def __init__(self, tree: PrefixTree, label: np.ndarray, prefixes: list[np.ndarray]):
+        self.tree, self.label = tree, label
+        self.parent = list(range(int(label.max()) + 1))
+        self.left = len(np.unique(label))
+        flat = np.concatenate(prefixes)
+        leaf = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
+        by = np.argsort(flat, kind="stable")
+        self.leaves, tokens = leaf[by], flat[by]
+        self.first = np.searchsorted(tokens, np.arange(len(tree.values) + 1))
+        self.each = max(16, len(label) // self.REFRESHES)
+        self.refresh()
+
+    def find(self, label: int) -> int:
+        parent = self.parent
+        while parent[label] != label:
+            parent[label] = parent[parent[label]]
+            label = parent[label]
+        return label
+
+    def refresh(self) -> None:
+        self.label = np.array([self.find(x) for x in range(len(self.parent))])[self.label]
+        change = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
+        self.even = change[self.tree.lo] == change[self.tree.hi]
+        # the label of all sets that have a shingle in their prefix, -1 if they have several
+        self.common = np.full(len(self.first) - 1, -1)
+        used = np.flatnonzero(self.first[1:] > self.first[:-1])
+        if len(used):
+            labels, starts = self.label[self.leaves], self.first[used]
+            low, high = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
+            self.common[used] = np.where(low == high, low, -1)
+        self.merges = 0
+
+    def same(self, q: int, nodes: np.ndarray) -> np.ndarray:
+        return self.even[nodes] & (self.label[self.tree.lo[nodes]] == self.label[q])
+
+    def tops(self, q: int, prefix: np.ndarray) -> np.ndarray:
+        """Where to begin: the subtrees with a later set that shares a prefix shingle with ``q``."""
+        open_ = prefix[self.common[prefix] != self.label[q]]
+        lo, hi = self.first[open_], self.first[open_ + 1]
+        leaves = self.leaves[_ranges(lo, hi - lo)]
+        return np.unique(self.tree.top[leaves[leaves > q]])
+
+    def merge(self, q: int, found: np.ndarray) -> None:
+        mine = self.find(int(self.label[q]))
+        for label in np.unique(self.label[found]).tolist():
+            other = self.find(label)
+            if other != mine:
+                self.parent[other] = mine
+                self.left -= 1
+                self.merges += 1
+        if self.merges >= self.each:
+            self.refresh()
+
+
 def link_sets(sets: list[np.ndarray], sizes: np.ndarray, percent: int, known: np.ndarray | None = None) -> np.ndarray:
     """A label per set: the smallest index of the sets it is connected with.
 
@@ -303,30 +371,22 @@ def link_sets(sets: list[np.ndarray], sizes: np.ndarray, percent: int, known: np
         return np.zeros(m, np.int64)
     tree = PrefixTree(sets, sizes)
     order = np.array(tree.order)
-    if known is None:
-        label = np.arange(m)
-    else:
-        label = np.unique(np.asarray(known)[order], return_inverse=True)[1]
+    label = np.arange(m) if known is None else np.unique(np.asarray(known)[order], return_inverse=True)[1]
+    lone = tree.sizes - np.array([len(x) for x in tree.sets])
+    reach = np.maximum(_prefix(tree.sizes, percent) - lone, 0)
+    prefixes = [x[:k] for x, k in zip(tree.sets, reach, strict=True)]
+    state = Known(tree, label, prefixes)
     mark = np.zeros(len(tree.values), bool)
-
-    def uniform() -> np.ndarray:
-        """Nodes whose leaves are all connected."""
-        change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
-        return change[tree.lo] == change[tree.hi]
-
-    even = uniform()
     for q in range(m - 1):
-        if (label == label[0]).all():
+        if state.left == 1:
             break
-        skip = even & (label[tree.lo] == label[q])
-        found = tree.walk(q, percent, skip, mark)
-        other = np.unique(label[found]) if len(found) else found
-        other = other[other != label[q]] if len(other) else other
-        if len(other):
-            label[np.isin(label, other)] = label[q]
-            even = uniform()
+        tops = state.tops(q, prefixes[q])
+        found = tree.walk(q, percent, tops, state, mark) if len(tops) else tops
+        if len(found):
+            state.merge(q, found)
+    state.refresh()
     out = np.empty(m, np.int64)
-    out[order] = label
+    out[order] = state.label
     first = np.full(out.max() + 1, m, np.int64)
     np.minimum.at(first, out, np.arange(m))
     return first[out]
@@ -458,6 +518,6 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     kept = connected(docs.select("doc_id", "text"), width, percent).where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    same = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    rows = rows.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    same, n = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)), unused(docs, "n")
+    rows = rows.withColumn(n, F.row_number().over(same)).where(F.col(n) == 1).drop(n)
     return rows.unionByName(docs.where("doc_id IS NULL"))

@@ -82,3 +82,35 @@ def test_edges(edges, nothing):
     assert jaccard.connected(nothing.select("doc_id", "text")).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(5) == 0 and ids.count(4) == 1 and ids.count(None) == 2
+
+
+def test_many_short_sets_take_seconds():
+    """Work grows with what sets share, not with the number of sets in the tree."""
+    import time
+
+    draw = np.random.default_rng(3)
+    sets = [np.unique(draw.integers(0, 400_000, 8)) for _ in range(60_000)]
+    for k in range(0, 2_000, 2):  # some that link
+        sets[k + 1] = sets[k]
+    begun = time.perf_counter()
+    label = jaccard.link_sets(sets, np.array([len(s) for s in sets]), 80)
+    assert time.perf_counter() - begun < 60
+    assert all(label[k + 1] == label[k] == k for k in range(0, 2_000, 2))
+
+
+def test_a_large_group_takes_seconds():
+    import time
+
+    base = np.arange(0, 600, 2)
+    draw = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.delete(base, draw.integers(0, 300, 5)), draw.integers(0, 10_000, 5) * 2 + 1])) for _ in range(3_000)]
+    begun = time.perf_counter()
+    label = jaccard.link_sets(sets, np.array([len(s) for s in sets]), 80)
+    assert time.perf_counter() - begun < 30 and len(np.unique(label)) == 1
+
+
+@pytest.mark.parametrize("parts", [4, 5, 10, 100, 3_000])
+def test_holds_are_dealt_over_all_parts(parts):
+    holds = np.arange(2_110, dtype=np.uint64) * np.uint64(1_000_000)
+    spots = np.bincount((jaccard.scramble(holds) % np.uint64(parts)).astype(np.int64), minlength=parts)
+    assert spots.max() < 3 * 2_110 / parts + 8
