@@ -1,7 +1,7 @@
 """Exact dedup: a minimal perfect hash over the distinct digests of the historical texts.
 
-The digests of the history are dealt to buckets of a few thousand by their own bytes, so
-that buckets are even whatever the data. Each bucket gets a minimal perfect hash (hash and
+The digests are dealt to buckets of a few thousand by their own bytes, so that buckets are
+even whatever the data; there are enough of them for the history and for the new texts. Each bucket gets a minimal perfect hash (hash and
 displace): a slot per digest, holding the full digest and the locator of the row that won.
 New texts are grouped first, so each distinct digest is looked up once; a lookup compares
 all 32 bytes, because a perfect hash sends strangers to some slot too. Members are repeats
@@ -23,11 +23,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rowloom.llm.common import SPACE, prepare, whole
+from rowloom.llm.common import SPACE, prepare, unused, whole
 from rowloom.session import materialise
 
 #: digests in a bucket of the index, and in a displacement group of a bucket
 PER_BUCKET, PER_GROUP = 4_096, 4
+#: buckets that a task builds; their rows are few bytes, so size says nothing of the work
+PER_TASK = 8
+#: displacements tried at once, at first
+TRIED = 32
 
 INDEX = "bucket long, displacements binary, digests binary, locators binary"
 
@@ -39,7 +43,7 @@ def digest(text: str | Column) -> Column:
 def _slots(words: np.ndarray, displacement: np.ndarray | int, n: int) -> np.ndarray:
     """Slot of each digest under a displacement; ``words``: (rows, 4) unsigned 64 bits."""
     with np.errstate(over="ignore"):
-        x = words[:, 1] + np.asarray(displacement, np.uint64) * (words[:, 2] | np.uint64(1))
+        x = words[..., 1] + np.asarray(displacement, np.uint64) * (words[..., 2] | np.uint64(1))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return ((x >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
 
@@ -62,12 +66,18 @@ def build_hash(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     taken = np.zeros(n, bool)
     for rows in members:
         if len(rows) == 1:
-            continue
-        for d in range(1 << 30):
-            at = _slots(words[rows], d, n)
-            if not taken[at].any() and len(np.unique(at)) == len(rows):
+            break
+        begin, tried = 0, TRIED
+        while True:  # many displacements at once
+            tries = np.arange(begin, begin + tried)
+            at = _slots(words[rows], tries[:, None], n)
+            ordered = np.sort(at, axis=1)
+            fit = ~taken[at].any(axis=1) & (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+            if fit.any():
                 break
-        taken[at], slots[rows], found[groups[rows[0]]] = True, at, d
+            begin, tried = begin + tried, min(2 * tried, 1 << 14)
+        k = int(fit.argmax())
+        taken[at[k]], slots[rows], found[groups[rows[0]]] = True, at[k], tries[k]
     free = iter(np.flatnonzero(~taken))
     for rows in members:
         if len(rows) == 1:
@@ -106,10 +116,10 @@ def _probe(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     return out[["digest", "win", "size", "locator"]]
 
 
-def build_index(history: DataFrame, n_rows: int) -> DataFrame:
+def build_index(history: DataFrame, buckets: int) -> DataFrame:
     """Index table of ``history`` (digest, win, size): one row per bucket, stored."""
-    buckets = max(1, ceil(n_rows / PER_BUCKET))
     rows = history.select(_bucket(buckets), "digest", F.col("win.row").alias("locator"))
+    rows = rows.repartition(max(1, ceil(buckets / PER_TASK)), "bucket")
     return materialise(rows.groupBy("bucket").applyInPandas(_build, INDEX), "digest-index")
 
 
@@ -140,10 +150,10 @@ def deduplicate(docs: DataFrame, historical: Column | None = None, id_column="do
         F.monotonically_increasing_id().alias("row"),
     )
     rows = materialise(rows, "digests")
-    n_old = rows.where("old").count()
+    # both sides share the buckets, so these are as many as the larger side needs
+    buckets = max(1, ceil(rows.count() / PER_BUCKET))
     old, new = group(rows.where("old")), group(rows.where("NOT old"))
-    index = build_index(old, n_old)
-    buckets = max(1, ceil(n_old / PER_BUCKET))
+    index = build_index(old, buckets)
     win = old.schema["win"].dataType.simpleString()
     looked = (
         new.select(_bucket(buckets), "digest", F.to_json("win").alias("win"), "size")
@@ -171,7 +181,15 @@ def deduplicate(docs: DataFrame, historical: Column | None = None, id_column="do
 
 def first_copies(docs: DataFrame, text="text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
-    kept = deduplicate(docs, text=text).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    rows = docs.withColumn("_digest", digest(text)).join(kept, "_digest").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    by_digest = Window.partitionBy("_digest").orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("_n", F.row_number().over(by_digest)).where("_n = 1").drop("_n", "_id", "_digest")
+    name = lambda x: unused(docs, x)
+    own, key, at, before = name("digest"), name("key"), name("id"), name("before")
+    kept = deduplicate(docs, text=text).where("kept")
+    kept = kept.select(F.col("doc_id").alias(at), F.unhex("text_sha256").alias("_kept"))
+    kept = kept.withColumn(key, F.xxhash64(at, "_kept")).withColumnRenamed("_kept", name("kept_digest"))
+    rows = docs.withColumn(own, digest(text)).withColumn(key, F.xxhash64("doc_id", own))
+    same = (F.col("doc_id").eqNullSafe(F.col(at))) & (F.col(own) == F.col(name("kept_digest")))
+    rows = rows.join(kept, key).where(same)
+    # of rows with the same id and text one stays; the key is the join's, so nothing moves again
+    along = Window.partitionBy(key).orderBy("doc_id", own, F.xxhash64(*docs.columns))
+    again = F.lag(F.struct("doc_id", own)).over(along).eqNullSafe(F.struct("doc_id", own))
+    return rows.withColumn(before, again).where(~F.col(before)).select(*docs.columns)

@@ -71,3 +71,30 @@ def test_edges(edges, nothing):
     kept = exact.first_copies(edges)
     assert kept.columns == edges.columns and kept.count() == sum(r.kept for r in got)
     assert exact.deduplicate(nothing).count() == 0 and exact.first_copies(nothing).count() == 0
+
+
+@pytest.mark.parametrize("old", [1, 20_000])
+def test_many_new_texts_after_a_short_history_are_spread(spark, old):
+    docs = spark.range(20_001).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    digests = docs.select(exact.digest("text").alias("digest"), F.struct(F.col("doc_id").alias("row")).alias("win"))
+    buckets = -(-20_001 // exact.PER_BUCKET)
+    sizes = digests.groupBy(exact._bucket(buckets)).count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[1] == buckets and sizes[0] < 1.3 * exact.PER_BUCKET
+    got = exact.deduplicate(docs, F.col("doc_id") < old)
+    assert got.where("kept AND NOT repeat AND group_size = 1").count() == 20_001
+
+
+def test_hash_is_built_fast():
+    import time
+
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(4_096)]
+    begun = time.perf_counter()
+    exact.build_hash(digests)
+    assert time.perf_counter() - begun < 2  # half a millisecond a digest would be two seconds
+
+
+def test_columns_of_any_name_stay(spark, edges):
+    clash = edges.selectExpr("*", "'mine' AS _id", "'mine' AS _n", "'mine' AS _digest", "'mine' AS digest_")
+    kept = exact.first_copies(clash)
+    assert kept.columns == clash.columns and kept.count() == exact.first_copies(edges).count()
+    assert kept.where("_id <> 'mine' OR digest_ <> 'mine' OR digest <> 'mine'").count() == 0
