@@ -17,10 +17,11 @@ A file is named after the attempt that wrote it and counts only if ``shards`` li
 that a task which is lost, repeated or run twice at the same time leaves at most a file that
 nobody reads. Any file system that Arrow can open will do; local ones are memory-mapped.
 
-The library is asked for each distinct word between ASCII white space, as its rules never
-look across it, and the answers are remembered within bounds. Where a word is plain letters
-and then ASCII punctuation, the two are asked for apart, as the rules cut there too, and the
-letters in lower case, which is how the rules take them.
+Where the rules of the tokenizer file never look across white space (``APART``), the library is
+asked for each distinct word between ASCII white space, and its answers are remembered within
+bounds. Where a word is plain letters and then ASCII punctuation, the two are asked for apart,
+as the rules cut there too, and the letters in lower case, which is how the rules take them.
+With any other rules each text is encoded whole.
 
 Cases: a null or empty text has the end id alone. Rows without an id come first, rows of
 equal id in the order of their ids' bytes; repeated rows stay. An empty table makes a folder
@@ -29,6 +30,7 @@ without shards. Other columns don't matter.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -84,6 +86,32 @@ def _map(folder: str, name: str) -> pa.Buffer:
         return source.read_buffer()
 
 
+#: fixed values: rules of a tokenizer file by which words can be encoded one by one
+APART = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
 class Words:
     """``bytes`` of a text's ids, little-endian of the given width, by one tokenizer file."""
 
@@ -91,11 +119,19 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.type = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        self.words, self.parts = Remembered(self._word, MEMORY), Remembered(self._ids, MEMORY)
+        self.tokenizer, self.type = Tokenizer.from_file(path), np.dtype(f"<u{width}")
+        self.model = self.tokenizer.model
+        rules = json.loads(self.tokenizer.to_str())
+        self.apart = all(rules[name] == value for name, value in APART.items()) and rules["model"]["type"] == "BPE"
+        self.words, self.parts = Remembered(self._word, MEMORY), Remembered(self._part, MEMORY)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _ids(self, part: str) -> bytes:
-        return np.array(self.model.encode(part, add_special_tokens=False).ids, self.type).tobytes()
+    def _part(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():  # in lower case: the rules pass it to the model as it is
+            return np.array([x.id for x in self.model.tokenize(part)], self.type).tobytes()
+        return self._ids(part)
 
     def _word(self, word: bytes) -> bytes:
         word = word.decode()
@@ -105,6 +141,8 @@ class Words:
         return self.parts[cut[1].lower()] + (self.parts[cut[2]] if cut[2] else b"")
 
     def encode(self, text: bytes) -> bytes:
+        if not self.apart:
+            return self._ids(text.decode())
         return b"".join(map(self.words.__getitem__, text.split()))
 
 

@@ -99,5 +99,17 @@ def test_text_ids_and_one_id_for_all(spark, library):
     assert len(got) == 400 and {r.doc_id for r in got} == {"same"}
 
 
+def test_other_rules_encode_whole_texts(words):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, model = tokenfile.Words(path, 2), Tokenizer.from_file(path)
+    assert words.apart and not other.apart
+    for text in ODD:
+        want = model.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(other.encode(text.encode()), "<u2").tolist() == want
+
+
 def test_wide_ids():
     assert tokenfile.width_of(word_model(), 1) == 2 and tokenfile.width_of(word_model(), 70_000) == 4
