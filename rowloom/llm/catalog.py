@@ -90,15 +90,28 @@ def op3(spark, sf_dir):
 
 
 def _license_sql() -> str:
-    """The scan in SQL over the same fixed values."""
+    """The scan in SQL. The known texts are the operator's; the patterns are written out here."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
+    spellings = [
+        ("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("per cent", "percent"),
+        ("copyright holder", "copyright owner"), ("https://", "http://"), ("organisation", "organization"),
+        ("merchantibility", "merchantability"), ("whilst", "while"), ("gnu gpl", "gnu general public license"),
+        ("creative commons by", "cc by"),
+    ]
+
+    def lower(x: str) -> str:
+        return f"translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
     def canonical(x: str) -> str:
-        x = f"translate(coalesce({x}, ''), {quote(licenses.UPPER)}, {quote(licenses.LOWER)})"
-        x = rf"regexp_replace({x}, '(?m)^[^\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{{4}}[^\n]*$', '', 'g')"
-        for spelling, common in licenses.SPELLINGS:
+        of_copyright = (
+            "(regexp_matches(line, 'copyright|[(]c[)]|©') AND (regexp_matches(line, '[0-9][0-9][0-9][0-9]') "
+            "OR regexp_matches(line, '^ *(©|copyright ([(]c[)]|©|by ))')))"
+        )
+        lines = f"list_filter(string_split({lower(x)}, chr(10)), lambda line: NOT {of_copyright})"
+        x = f"array_to_string({lines}, chr(10))"
+        for spelling, common in spellings:
             x = f"replace({x}, {quote(spelling)}, {quote(common)})"
-        return rf"trim(regexp_replace({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
+        return rf"trim(regexp_replace({x}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'))"
 
     known = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in licenses.TEXTS + licenses.NOTICES)
     return f"""
@@ -111,8 +124,8 @@ def _license_sql() -> str:
         SELECT n, unnest(string_split(text, chr(10))) AS line FROM docs),
     notices AS (
         SELECT n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-        FROM lines JOIN known ON known.digest = sha256({canonical("line")})
-        WHERE length(line) <= 400 AND regexp_matches(lower(line), 'licen[cs]e|rights reserved')
+        FROM (SELECT n, sha256({canonical("line")}) AS digest FROM lines
+              WHERE regexp_matches({lower("line")}, 'licen[cs]e|rights reserved')) JOIN known USING (digest)
         GROUP BY n)
     SELECT doc_id, canonical_sha256, license, coalesce(notices, '') AS notices
     FROM docs LEFT JOIN known ON digest = canonical_sha256 LEFT JOIN notices USING (n)

@@ -5,28 +5,32 @@ spellings made one and punctuation and white space reduced to single spaces. Its
 joined with the digests of known license texts, entire texts with entire texts. Each line of
 a document is a text of its own for notices, so a document also tells which notices it has.
 
-The catalog is a list of (name, text) pairs, of which each becomes one row; it is broadcast,
-and ``prepare_catalog`` refuses one of more than ``MOST_KNOWN`` texts. Documents that match
-are few and are the only rows that are shuffled.
+A line of copyright says so (``copyright``, ``(c)`` or the sign) and has a year, or begins with
+the sign or with ``copyright`` and a sign or "by". All steps are linear in the text, whatever
+its lines are.
 
-Cases: a null text counts as empty; an empty canonical form matches nothing. A text known
-under several names gives the smallest. Repeated rows are scanned one by one.
+The catalog is a table of known texts, or a list of (name, text) pairs; how it is joined is
+left to the planner, by its size. Of the documents only digests are shuffled.
+
+Cases: a null text counts as empty; an empty canonical form matches nothing, unless it is a
+known text's. A text known under several names gives the smallest. Repeated rows are scanned
+one by one, and columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowloom.llm.common import prepare, whole
 from rowloom.session import materialise
 
-MOST_KNOWN = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: fixed values: spellings that count as equal, in this order
 SPELLINGS = (
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub-license", "sublicense"),
     ("non-commercial", "noncommercial"),
     ("per cent", "percent"),
@@ -102,13 +106,157 @@ product documentation would be appreciated but is not required.
 being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
     ),
+    (
+        "BSD-2-Clause",
+        """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided
+with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "BSD-3-Clause",
+        """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of
+conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of
+conditions and the following disclaimer in the documentation and/or other materials provided
+with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to
+endorse or promote products derived from this software without specific prior written
+permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
+POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "0BSD",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose
+with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL
+THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE
+OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "MIT-0",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in the Software
+without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING
+FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    ),
+    (
+        "BSL-1.0",
+        """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy
+of the software and accompanying documentation covered by this license (the "Software") to
+use, reproduce, display, distribute, execute, and transmit the Software, and to prepare
+derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license
+grant, this restriction and the following disclaimer, must be included in all copies of the
+Software, in whole or in part, and all derivative works of the Software, unless such copies or
+derivative works are solely in the form of machine-executable object code generated by a
+source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE
+AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE
+SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    ),
+    (
+        "Unlicense",
+        """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software,
+either in source code form or as a compiled binary, for any purpose, commercial or
+non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software
+dedicate any and all copyright interest in the software to the public domain. We make this
+dedication for the benefit of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org/>""",
+    ),
+    (
+        "Apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    ),
 )
 
 
+def _of_copyright(line: Column) -> Column:
+    """Whether a line (in lower case) is one of copyright."""
+    says = F.contains(line, F.lit("copyright")) | F.contains(line, F.lit("(c)")) | F.contains(line, F.lit("©"))
+    begins = F.ltrim(line)
+    named = [F.startswith(begins, F.lit(x)) for x in ("©", "copyright (c)", "copyright ©", "copyright by ")]
+    return says & (line.rlike("[0-9]{4}") | named[0] | named[1] | named[2] | named[3])
+
+
 def canonical(text: str | Column) -> Column:
     """Canonical form of a text."""
-    out = F.translate(whole(text), UPPER, LOWER)
-    out = F.regexp_replace(out, r"(?m)^[^\n]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$", "")
+    lower = F.translate(whole(text), UPPER, LOWER)
+    has = F.contains(lower, F.lit("copyright")) | F.contains(lower, F.lit("(c)")) | F.contains(lower, F.lit("©"))
+    lines = F.filter(F.split(lower, "\n"), lambda line: ~_of_copyright(line))
+    out = F.when(has, F.array_join(lines, "\n")).otherwise(lower)
     for spelling, common in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(common))
     return F.trim(F.regexp_replace(out, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
@@ -118,11 +266,9 @@ def digest(text: str | Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def prepare_catalog(spark: SparkSession, known=TEXTS + NOTICES) -> DataFrame:
-    """(digest, license) of known texts; refuses more than a broadcast may hold."""
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"{len(known)} known texts; at most {MOST_KNOWN} can be broadcast")
-    rows = spark.createDataFrame(list(known), "license string, text string")
+def prepare_catalog(spark: SparkSession, known: DataFrame | Sequence[tuple[str, str]] = TEXTS + NOTICES) -> DataFrame:
+    """(digest, license) of known texts, given as pairs or as a table (license, text)."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
     return rows.select(digest("text").alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
@@ -130,9 +276,13 @@ def scan(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, canonical_sha256, license (of the entire
     text, else null), notices (licenses of its lines, sorted, comma-joined)."""
     prepare(docs.sparkSession)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), digest("text").alias("canonical_sha256"), _line_digests("text").alias("lines"))
-    known = F.broadcast(catalog)
-    rows = materialise(rows, "license-digests")
+    rows = docs.select(
+        "doc_id",
+        F.monotonically_increasing_id().alias("row"),
+        digest("text").alias("canonical_sha256"),
+        _line_digests("text").alias("lines"),
+    )
+    rows, known = materialise(rows, "license-digests"), materialise(catalog, "known-licenses")
     hits = rows.select("row", F.explode("lines").alias("digest")).join(known, "digest")
     notices = hits.groupBy("row").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
     whole_ = known.select(F.col("digest").alias("canonical_sha256"), "license")
@@ -142,7 +292,7 @@ def scan(docs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def _line_digests(text: str) -> Column:
     """Digests of the lines that may be notices: those that speak of a license or of rights."""
-    lines = F.filter(F.split(whole(text), "\n"), lambda x: F.length(x) <= 400)
+    lines = F.split(whole(text), "\n")
     lower = lambda x: F.translate(x, UPPER, LOWER)
     lines = F.filter(lines, lambda x: lower(x).rlike("licen[cs]e|rights reserved"))
     has = F.translate(whole(text), UPPER, LOWER).rlike("licen[cs]e|rights reserved")
