@@ -1,33 +1,37 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed per cell (source, language, topic). The cells' weights are raked: scaled
-to the target share of each source, then of each language, then of each topic, again and
-again until all three margins hold. A document of a cell is then sampled with probability
-``min(1, c * weight / share)``, where ``c`` makes the expected number of sampled tokens the
-asked share of all tokens. The draw is a hash of the document, so that runs and retries
-agree.
+Tokens are summed per cell (source, language, topic). Each cell is to give an expected number
+of tokens, at first the asked share of its own. These numbers are raked: scaled to the target
+share of each source, then of each language, then of each topic, again and again until all
+three margins hold. No cell gives more than it has: one that would is held at all its tokens
+and the other cells of its margin value make up for it. A document is then sampled with its
+cell's probability, expected over present tokens. The draw is a hash of the document, so that
+runs and retries agree.
 
-Cells and margins are tables and stay in Spark; only sums over all cells reach the driver.
-Tokens are words, so each document is measured by its whole text.
+Cells and margins are tables and stay in Spark; only the largest distance from a target reaches
+the driver. Tokens are words, so each document is measured by its whole text.
 
 Cases: a null text has no tokens; such a document is kept with its cell's probability, or
 if its cell has no tokens at all, with probability 0. A null source, language or topic is a
-value of its own (empty text). Rows that are equal in id and text share their fate. Columns
-of ``docs`` pass through; those named as the results are replaced. An empty table gives an
-empty result. Targets that no weights can meet are approached for ``MOST_SWEEPS`` sweeps.
+value of its own (empty text). Where fixed shares leave nothing to values that are not among
+them, these keep their share of the tokens and the fixed ones share the rest in proportion;
+so no value is dropped for not being named. Rows that are equal in id and text share their
+fate. Columns of ``docs`` pass through; those named as the results are replaced. An empty table
+gives an empty result. Targets that can't be met, as a value has too few tokens, are
+approached: ``shares`` tells what each value is expected to get.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowloom.llm.common import prepare, whole, without
+from rowloom.llm.common import prepare, unused, whole
 from rowloom.session import materialise
 
 MARGINS = ("source", "lang", "topic")
-MOST_SWEEPS, CLOSE = 30, 1e-6
-#: candidates for c that one pass over the cells tries, and passes
-TRIED, PASSES = 60, 4
+#: sweeps over the margins at most, the distance from all targets at which they end, and after
+#: how many sweeps that came no nearer
+MOST_SWEEPS, CLOSE, STALLED = 60, 1e-6, 4
 
 
 def topic_of_text(text: str = "text") -> Column:
@@ -56,109 +60,141 @@ def tempered(cells: DataFrame, margin: str, power: float, fixed: dict[str, float
         sums = sums.withColumn("given", F.try_element_at(given, F.col(margin)))
     else:
         sums = sums.withColumn("given", F.lit(None).cast("double"))
-    weighed = sums.select(margin, "given", F.when(F.col("given").isNull(), weight).alias("free"))
-    total = weighed.agg(F.coalesce(F.sum("given"), F.lit(0.0)).alias("g"), F.coalesce(F.sum("free"), F.lit(0.0)).alias("f")).first()
-    g, f = (total["g"] or 0.0), (total["f"] or 0.0)
-    left = max(0.0, 1.0 - g) if f else 0.0
-    scale = 1.0 / (g + left) if g + left else 0.0
-    share = F.coalesce(F.col("given"), F.col("free") * F.lit(left / f if f else 0.0)) * F.lit(scale)
+    weighed = sums.select(margin, "given", "t", F.when(F.col("given").isNull(), weight).alias("free"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    own = zero(F.sum(F.when(F.col("given").isNull(), F.col("t"))) / F.sum("t"))
+    total = weighed.agg(zero(F.sum("given")).alias("g"), zero(F.sum("free")).alias("f"), own.alias("own")).first()
+    g, f = total["g"], total["f"]
+    left = 0.0 if not f else 1.0 - g if g < 1.0 else total["own"]
+    scale = (1.0 - left) / g if g else 0.0
+    share = F.coalesce(F.col("given") * F.lit(scale), F.col("free") * F.lit(left / f if f else 0.0))
     return weighed.select(margin, share.alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """``cells`` (margins, tokens) with ``weight``: shares that sum to 1 and meet the targets.
+def _scaled(fitted: DataFrame, margin: str) -> DataFrame:
+    """One step: ``expected`` scaled to the targets of one margin, no cell beyond its tokens.
 
-    The cells are stored after each margin, so that every plan is one sum and one join. A
-    margin's distance from its target is measured just before it is scaled; a sweep that
-    finds all of them close is the last one.
+    Where a value has too much, all its cells are scaled down; where it has too little, those
+    that still have tokens to give are scaled up. ``gap``: the distance before, but for values
+    that have given all.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    fitted = cells.withColumn("weight", F.col("tokens") / F.lit(float(total) if total else 1.0))
+    at_most = F.col("expected") >= F.col("tokens")
+    now = fitted.groupBy(margin).agg(
+        F.sum("expected").alias("now"), F.coalesce(F.sum(F.when(at_most, F.col("expected"))), F.lit(0.0)).alias("full")
+    )
+    target = F.coalesce(f"target_{margin}", F.lit(0.0))
+    down = F.col("expected") * target / F.nullif("now", F.lit(0.0))
+    up = F.col("expected") * (target - F.col("full")) / F.nullif(F.col("now") - F.col("full"), F.lit(0.0))
+    scaled = F.when(target <= F.col("now"), down).when(at_most, F.col("expected")).otherwise(F.least(F.col("tokens").cast("double"), up))
+    gap = F.when((target > F.col("now")) & (F.col("now") - F.col("full") <= 1e-9 * F.col("now")), F.lit(0.0)).otherwise(F.abs(F.col("now") - target))
+    joined = fitted.join(now, margin).withColumn("gap", F.greatest("gap", gap))
+    return joined.withColumn("expected", F.coalesce(scaled, F.lit(0.0))).select(*fitted.columns)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], share: float) -> DataFrame:
+    """``cells`` (margins, tokens) with ``expected`` tokens that meet the targets as shares of
+    ``share`` of all tokens, ``weight`` (expected over that number) and ``p``.
+
+    A sweep over all margins is one plan, and is stored; one that finds all margins close to
+    their targets is the last, or one after which none has come nearer for some time.
+    """
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    fitted = cells.withColumn("expected", F.col("tokens") * F.lit(float(share))).withColumn("gap", F.lit(0.0))
     for margin, target in targets.items():
-        fitted = fitted.join(target.withColumnRenamed("target", f"target_{margin}"), margin, "left")
+        aimed = target.select(margin, (F.col("target") * F.lit(share * total)).alias(f"target_{margin}"))
+        fitted = fitted.join(aimed, margin, "left")
     fitted = materialise(fitted, "cells")
+    best, since = float("inf"), 0
     for _ in range(MOST_SWEEPS):
-        off = 0.0
+        swept = fitted.withColumn("gap", F.lit(0.0))
         for margin in targets:
-            target = F.coalesce(f"target_{margin}", F.lit(0.0))
-            now = fitted.groupBy(margin).agg(F.sum("weight").alias("now"))
-            scaled = fitted.drop("gap").join(now, margin).select(
-                *cells.columns,
-                (F.col("weight") * target / F.nullif("now", F.lit(0.0))).alias("scaled"),
-                *[f"target_{m}" for m in targets],
-                F.abs(F.col("now") - target).alias("gap"),
-            )
-            scaled = scaled.withColumn("scaled", F.coalesce("scaled", F.lit(0.0))).withColumnRenamed("scaled", "weight")
-            fitted = materialise(scaled, "cells")
-            off = max(off, fitted.agg(F.max("gap")).first()[0] or 0.0)
-        if off <= CLOSE:
+            swept = _scaled(swept, margin)
+        fitted = materialise(swept, "cells")
+        gap = fitted.agg(F.max("gap")).first()[0] or 0.0
+        best, since = (gap, 0) if gap < 0.98 * best else (best, since + 1)
+        if gap <= CLOSE * share * total or since >= STALLED:
             break
-    return fitted.select(*cells.columns, "weight")
-
-
-def probabilities(fitted: DataFrame, share: float) -> DataFrame:
-    """``fitted`` with p, the sampling probability of a cell's documents."""
-    ratio = F.col("weight") / F.nullif(F.col("tokens") / F.lit(1.0), F.lit(0.0))
-    rated = fitted.withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
-    ends = rated.where("ratio > 0").agg(F.sum("tokens"), F.min("ratio"), F.max("ratio")).first()
-    if not ends[0]:
-        return rated.withColumn("p", F.lit(0.0)).drop("ratio")
-    wanted, low, high = share * ends[0], share * 0.5 / ends[2], 2.0 / ends[1]
-    for _ in range(PASSES):
-        tried = [low * (high / low) ** (k / (TRIED - 1)) for k in range(TRIED)]
-        each = rated.select("tokens", "ratio", F.posexplode(F.array(*[F.lit(c) for c in tried])).alias("k", "c"))
-        sums = each.groupBy("k").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("c") * F.col("ratio"))).alias("got"))
-        got = dict(sums.collect())
-        above = next((k for k in range(TRIED) if got[k] >= wanted * (1 - 1e-9)), TRIED - 1)
-        low, high = tried[max(0, above - 1)], tried[above]
-        if low == high:
-            break
-    return rated.withColumn("p", F.least(F.lit(1.0), F.lit(high) * F.col("ratio"))).drop("ratio")
+    tokens = F.nullif(F.col("tokens").cast("double"), F.lit(0.0))
+    return fitted.select(
+        *cells.columns,
+        "expected",
+        (F.col("expected") / F.lit(share * total or 1.0)).alias("weight"),
+        F.coalesce(F.least(F.lit(1.0), F.col("expected") / tokens), F.lit(0.0)).alias("p"),
+        *[f"target_{m}" for m in targets],
+    )
 
 
-def _measured(docs: DataFrame, topic: Column) -> DataFrame:
-    """``docs`` with the margins, tokens and draw under names of our own."""
-    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", whole("text")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "_topic": F.coalesce(topic, F.lit("")),
-            "_tokens": word_count("text"),
-            "_draw": draw,
-        }
-    )
+def shares(fitted: DataFrame) -> DataFrame:
+    """margin, value, target and expected share of what is sampled, from the cells of ``rake``."""
+    total = fitted.agg(F.sum("expected")).first()[0] or 1.0
+    out = None
+    for margin in MARGINS:
+        one = fitted.groupBy(F.lit(margin).alias("margin"), F.col(margin).alias("value")).agg(
+            F.max(f"target_{margin}").alias("target"), F.sum("expected").alias("expected")
+        )
+        out = one if out is None else out.unionByName(one)
+    asked = out.where(F.col("margin") == MARGINS[0]).agg(F.sum("target")).first()[0] or 1.0
+    return out.select("margin", "value", (F.col("target") / asked).alias("target"), (F.col("expected") / total).alias("expected"))
+
+
+OWN = (*MARGINS, "tokens", "draw")
+
 
+def _names(docs: DataFrame) -> dict[str, str]:
+    """Names of our own columns that ``docs`` doesn't have."""
+    return {name: unused(docs, f"_{name}") for name in OWN}
 
-def calibrate(measured: DataFrame, share: float, power: float, languages: dict[str, float] | None) -> DataFrame:
-    """Cells of ``measured`` with weight and p."""
-    cells = measured.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens"))
+
+def _measured(docs: DataFrame, topic: Column, names: dict[str, str]) -> DataFrame:
+    """``docs`` with the margins, tokens and draw under names of our own."""
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", whole("text")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    made = {
+        "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
+        "topic": F.coalesce(topic, F.lit("")),
+        "tokens": word_count("text"),
+        "draw": draw,
+    }
+    return docs.withColumns({names[k]: v for k, v in made.items()})
+
+
+def calibrate(measured: DataFrame, names: dict[str, str], share: float, power: float, languages: dict[str, float] | None) -> DataFrame:
+    """Cells of ``measured`` with expected tokens, weight and p."""
+    cells = measured.groupBy(*[F.col(names[m]).alias(m) for m in MARGINS]).agg(F.sum(names["tokens"]).alias("tokens"))
     cells = materialise(cells, "cells")
     targets = {m: tempered(cells, m, power, languages if m == "lang" else None) for m in MARGINS}
-    return materialise(probabilities(rake(cells, targets), share), "rates")
+    return materialise(rake(cells, targets, share), "rates")
 
 
-def _attach(measured: DataFrame, cells: DataFrame) -> DataFrame:
-    rates = cells.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], F.col("weight").alias("_weight"), F.col("p").alias("_p"))
-    return measured.join(rates, [f"_{m}" for m in MARGINS])
+def _attach(measured: DataFrame, cells: DataFrame, names: dict[str, str], weight: str, p: str) -> DataFrame:
+    rates = cells.select(*[F.col(m).alias(names[m]) for m in MARGINS], F.col("weight").alias(weight), F.col("p").alias(p))
+    return measured.join(rates, [names[m] for m in MARGINS])
 
 
 def mix(docs: DataFrame, share=0.5, power=0.7, languages=None, topic: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, lang, topic, n_tokens, weight, p, kept."""
     prepare(docs.sparkSession)
     topic = topic_of_text() if topic is None else topic
-    measured = _measured(docs.select("doc_id", "source", "lang", "text"), topic).drop("text", "source", "lang")
-    measured = materialise(measured, "measured")
-    rows = _attach(measured, calibrate(measured, share, power, languages))
-    names = {"_source": "source", "_lang": "lang", "_topic": "topic", "_tokens": "n_tokens", "_weight": "weight", "_p": "p"}
-    return rows.select("doc_id", *[F.col(a).alias(b) for a, b in names.items()], (F.col("_draw") < F.col("_p")).alias("kept"))
+    docs = docs.select("doc_id", "source", "lang", "text")
+    names = _names(docs)
+    measured = materialise(_measured(docs, topic, names).drop("text", "source", "lang"), "measured")
+    rows = _attach(measured, calibrate(measured, names, share, power, languages), names, "weight", "p")
+    return rows.select(
+        "doc_id",
+        *[F.col(names[m]).alias(m) for m in MARGINS],
+        F.col(names["tokens"]).alias("n_tokens"),
+        "weight",
+        "p",
+        (F.col(names["draw"]) < F.col("p")).alias("kept"),
+    )
 
 
 def sample(docs: DataFrame, share=0.5, power=0.7, languages=None, topic: Column | None = None) -> DataFrame:
     """The sampled rows of ``docs``, with their columns."""
     prepare(docs.sparkSession)
     topic = topic_of_text() if topic is None else topic
-    narrow = docs.select("doc_id", "source", "lang", "text")
-    cells = calibrate(_measured(narrow, topic).drop("text"), share, power, languages)
-    rows = _attach(_measured(docs, topic), cells)
-    return rows.where("_draw < _p").select(*docs.columns)
+    names, weight, p = _names(docs), unused(docs, "_weight"), unused(docs, "_p")
+    measured = _measured(docs, topic, names)
+    cells = calibrate(measured.drop("text"), names, share, power, languages)
+    rows = _attach(measured, cells, names, weight, p)
+    return rows.where(F.col(names["draw"]) < F.col(p)).select(*docs.columns)
