@@ -86,6 +86,17 @@ def _map(folder: str, name: str) -> pa.Buffer:
         return source.read_buffer()
 
 
+
+
+def _written() -> dict[int, str]:
+    """How byte-level rules write the letters of ``PARTS``: each byte of their UTF-8 as a visible
+    character, which is the byte's own if that is visible, else the next one from 256 on."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    byte = {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+WRITTEN = _written()
 #: fixed values: rules of a tokenizer file by which words can be encoded one by one
 APART = {
     "normalizer": {
@@ -123,22 +134,22 @@ class Words:
         self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())
         self.apart = all(rules[name] == value for name, value in APART.items()) and rules["model"]["type"] == "BPE"
-        self.words, self.parts = Remembered(self._word, MEMORY), Remembered(self._part, MEMORY)
+        self.words, self.letters = Remembered(self._word, MEMORY), Remembered(self._letters, MEMORY)
+        self.rest = Remembered(self._ids, MEMORY)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha():  # in lower case: the rules pass it to the model as it is
-            return np.array([x.id for x in self.model.tokenize(part)], self.type).tobytes()
-        return self._ids(part)
+    def _letters(self, letters: str) -> bytes:
+        """Letters in lower case stay as they are but for the writing of their bytes."""
+        return np.array([x.id for x in self.model.tokenize(letters.translate(WRITTEN))], self.type).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         word = word.decode()
         cut = PARTS.fullmatch(word)
         if not cut:
             return self._ids(word)
-        return self.parts[cut[1].lower()] + (self.parts[cut[2]] if cut[2] else b"")
+        return self.letters[cut[1].lower()] + (self.rest[cut[2]] if cut[2] else b"")
 
     def encode(self, text: bytes) -> bytes:
         if not self.apart:

@@ -99,6 +99,14 @@ def test_text_ids_and_one_id_for_all(spark, library):
     assert len(got) == 400 and {r.doc_id for r in got} == {"same"}
 
 
+def test_letters_of_all_kinds(words, library):
+    letters = "".join(chr(c) for c in range(0x41, 0x100) if chr(c).isalpha())
+    draw = random.Random(5)
+    texts = [letters, *letters] + ["".join(draw.choice(letters) for _ in range(draw.randint(1, 12))) for _ in range(3_000)]
+    for text in texts:
+        assert np.frombuffer(words.encode(text.encode()), "<u4").tolist() + [1] == library(text), text
+
+
 def test_other_rules_encode_whole_texts(words):
     import public_tokenizers
     from tokenizers import Tokenizer
