@@ -13,9 +13,13 @@ from rowloom.sinks.receipts import append_receipts, read_receipts, stream_put
 @query("append_receipts", f"""WITH {RECEIPTS}
 SELECT stream_id, object_id, seq, success, error_message, timestamp FROM receipts""")
 def _(t: Tables):
+    """Two runs, of which one is appended again: its receipts stay once."""
     path = scratch_path(t.spark, "receipts")
     rows = t.receipts.select("stream_id", "object_id", "seq", "success", "error_message", "timestamp")
-    append_receipts(rows, path)
+    early = F.col("seq") <= 50
+    append_receipts(rows.filter(early), path, "first")
+    append_receipts(rows.filter(~early), path, "second")
+    append_receipts(rows.filter(early), path, "first")
     return read_receipts(t.spark, path)
 
 
@@ -98,7 +102,7 @@ def _(t: Tables):
         elif where["kind"] == "FILE":
             back = t.spark.read.schema("object_id string, success boolean").json(folder)
         else:
-            back = t.spark.read.parquet(folder)
+            back = read_receipts(t.spark, folder)
         target = {"STREAM": "stream_id", "COLLECTION": "owner"}.get(where["kind"])
         back = back.select(
             F.lit(where["kind"]).alias("kind"),

@@ -122,15 +122,27 @@ def _(t: Tables):
 @query("collection_changes", """
 SELECT doc_id, CASE WHEN doc_id % 14 = 7 THEN NULL ELSE lang END AS lang,
        n_chars + CASE WHEN doc_id % 14 = 0 THEN 1 ELSE 0 END AS n_chars
-FROM documents WHERE doc_id % 7 < 2""")
+FROM documents WHERE doc_id % 7 IN (0, 1, 2, 5)""")
 def _(t: Tables):
+    """Changes of a text, a null in a list, a microsecond and the last digit of a double; entries
+    of a map in another order, minus zero and no numbers are none."""
     key = F.col("doc_id")
-    old = t.read("documents").select("doc_id", "text", "lang", "n_chars")
-    # a null in a list, and the word for it
-    tags = lambda missing: F.array(F.when(key % 7 == 1, missing).otherwise(F.col("lang")))
-    old, plain = old.withColumn("tags", tags(F.lit(None))), old
-    new = plain.withColumn("tags", tags(F.lit("null"))).withColumns({
+    docs = t.read("documents").select("doc_id", "text", "lang", "n_chars")
+    pair = lambda k: (F.lit(k), F.concat(F.col("lang"), F.lit(k)))
+
+    def version(changed: int):
+        third, fourth = F.create_map(*pair("a"), *pair("b")), F.create_map(*pair("b"), *pair("a"))
+        return docs.withColumns({
+            "tags": F.array(F.when(key % 7 == 1, F.lit("null" if changed else None)).otherwise(F.col("lang"))),
+            "at": F.timestamp_micros(key * 1_000_003 + F.when(key % 7 == 2, changed).otherwise(0)),
+            "more": F.when(key % 7 == 3, fourth if changed else third).otherwise(third),
+            "score": F.when(key % 7 == 4, F.when(key % 2 == 0, F.lit(float("nan"))).otherwise(-0.0 if changed else 0.0))
+            .when(key % 7 == 5, F.lit(0.1 + 0.2 if changed else 0.3)).otherwise(key / 7),
+        })
+
+    new = version(1).withColumns({
         "lang": F.when(key % 14 != 7, F.col("lang")),
         "n_chars": F.col("n_chars") + F.when(key % 14 == 0, 1).otherwise(0),
     })
+    old = version(0)
     return collection_changes(old, new, "doc_id").select("doc_id", "lang", "n_chars")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -18,9 +19,11 @@ from rowloom.operators.rollup import finish_jobs, job_counts
 from rowloom.operators.updates import update_back
 from rowloom.schemas import MAPPINGS, SINGLETON
 from rowloom.session import materialise
-from rowloom.sinks.receipts import append_receipts
+from rowloom.sinks.receipts import commit_receipts, stage_receipts
 from rowloom.sources.collections import exclude_jobs, with_item_id
 
+log = logging.getLogger(__name__)
+
 CARRIED = ("job_id", "action_id", "hostname", "username")
 
 
@@ -126,6 +129,21 @@ class Run:
         return update_back(with_item_id(items), planned)
 
 
+def _stored(receipts: DataFrame, once: Column, path: str | None, run_id: str | None) -> DataFrame:
+    """Receipts, computed and written once: in the table at ``path`` where one is given. Those of
+    jobs that run once stand aside there."""
+    if path is None:
+        return materialise(receipts, "receipts")
+    spark = receipts.sparkSession
+    try:
+        staged = stage_receipts(receipts, path, aside=once)
+        commit_receipts(spark, staged, run_id)
+    except Exception as error:  # keeping receipts never fails a run, its work does
+        log.warning("receipts were not written to %s: %s", path, error)
+        return materialise(receipts, "receipts")
+    return staged.read(spark)
+
+
 def run_jobs(
     jobs: DataFrame,
     action: Action | Mapping[str, Mapping[str, Action]],
@@ -137,6 +155,7 @@ def run_jobs(
     collection_owner: str | None = None,
     stream_id: str | None = None,
     receipts_path: str | None = None,
+    run_id: str | None = None,
 ) -> Run:
     """Run an action over everything the jobs point at: one action for all jobs, or
     registries from which every job picks by its ``action_id``.
@@ -144,7 +163,8 @@ def run_jobs(
     Actions may have side effects and must run once per item, so receipts are
     written to the shared folder before anything branches off them. hostname and username
     of the job reach actions that declare them. A job whose kind of source was not given
-    is rejected. With ``receipts_path`` the receipts are also appended there.
+    is rejected. With ``receipts_path`` they are written to that table of receipts at once, where
+    a run of the same ``run_id`` replaces what it left before; only if that fails, elsewhere.
     """
     checked = validate_jobs(resolve_jobs(jobs, forced_type, collection_owner, stream_id))
     for kind, source in (("run_on_collection", items), ("run_on_stream", events)):
@@ -168,11 +188,9 @@ def run_jobs(
     run = run_action if isinstance(action, Action) else dispatch_actions
     results = run(work, action, hostname=F.col("hostname"), username=F.col("username"))
     keep = ("job_id", "job_type", "stream_id", "seq")
-    stored = materialise(build_receipts(results, F.lit(clock_ms), keep), "receipts")
     once = F.col("job_type") == SINGLETON
+    stored = _stored(build_receipts(results, F.lit(clock_ms), keep), once, receipts_path, run_id)
     receipts = stored.filter(~once).drop("job_type")
-    if receipts_path is not None:
-        append_receipts(receipts, receipts_path)
 
     final = finish_jobs(valid.filter(~once), job_counts(receipts))
     singles = stored.filter(once).select(

@@ -27,7 +27,8 @@ def write_destination(df: DataFrame, destination: Mapping[str, str]) -> str | No
     """Write rows to a STREAM, a COLLECTION or FILEs; an inactive one writes nothing.
 
     A COLLECTION keeps the documents it has; those of the same ``object_id`` are replaced.
-    Returns the folder written to; that of a COLLECTION is read with ``read_documents``.
+    Returns the folder written to; that of a COLLECTION is read with ``read_documents``, that of a STREAM with
+    ``read_receipts``.
     """
     rows = route(df, destination)
     if rows is None:

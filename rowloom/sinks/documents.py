@@ -10,37 +10,30 @@ A write touches the buckets of its keys only: these are read, merged and written
 others the new version names the folders it had. Files are never changed, so readers keep the
 version they began with.
 
-A version becomes visible by one step that fails if another writer took its number: an
-exclusive hard link on local and mounted file systems, a rename without overwriting on HDFS.
-On other file systems (object stores above all) neither is known to be exclusive, and a write
-is refused. Of two writers that began from one version, the later thus fails with `Conflict`
+A version becomes visible by one step that fails if another writer took its number (see
+``commits``). Of two writers that began from one version, the later thus fails with `Conflict`
 and nothing of it is seen; it may begin anew from what the first one left (``retries``).
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from rowloom.session import scratch_path
+from rowloom.sinks.commits import Conflict, Files, numbered
 
 BUCKET = "__bucket__"
 #: buckets of a new store; choose them so that one bucket is a good file or a few
 BUCKETS = 32
 
 
-class Conflict(RuntimeError):
-    """Another writer committed a version since this one began."""
-
-
 def latest(documents: DataFrame, key: str, order: str | None) -> DataFrame:
     """One document per key: that of the greatest ``order``, or any one. Documents without a
     key are not replaced by each other."""
@@ -89,59 +82,8 @@ class Snapshot:
         return spark.read.schema(self.schema).parquet(*folders)
 
 
-class _Files:
-    """The few calls on the folder's file system that the driver makes."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark.sparkContext._jvm
-        self.hadoop = self.jvm.org.apache.hadoop.fs
-        self.system = self.path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def path(self, name: str):
-        return self.hadoop.Path(name)
-
-    def names(self, folder: str) -> list[tuple[str, int]]:
-        """Names in a folder, with their time in ms."""
-        if not self.system.exists(self.path(folder)):
-            return []
-        return [(s.getPath().getName(), s.getModificationTime()) for s in self.system.listStatus(self.path(folder))]
-
-    def text(self, name: str) -> str:
-        stream = self.system.open(self.path(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def delete(self, name: str) -> None:
-        self.system.delete(self.path(name), True)
-
-    def put_new(self, name: str, text: str) -> None:
-        """Create a file with all its content, or raise `Conflict` if there is one."""
-        scheme, folder = self.system.getUri().getScheme(), os.path.dirname(name)
-        draft = f"{folder}/.{uuid.uuid4().hex}"
-        self.system.mkdirs(self.path(folder))
-        if scheme not in ("file", "hdfs"):
-            raise RuntimeError(f"no exclusive commit is known for {scheme}: files")
-        out = self.system.create(self.path(draft))
-        out.write(text.encode())
-        out.close()
-        if scheme == "file":
-            local = lambda x: urlparse(x).path
-            try:
-                os.link(local(draft), local(name))
-            except FileExistsError:
-                raise Conflict(f"{name} was written by another run") from None
-            finally:
-                os.unlink(local(draft))
-        elif not self.system.rename(self.path(draft), self.path(name)):
-            self.delete(draft)
-            raise Conflict(f"{name} was written by another run")
-
-
 def versions(spark: SparkSession, root: str) -> list[int]:
-    names = [name for name, _ in _Files(spark, root).names(f"{root}/versions")]
-    return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json") and not n.startswith("."))
+    return Files(spark, root).numbers(f"{root}/versions")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
@@ -154,7 +96,7 @@ def snapshot(spark: SparkSession, root: str, version: int | None = None) -> Snap
     version = current_version(spark, root) if version is None else version
     if version == 0:
         return None
-    said = json.loads(_Files(spark, root).text(_version_file(root, version)))
+    said = json.loads(Files(spark, root).text(_version_file(root, version)))
     parts = {int(b): write for b, write in said["parts"].items()}
     return Snapshot(root, version, said["key"], said["buckets"], StructType.fromJson(said["schema"]), parts)
 
@@ -167,12 +109,12 @@ def read_documents(spark: SparkSession, root: str, version: int | None = None) -
 
 
 def _version_file(root: str, version: int) -> str:
-    return f"{root}/versions/{version:020d}.json"
+    return numbered(f"{root}/versions", version)
 
 
 def _commit(spark: SparkSession, new: Snapshot) -> int:
     said = {"key": new.key, "buckets": new.buckets, "schema": new.schema.jsonValue(), "parts": new.parts}
-    _Files(spark, new.root).put_new(_version_file(new.root, new.version), json.dumps(said))
+    Files(spark, new.root).put_new(_version_file(new.root, new.version), json.dumps(said))
     return new.version
 
 
@@ -189,7 +131,7 @@ def _write(documents: DataFrame, key: str, buckets: int, folder: str) -> list[in
         raise ValueError(f"documents have a column {BUCKET}")
     dealt = _bucketed(documents, key, buckets).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET)
     dealt.write.partitionBy(BUCKET).parquet(folder)
-    names = [name for name, _ in _Files(documents.sparkSession, folder).names(folder)]
+    names = [name for name, _ in Files(documents.sparkSession, folder).names(folder)]
     return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}="))
 
 
@@ -271,7 +213,7 @@ def vacuum(spark: SparkSession, root: str, keep_versions: int = 10, older_than_m
     Writes younger than ``older_than_ms`` stay, as their version may be yet to come. Returns
     the writes removed.
     """
-    files, known = _Files(spark, root), versions(spark, root)
+    files, known = Files(spark, root), versions(spark, root)
     for version in known[:-keep_versions]:
         files.delete(_version_file(root, version))
     used = {w for v in known[-keep_versions:] for w in snapshot(spark, root, v).parts.values()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowloom.functions.inputs import fields_of, map_params, map_params_column
 from rowloom.operators.actions import Action, dispatch_actions, run_action
@@ -92,14 +92,14 @@ def read_new_binary_files(spark: SparkSession, path: str, pattern: str = "*") ->
 def collection_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Documents that are in both versions and differ in any compared column.
 
-    Comparison is null-safe. Each side is first reduced to its key and a digest of
-    the compared columns, so the shuffle carries neither old texts nor columns that
-    are only compared; a digest of 256 bits over length-marked values stands for
-    the row.
+    Comparison is typed and null-safe: times to the microsecond, maps as sets of entries, not a
+    number equal to itself, and zero to minus zero. Each side is first reduced to its key and a
+    digest of the compared columns, so the shuffle carries neither old texts nor columns that
+    are only compared; a digest of 256 bits stands for the row.
     """
     compared = list(columns) if columns else [c for c in new.columns if c != key]
-    before = old.select(key, _digest(compared).alias("_before"))
-    after = new.withColumn("_after", _digest(compared))
+    before = old.select(key, _digest(old, compared).alias("_before"))
+    after = new.withColumn("_after", _digest(new, compared))
     return (
         after.join(before, key)
         .filter(F.col("_after") != F.col("_before"))
@@ -107,7 +107,39 @@ def collection_changes(old: DataFrame, new: DataFrame, key: str, columns: Sequen
     )
 
 
-def _digest(columns: Sequence[str]) -> Column:
-    """Digest of typed values: JSON with nulls tells a null from a text and one text from two."""
-    values = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in columns]
-    return F.sha2(F.to_json(F.array(*values)), 256)
+def _digest(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Digest of typed values as JSON, in which nulls, texts and numbers are told apart."""
+    values = [_plain(F.col(c), df.schema[c].dataType).alias(f"c{k}") for k, c in enumerate(columns)]
+    return F.sha2(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}), 256)
+
+
+def _needs_care(kind: T.DataType) -> bool:
+    """Whether JSON would lose what a value of this type holds, at any depth."""
+    if isinstance(kind, T.ArrayType):
+        return _needs_care(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_needs_care(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.TimestampType, T.TimestampNTZType, T.DoubleType, T.FloatType))
+
+
+def _plain(value: Column, kind: T.DataType) -> Column:
+    """``value`` with only such types inside as JSON writes out whole."""
+    if not _needs_care(kind):
+        return value
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(F.convert_timezone(F.lit("UTC"), F.lit("UTC"), value).cast("timestamp"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.isnan(value), F.lit("NaN")).otherwise((value + F.lit(0.0).cast(kind)).cast("string"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _plain(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.struct(
+            _plain(e["key"], kind.keyType).alias("key"), _plain(e["value"], kind.valueType).alias("value")
+        )
+        # entries as texts: a text can be sorted whatever is inside
+        written = lambda e: F.to_json(entry(e), {"ignoreNullFields": "false"})
+        return F.sort_array(F.transform(F.map_entries(value), written))
+    fields = [_plain(value[f.name], f.dataType).alias(f.name) for f in kind]
+    return F.when(value.isNotNull(), F.struct(*fields))

@@ -163,3 +163,11 @@ def test_receipts_of_a_run_are_appended(spark):
         run_jobs(table, GRADE, clock, items=items, receipts_path=path)
     got = read_receipts(spark, path).collect()
     assert len(got) == 8 and sorted(r["object_id"] for r in got if not r["success"]) == ["o.2", "o.2"]
+    again = scratch_path(spark, "receipts-once")
+    for clock in (1, 2):
+        run = run_jobs(table, GRADE, clock, items=items, receipts_path=again, run_id="the run")
+    kept = read_receipts(spark, again)
+    assert kept.count() == 4 and {r["timestamp"] for r in kept.collect()} == {2}
+    assert sorted(run.receipts.inputFiles()) == sorted(f for f in kept.inputFiles())  # written once, and read from there
+    blocked = run_jobs(table, GRADE, 3, items=items, receipts_path="file:///proc/nowhere")
+    assert blocked.receipts.count() == 4

@@ -17,7 +17,14 @@ from rowloom.sinks.documents import (
     vacuum,
 )
 from rowloom.sinks.files import write_files
-from rowloom.sinks.receipts import append_receipts, read_receipts, stream_put, write_batch_receipts
+from rowloom.sinks.receipts import (
+    append_receipts,
+    commit_receipts,
+    read_receipts,
+    stage_receipts,
+    stream_put,
+    write_batch_receipts,
+)
 
 RECEIPTS = "stream_id string, object_id string, seq bigint, timestamp bigint"
 
@@ -36,6 +43,42 @@ def test_receipts_append_and_read_one_stream(spark):
     assert "PartitionFilters: [isnotnull(bucket" in plan
 
 
+def test_a_run_appended_again_replaces_its_receipts(spark):
+    path = scratch_path(spark, "r")
+    append_receipts(receipts(spark, "a", "b"), path, "one")
+    append_receipts(receipts(spark, "c"), path, "two")
+    append_receipts(receipts(spark, "a", "b"), path, "one")
+    assert sorted(r["stream_id"] for r in read_receipts(spark, path).collect()) == ["a", "b", "c"]
+    append_receipts(receipts(spark, "d"), path, "one")
+    assert sorted(r["stream_id"] for r in read_receipts(spark, path).collect()) == ["c", "d"]
+    append_receipts(receipts(spark).filter("false"), path, "two")
+    assert [r["stream_id"] for r in read_receipts(spark, path).collect()] == ["d"]
+
+
+def test_a_killed_append_leaves_nothing(spark):
+    path = scratch_path(spark, "r")
+    staged = stage_receipts(receipts(spark, "a", "b"), path)  # and no commit
+    with pytest.raises(FileNotFoundError):
+        read_receipts(spark, path)
+    append_receipts(receipts(spark, "c"), path)
+    assert [r["stream_id"] for r in read_receipts(spark, path).collect()] == ["c"]
+    assert commit_receipts(spark, staged) == 2 and read_receipts(spark, path).count() == 3
+
+
+def test_appends_at_the_same_time_are_all_kept(spark):
+    path = scratch_path(spark, "r")
+    with ThreadPoolExecutor(4) as pool:
+        assert all(pool.map(lambda k: append_receipts(receipts(spark, f"s{k}"), path, f"run{k}"), range(6)))
+    assert sorted(r["stream_id"] for r in read_receipts(spark, path).collect()) == [f"s{k}" for k in range(6)]
+
+
+def test_runs_with_other_columns(spark):
+    path = scratch_path(spark, "r")
+    append_receipts(receipts(spark, "a"), path)
+    append_receipts(receipts(spark, "b").selectExpr("*", "1.5D AS cost"), path)
+    assert sorted((r["stream_id"], r["cost"]) for r in read_receipts(spark, path).collect()) == [("a", None), ("b", 1.5)]
+
+
 def test_only_the_copy_of_receipts_may_fail(spark, tmp_path):
     blocked = tmp_path / "file"
     blocked.write_text("in the way")

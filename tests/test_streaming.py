@@ -132,3 +132,21 @@ def test_changes_in_nested_columns(spark):
     new = [(1, ["null"], {"a": "1"}, None), (2, ["x, y"], {}, "a"), (3, ["x"], {}, "b"), (4, None, None, None), (5, ["x"], {"a": "1"}, "c")]
     done = collection_changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "k")
     assert sorted(r["k"] for r in done.collect()) == [1, 2, 3, 4]
+
+
+def test_collection_changes_are_typed(spark):
+    same = "map('a', 1, 'b', 2) AS m, timestamp'2024-01-01 00:00:00.000001' AS t, 1.5D AS d, named_struct('x', array(timestamp_micros(7))) AS s"
+    def changed(old, new):  # noqa: E306
+        versions = [spark.sql(f"SELECT 1 AS k, *  EXCEPT ({x.split(' AS ')[-1]}), {x} FROM (SELECT {same})") for x in (old, new)]
+        return collection_changes(versions[0].select("k", "m", "t", "d", "s"), versions[1].select("k", "m", "t", "d", "s"), "k").count() == 1
+
+    assert changed("timestamp'2024-01-01 00:00:00.000001' AS t", "timestamp'2024-01-01 00:00:00.000999' AS t")
+    assert changed("cast(null as timestamp) AS t", "timestamp'1970-01-01 00:00:00' AS t")
+    assert not changed("map('a', 1, 'b', 2) AS m", "map('b', 2, 'a', 1) AS m")
+    assert changed("map('a', 1, 'b', 2) AS m", "map('a', 2, 'b', 1) AS m")
+    assert changed("cast(null as map<string,int>) AS m", "cast(map() as map<string,int>) AS m")
+    assert not changed("0.0D AS d", "-0.0D AS d") and not changed("double('NaN') AS d", "double('NaN') AS d")
+    assert changed("0.3D AS d", "0.1D + 0.2D AS d") and changed("double('NaN') AS d", "cast(null as double) AS d")
+    nested = "named_struct('x', array(timestamp_micros({}))) AS s"
+    assert changed(nested.format(7), nested.format(8)) and not changed(nested.format(7), nested.format(7))
+    assert changed(nested.format(7), "cast(null as struct<x:array<timestamp>>) AS s")
