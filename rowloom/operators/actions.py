@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.inputs import fields_of, inject_context, project_params
 from rowloom.functions.text import empty_to_null
+from rowloom.operators.outputs import as_output, checked
 from rowloom.schemas import FIELDS, RESULT
 
 
@@ -61,7 +62,8 @@ class Action:
 
     ``native`` builds a result column from ``Inputs`` (see ``succeed`` and ``fail``)
     and stays inside the JVM. ``python`` takes the inputs as keyword
-    arguments and returns a mapping of outputs; it runs on Arrow batches.
+    arguments and returns a mapping of outputs; it runs on Arrow batches. ``outputs`` declares
+    tags for outputs; an item whose output isn't of its tag's type fails.
     """
 
     action_id: str
@@ -71,6 +73,7 @@ class Action:
     accepts_any: bool = False
     primary_output: str = ""
     cost: float | None = None
+    outputs: Mapping[str, str] | None = None
 
     def inputs(self, inputs: Column, hostname: Column | None = None, username: Column | None = None) -> Column:
         """The inputs map as the action gets it."""
@@ -87,10 +90,15 @@ class Action:
         context = {}
         if hostname is not None and username is not None:
             context = {"hostname": empty_to_null(hostname), "username": username}
-        return self.native(Inputs(inputs, self.params, self.accepts_any, context, columns))
+        return checked(self.native(Inputs(inputs, self.params, self.accepts_any, context, columns)), self.outputs)
 
 
-def succeed(outputs: Mapping[str, Column] | None = None, primary: str = "", cost: float | None = None) -> Column:
+def succeed(
+    outputs: Mapping[str, Column] | None = None, primary: str = "", cost: float | None = None,
+    types: Mapping[str, str] | None = None,
+) -> Column:
+    """A good result. ``types`` are the declared tags of outputs that aren't plain values."""
+    outputs = {name: as_output(value, types[name]) if name in (types or {}) else value for name, value in (outputs or {}).items()}
     return F.struct(
         F.lit(True).alias("success"),
         F.lit(None).cast("string").alias("error_message"),
@@ -117,8 +125,8 @@ def as_text(value) -> str | None:
     if isinstance(value, (bytes, bytearray)):
         return base64.b64encode(value).decode()
     try:
-        return json.dumps(value, default=as_text)
-    except (TypeError, ValueError):
+        return json.dumps(value, default=lambda x: as_text(x) if isinstance(x, (bytes, bytearray)) else str(x))
+    except (TypeError, ValueError, RecursionError):
         return str(value)
 
 
@@ -132,9 +140,9 @@ def _python_result(actions: Mapping[str, Action]):
         action = actions[action_id]
         try:
             outputs = action.python(**dict(inputs or {}))
+            texts = {str(k): as_text(v) for k, v in (outputs or {}).items()}
         except Exception as error:  # an item's failure is data, never a failed batch
             return False, str(error), None, "", action.cost
-        texts = {k: as_text(v) for k, v in (outputs or {}).items()}
         return True, None, texts, action.primary_output, action.cost
 
     @F.pandas_udf(RESULT)
@@ -162,7 +170,8 @@ def run_action(
     if action.native is not None:
         return df.withColumn(into, action.result(F.col(inputs), hostname, username, columns))
     bound = action.inputs(F.col(inputs), hostname, username)
-    return df.withColumn(into, _python_result({action.action_id: action})(F.lit(action.action_id), bound))
+    done = df.withColumn(into, _python_result({action.action_id: action})(F.lit(action.action_id), bound))
+    return done.withColumn(into, checked(F.col(into), action.outputs)) if action.outputs else done
 
 
 def not_found(action_id: Column, registries: Sequence[str]) -> Column:
@@ -172,6 +181,15 @@ def not_found(action_id: Column, registries: Sequence[str]) -> Column:
     )
 
 
+def known_actions(registries: Mapping[str, Mapping[str, Action]]) -> dict[str, Action]:
+    """Actions by id; the first registry that has an id wins."""
+    known: dict[str, Action] = {}
+    for registry in registries.values():
+        for name, action in registry.items():
+            known.setdefault(name, action)
+    return known
+
+
 def dispatch_actions(
     df: DataFrame,
     registries: Mapping[str, Mapping[str, Action]],
@@ -187,10 +205,7 @@ def dispatch_actions(
     pass over the rows whatever the number of actions: native ones are branches of
     one CASE expression, Python ones share one UDF.
     """
-    known: dict[str, Action] = {}
-    for registry in registries.values():
-        for name, action in registry.items():
-            known.setdefault(name, action)
+    known = known_actions(registries)
     wanted, given = F.col(action_id), F.col(inputs)
 
     result = fail(not_found(wanted, list(registries)))
@@ -206,7 +221,11 @@ def dispatch_actions(
             bound = F.when(wanted == name, action.inputs(given, hostname, username)).otherwise(bound)
         is_scripted = wanted.isin(*scripted)
         df = df.withColumn("_scripted", _python_result(scripted)(F.when(is_scripted, wanted), bound))
-        result = F.when(is_scripted, F.col("_scripted")).otherwise(result)
+        ran = F.col("_scripted")
+        for name, action in scripted.items():
+            if action.outputs:
+                ran = F.when(wanted == name, checked(F.col("_scripted"), action.outputs)).otherwise(ran)
+        result = F.when(is_scripted, ran).otherwise(result)
     return df.withColumn(into, result).drop("_scripted")
 
 

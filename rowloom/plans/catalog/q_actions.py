@@ -7,6 +7,7 @@ from rowloom.operators.actions import (
     Action, ActionFailed, Inputs, action_percent, build_receipts, count_actions, dispatch_actions, fail,
     run_action, single_action_result, succeed,
 )
+from rowloom.operators.outputs import shred, variant_outputs
 from rowloom.operators.rollup import action_counts
 from rowloom.plans.catalog.registry import MS, Tables, query, text
 from rowloom.schemas import NODES
@@ -75,6 +76,69 @@ REGISTRIES = {
 }
 
 
+SIZES = {"long": "BOOLEAN", "thousands": "FLOAT", "parts": "LIST", "raw": "BYTES"}
+PLACES = {"place": "INTEGER", "ends": "VECTOR", "first": "BOOLEAN", "raw": "BYTES", "by": "STRING_MAP"}
+
+
+def sizes(lang, n_chars):
+    n = int(n_chars)
+    thousands = "unknown" if n % 11 == 0 else n / 1000
+    return {"long": n > 1000, "thousands": thousands, "parts": [lang, str(n % 3)], "raw": lang.encode()}
+
+
+def places(inputs: Inputs) -> Column:
+    at = inputs.number("n_chars")
+    return succeed(
+        {
+            "place": F.when(at % 13 == 0, F.lit("none")).otherwise(at.cast("bigint").cast("string")),
+            "ends": F.array(at / 2, at * 2),
+            "first": at < 500,
+            "raw": inputs["lang"].cast("binary"),
+            "by": F.create_map(inputs["lang"], inputs["n_chars"]),
+        },
+        types={name: PLACES[name] for name in ("ends", "raw", "by")},
+    )
+
+
+TYPED = {
+    "typed": {
+        "doc.sizes": Action("doc.sizes", ("lang", "n_chars"), python=sizes, outputs=SIZES),
+        "doc.places": Action("doc.places", ("lang", "n_chars"), native=places, outputs=PLACES),
+    }
+}
+
+
+@query("typed_outputs", """
+SELECT doc_id, action_id, CASE WHEN action_id = 'doc.sizes' THEN n_chars % 11 <> 0 ELSE n_chars % 13 <> 0 END AS success,
+       CASE WHEN success THEN NULL WHEN action_id = 'doc.sizes' THEN 'Not of the declared type: thousands'
+            ELSE 'Not of the declared type: place' END AS error_message,
+       CASE WHEN success AND action_id = 'doc.sizes' THEN n_chars > 1000 END AS long,
+       CASE WHEN success AND action_id = 'doc.sizes' THEN n_chars / 1000 END AS thousands,
+       CASE WHEN success AND action_id = 'doc.sizes' THEN n_chars % 3 END AS second_part,
+       CASE WHEN success AND action_id = 'doc.places' THEN n_chars END AS place,
+       CASE WHEN success AND action_id = 'doc.places' THEN n_chars / 2 + n_chars * 2 END AS ends,
+       CASE WHEN success AND action_id = 'doc.places' THEN n_chars < 500 END AS first,
+       CASE WHEN success THEN octet_length(encode(lang)) END AS bytes,
+       CASE WHEN success AND action_id = 'doc.places' THEN CAST(n_chars AS VARCHAR) END AS by_lang
+FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'doc.sizes' ELSE 'doc.places' END AS action_id FROM documents)""")
+def _(t: Tables):
+    """A Python and a native action in one pass; their outputs as VARIANT, then by type."""
+    docs = t.read("documents").select(
+        "doc_id", "lang",
+        F.when(F.col("doc_id") % 2 == 0, "doc.sizes").otherwise("doc.places").alias("action_id"),
+        fields_of({"lang": F.col("lang"), "n_chars": F.col("n_chars")}).alias("inputs"),
+    )
+    done = dispatch_actions(docs, TYPED)
+    typed = variant_outputs(F.col("result.outputs"), F.col("action_id"), {"doc.sizes": SIZES, "doc.places": PLACES})
+    rows = shred(done.withColumn("typed", typed), {**SIZES, **PLACES})
+    return rows.select(
+        "doc_id", "action_id", "result.success", "result.error_message", "long", "thousands",
+        F.get("parts", F.lit(1)).cast("bigint").alias("second_part"), "place",
+        F.aggregate("ends", F.lit(0.0), lambda a, b: a + b).alias("ends"), "first",
+        F.octet_length("raw").cast("bigint").alias("bytes"), F.try_element_at("by", F.col("lang")).alias("by_lang"),
+    )
+
+
 @query("dispatch_actions", """
 SELECT event_id, CASE event_type WHEN 'view' THEN value >= 20 ELSE event_type IN ('click', 'purchase') END AS success,
        CASE WHEN event_type = 'view' AND value < 20 THEN 'too low for user ' || user_id

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rowloom.functions.ids import receipt_stream_id, stream_item_id
 from rowloom.functions.inputs import bind_inputs, fields_of
-from rowloom.operators.actions import Action, build_receipts, dispatch_actions, run_action
+from rowloom.operators.actions import Action, build_receipts, dispatch_actions, known_actions, run_action
 from rowloom.operators.fanout import fan_out_collection, fan_out_files, fan_out_stream
+from rowloom.operators.outputs import shred, variant_outputs
 from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
 from rowloom.operators.progress import job_progress
 from rowloom.operators.rollup import finish_jobs, job_counts
@@ -107,6 +108,10 @@ class Run:
     rejected: DataFrame
     receipts: DataFrame
 
+    def typed(self, action: Action) -> DataFrame:
+        """Receipts of one action that declares its outputs, with a typed column for each."""
+        return shred(self.receipts.filter(F.col("action_id") == action.action_id), action.outputs).drop("typed", "outputs")
+
     @property
     def counts(self) -> DataFrame:
         return job_counts(self.receipts)
@@ -129,6 +134,12 @@ class Run:
         return update_back(with_item_id(items), planned)
 
 
+def _declared(action: Action | Mapping[str, Mapping[str, Action]]) -> dict[str, Mapping[str, str]]:
+    """Declared outputs by action id."""
+    known = {action.action_id: action} if isinstance(action, Action) else known_actions(action)
+    return {name: one.outputs for name, one in known.items() if one.outputs}
+
+
 def _stored(receipts: DataFrame, once: Column, path: str | None, run_id: str | None) -> DataFrame:
     """Receipts, computed and written once: in the table at ``path`` where one is given. Those of
     jobs that run once stand aside there."""
@@ -188,6 +199,12 @@ def run_jobs(
     run = run_action if isinstance(action, Action) else dispatch_actions
     results = run(work, action, hostname=F.col("hostname"), username=F.col("username"))
     keep = ("job_id", "job_type", "stream_id", "seq")
+    declared = _declared(action)
+    if declared:
+        ran = F.lit(action.action_id) if isinstance(action, Action) else F.col("action_id")
+        outputs = F.when(F.col("result.success"), F.col("result.outputs"))
+        results = results.withColumn("action_id", ran).withColumn("typed", variant_outputs(outputs, ran, declared))
+        keep += ("action_id", "typed")
     once = F.col("job_type") == SINGLETON
     stored = _stored(build_receipts(results, F.lit(clock_ms), keep), once, receipts_path, run_id)
     receipts = stored.filter(~once).drop("job_type")

@@ -4,7 +4,11 @@ from pyspark.sql import functions as F
 from rowloom.operators.actions import (
     Action, build_receipts, dispatch_actions, fail, run_action, single_action_result, succeed,
 )
+from rowloom.operators.outputs import shred, variant_outputs
+from rowloom.plans.run import run_jobs
 from rowloom.schemas import RESULT
+from rowloom.session import scratch_path
+from rowloom.sinks.receipts import read_receipts
 
 ROWS = "item_id string, action_id string, inputs map<string,string>"
 
@@ -89,3 +93,54 @@ def test_single_action_result(spark):
     assert got["bad"]["status"] == "FAILED" and got["bad"]["receipt"]["error_message"] == "boom"
     assert got["quiet"]["error_message"] == ""
     assert got["none"]["status"] == "FAILED" and got["none"]["error_message"] == "Unknown error"
+
+
+TAGS = {"flag": "BOOLEAN", "share": "FLOAT", "list": "LIST", "numbers": "VECTOR", "raw": "BYTES", "any": "JSON", "name": "STRING"}
+VALUES = {"flag": True, "share": 0.1, "list": ["a", "b,c"], "numbers": [1.5, 2.0], "raw": b"\x00\xff", "any": {"k": [1]}, "name": "true"}
+
+
+def shredded(spark, action, *inputs):
+    df = spark.createDataFrame([(str(k), action.action_id, i) for k, i in enumerate(inputs)], ROWS)
+    done = dispatch_actions(df, {"r": {action.action_id: action}})
+    typed = variant_outputs(F.col("result.outputs"), F.col("action_id"), {action.action_id: action.outputs})
+    return shred(done.withColumn("typed", typed), action.outputs).orderBy("item_id").collect()
+
+
+def test_python_outputs_come_back_typed(spark):
+    def give(wrong=None):
+        return {**VALUES, **({wrong: object()} if wrong else {})}
+
+    rows = shredded(spark, Action("p", ("wrong",), python=give, outputs=TAGS), {}, {"wrong": "flag"}, {"wrong": "numbers"}, {"wrong": "name"})
+    assert [rows[0][n] for n in TAGS if n != "any"] == [v for n, v in VALUES.items() if n != "any"]
+    assert rows[0]["any"].toPython() == {"k": [1]}
+    # a wrong type fails its item only; anything can be a text
+    assert [r["result"]["success"] for r in rows] == [True, False, False, True]
+    assert rows[1]["result"]["error_message"] == "Not of the declared type: flag" and rows[1]["share"] is None
+    assert rows[2]["result"]["error_message"] == "Not of the declared type: numbers"
+
+
+def test_native_outputs_come_back_typed(spark):
+    def give(inputs):
+        values = {
+            "flag": F.lit(True), "share": inputs["share"], "list": F.array(F.lit("a"), F.lit("b,c")), "numbers": F.array(F.lit(1.5), F.lit(2.0)),
+            "raw": F.unhex(F.lit("00FF")), "any": F.struct(F.array(F.lit(1)).alias("k")), "name": F.lit("true"),
+        }
+        return succeed(values, types=TAGS)
+
+    action = Action("n", ("share",), native=give, outputs=TAGS)
+    good, bad, absent = shredded(spark, action, {"share": "0.1"}, {"share": "much"}, {})
+    assert [good[n] for n in TAGS if n != "any"] == [v for n, v in VALUES.items() if n != "any"]
+    assert bad["result"]["error_message"] == "Not of the declared type: share" and bad["flag"] is None
+    assert absent["result"]["success"] and absent["share"] is None and absent["flag"] is True
+    alone = run_action(spark.createDataFrame([("1", "n", {"share": "x"})], ROWS), action).first()
+    assert alone["result"]["success"] is False
+
+
+def test_runs_keep_typed_outputs(spark):
+    action = Action("p", ("object_id",), python=lambda object_id: {"length": len(object_id), "parts": object_id.split(".")}, outputs={"length": "INTEGER", "parts": "LIST"})
+    jobs = spark.createDataFrame([("h/job.1", "u", "h", "run_on_collection", "o", {})], "object_id string, username string, hostname string, job_type string, collection_owner string, input_data map<string,string>")
+    items = spark.createDataFrame([("o", "o.1", "1", {}), ("o", "o.22", "22", {})], "owner string, pk string, object_id string, fields map<string,string>")
+    path = scratch_path(spark, "typed")
+    run = run_jobs(jobs, action, 1, items=items, receipts_path=path)
+    assert sorted((r["object_id"], r["length"], r["parts"]) for r in run.typed(action).collect()) == [("o.1", 3, ["o", "1"]), ("o.22", 4, ["o", "22"])]
+    assert shred(read_receipts(spark, path), action.outputs).agg(F.sum("length")).first()[0] == 7
