@@ -8,7 +8,9 @@ from rowloom.plans.catalog.registry import (
 from rowloom.sources.choices import inverted_map, lookup_choices, static_choices
 from rowloom.sources.collections import exclude_jobs, multi_get, scan_collection, union_pages
 from rowloom.sources.documents import parse_documents
+from rowloom.session import scratch_path
 from rowloom.sources.files import explode_files, file_events
+from rowloom.sources.layout import of_jobs, read_clustered, write_clustered
 from rowloom.sources.streams import read_stream, stream_events
 
 
@@ -152,3 +154,25 @@ def _(t: Tables):
     items = t.collection_items.select("owner", "pk", "object_id")
     # a first page that broke off, then the full scan that repeats its rows
     return union_pages(items.filter(F.col("object_id") < "5"), items)
+
+
+@query("scan_clustered", f"""WITH {COLLECTION_ITEMS}
+SELECT owner, object_id, lang, n_chars FROM collection_items
+WHERE owner IN (SELECT 'h1/ops/collection.' || source FROM documents WHERE doc_id % 97 = 5) AND n_chars >= 200""")
+def _(t: Tables):
+    """Items of the collections that some jobs ask for, from a clustered copy of all."""
+    path = scratch_path(t.spark, "clustered")
+    write_clustered(t.collection_items.select("owner", "object_id", "lang", "n_chars"), path, sort=("n_chars",), folders=16)
+    jobs = t.read("documents").filter("doc_id % 97 = 5").select(text("h1/ops/collection.", F.col("source")).alias("asked"))
+    return of_jobs(t.spark.read.parquet(path), jobs, "asked", folders=16).filter("n_chars >= 200")
+
+
+@query("read_stream_clustered", f"""WITH {TYPE_STREAMS}, middle AS (SELECT (min(timestamp) + max(timestamp)) // 2 AS half FROM type_streams)
+SELECT stream_id, timestamp, object_id FROM type_streams, middle WHERE stream_id = 'h1/ops/stream.click' AND timestamp > half""")
+def _(t: Tables):
+    """One stream after a time: one folder, and in it the row groups after that time."""
+    path = scratch_path(t.spark, "clustered")
+    write_clustered(t.type_streams.select("stream_id", "timestamp", "object_id"), path, "stream_id", ("timestamp",), folders=16)
+    ends = t.type_streams.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    items = read_clustered(t.spark, path, ["h1/ops/stream.click"], "stream_id", folders=16)
+    return read_stream(items, "h1/ops/stream.click", after_timestamp=(ends.a + ends.b) // 2)

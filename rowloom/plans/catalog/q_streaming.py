@@ -9,6 +9,7 @@ from rowloom.session import scratch_path
 from rowloom.streaming.runs import (
     drain, live_counts, read_live_counts, read_new_files, run_on_stream_incremental,
 )
+from rowloom.streaming.puts import STATE_STORE, read_puts, stream_put_live
 from rowloom.streaming.triggers import collection_changes, file_trigger, read_new_binary_files, stream_trigger
 
 
@@ -34,24 +35,55 @@ def live(t: Tables) -> DataFrame:
     )
 
 
-@query("run_on_stream_incremental", f"""
+INCREMENTAL = f"""
 SELECT 'h1/ops/job.s-' || event_type AS job_id, 'h1/ops/stream-run-all.s-' || event_type AS stream_id,
        'h1/ops/stream.' || event_type || '@' || {MS} AS object_id, {MS} AS timestamp, event_id AS seq,
        value >= 50 AND event_id % 10 > 0 AS success,
        CASE WHEN event_id % 10 = 0 THEN 'not a number' WHEN value < 50 THEN 'below 50' END AS error_message
-FROM events""")
-def _(t: Tables):
+FROM events"""
+
+
+def incremental(t: Tables, events: DataFrame, **how) -> DataFrame:
     out = scratch_path(t.spark, "receipts")
     # every tenth value is malformed: it fails its own item and no other
     value = F.when(F.col("event_id") % 10 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string"))
     fields = fields_of({"value": value, "event_type": F.col("event_type")})
     run_on_stream_incremental(
-        live(t), lambda: t.stream_jobs, FLOOR, fields, out, scratch_path(t.spark, "offsets"), event_key="event_id"
+        events, lambda: t.stream_jobs, FLOOR, fields, out, scratch_path(t.spark, "offsets"), event_key="event_id", **how
     )
     receipts = t.spark.read.parquet(out)
     return receipts.select("job_id", "stream_id", "object_id", "timestamp", "seq", "success", "error_message")
 
 
+@query("run_on_stream_incremental", INCREMENTAL)
+def _(t: Tables):
+    return incremental(t, live(t))
+
+
+@query("run_on_stream_repeats", INCREMENTAL)
+def _(t: Tables):
+    """Every third event arrives twice, and gives one receipt."""
+    return incremental(t, live(t).unionByName(live(t).filter("event_id % 3 = 0")), repeats_within="1 day")
+
+
+@query("stream_put_live", f"""WITH hourly AS (
+    SELECT 'h1/ops/stream.' || event_type AS stream_id, {MS} // 3600000 * 3600000 AS timestamp, event_id, user_id, value,
+           row_number() OVER (PARTITION BY event_type, {MS} // 3600000 ORDER BY event_id DESC) AS rn
+    FROM events)
+SELECT stream_id, timestamp, event_id, user_id, value FROM hourly WHERE rn = 1""")
+def _(t: Tables):
+    """The last put of each stream and hour, with the keys' last puts as state."""
+    out, kept = scratch_path(t.spark, "puts"), t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    hour = (F.floor(F.col("timestamp") / 3_600_000) * 3_600_000).alias("timestamp")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        puts = live(t).select("stream_id", hour, "event_id", "user_id", "value")
+        stream_put_live(puts, out, scratch_path(t.spark, "offsets"), order="event_id")
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    return read_puts(t.spark, out, order="event_id")
+
+
 @query("live_counts", """
 SELECT event_type AS job_id, count(*) FILTER (WHERE value >= 50) AS success_count,
        count(*) FILTER (WHERE value < 50) AS error_count

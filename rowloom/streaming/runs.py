@@ -3,6 +3,7 @@ every run with ``availableNow`` handles what arrived since the last one."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -13,6 +14,8 @@ from rowloom.functions.inputs import bind_inputs
 from rowloom.operators.jobs import resolve_jobs, split_cancelled, validate_jobs
 from rowloom.sinks.receipts import write_batch_receipts
 
+log = logging.getLogger(__name__)
+
 
 def read_new_files(
     spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None
@@ -25,8 +28,9 @@ def read_new_files(
     return reader.load(path)
 
 
-def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Hand every available micro-batch to ``each`` and stop."""
+def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Hand every available micro-batch to ``each`` and stop; how many rows came after their
+    watermark, by which stateful steps leave them out."""
     query = (
         df.writeStream.foreachBatch(each)
         .outputMode(mode)
@@ -35,6 +39,10 @@ def drain(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str
         .start()
     )
     query.awaitTermination()
+    late = sum(state["numRowsDroppedByWatermark"] for said in query.recentProgress for state in said["stateOperators"])
+    if late:
+        log.warning("%d rows came after their watermark and were left out", late)
+    return late
 
 
 def bind_stream_items(events: DataFrame, jobs: DataFrame, fields: Column, event_key: str | None = None) -> DataFrame:
@@ -74,20 +82,32 @@ def run_on_stream_incremental(
     out: str,
     checkpoint: str,
     event_key: str | None = None,
-) -> None:
-    """Run an action on every new event of the jobs' streams and write receipts.
+    repeats_within: str | None = None,
+) -> int:
+    """Run an action on every new event of the jobs' streams and write receipts; how many events
+    came too late to be handled.
 
     ``jobs`` is read again at every micro-batch, so a job cancelled meanwhile gets
     no more items. Receipts carry the item's own time and go to a folder per batch,
     so a replay after a lost executor or a restart leaves one receipt per item. The write is
     where the actions run: if it fails, the batch fails and is handled again.
+
+    ``repeats_within`` (such as "1 hour") is how far apart in their own time copies of one event,
+    by stream and ``event_key`` or time, may arrive: the first is handled, in whatever file
+    or run the others come. An event that is older than all seen by more than that is late: it
+    is counted, as nothing is remembered that far back. Without it every event is handled.
     """
+    if repeats_within is not None:
+        key = ["stream_id", event_key or "timestamp"]
+        timed = events.withColumn("_time", F.timestamp_millis("timestamp")).withWatermark("_time", repeats_within)
+        events = timed.dropDuplicatesWithinWatermark(key).drop("_time")
+
     def each(batch: DataFrame, batch_id: int) -> None:
         bound = bind_stream_items(batch, jobs(), fields, event_key)
         results = run_action(bound, action, hostname=F.col("hostname"), username=F.col("username"))
         write_batch_receipts(build_receipts(results, F.col("timestamp")), out, batch_id)
 
-    drain(events, each, checkpoint)
+    return drain(events, each, checkpoint)
 
 
 def live_counts(receipts: DataFrame, out: str, checkpoint: str) -> None:

@@ -12,6 +12,7 @@ from rowloom.operators.progress import job_progress
 from rowloom.operators.rollup import job_counts
 from rowloom.session import scratch_path
 from rowloom.sources.collections import exclude_jobs, scan_collection
+from rowloom.sources.layout import of_jobs, read_clustered, write_clustered
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -95,3 +96,53 @@ def test_a_run_reads_its_items_twice_and_its_labels_once(spark):
     assert shown.count("labels.parquet") == 1
     # twice for the items; the jobs of this query are derived from the same table
     assert shown.count("documents.parquet") <= 4
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Forty owners, one of which holds a third of all items, in many small row groups."""
+    path = scratch_path(spark, "clustered")
+    owner = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("o"), F.col("id") % 40))
+    items = spark.range(60_000).select(owner.alias("owner"), F.col("id").alias("timestamp"), F.uuid().alias("text"))
+    write_clustered(items.repartition(7), path, sort=("timestamp",), folders=8, row_group=64 << 10)
+    return path
+
+
+def scanned(df):
+    """Files and rows that the scans of a query read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found = [0, 0]
+
+    def walk(node):
+        if node.nodeName().startswith("Scan parquet") or "FileScan" in node.getClass().getSimpleName() or "FileSourceScan" in node.getClass().getSimpleName():
+            found[0] += node.metrics().apply("numFiles").value()
+            found[1] += node.metrics().apply("numOutputRows").value()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            walk(node.finalPhysicalPlan())
+        if "QueryStage" in node.getClass().getSimpleName():
+            walk(node.plan())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(plan)
+    return found
+
+
+def test_a_clustered_read_opens_one_folder_and_few_row_groups(spark, clustered):
+    every = len(spark.read.parquet(clustered).inputFiles())
+    one = read_clustered(spark, clustered, ["o7"], folders=8)
+    shown = plan(one)
+    assert re.search(r"PartitionFilters: \[[^]]*__folder__", shown) and "PushedFilters: [IsNotNull(owner), EqualTo(owner,o7)]" in shown
+    files, rows = scanned(one)
+    assert one.count() == 1_000 and files < every / 2
+    part = read_clustered(spark, clustered, ["hot"], folders=8).filter("timestamp BETWEEN 30000 AND 30300")
+    files, rows = scanned(part)
+    assert part.count() == 101 and rows < 8_000  # of 20,000 items of this owner
+
+
+def test_folders_are_pruned_by_the_jobs_of_a_query(spark, clustered):
+    jobs = spark.createDataFrame([("j", "o7"), ("k", "nobody")], "job string, wanted string")
+    found = of_jobs(spark.read.parquet(clustered), jobs, "wanted", folders=8)
+    assert found.count() == 1_000 and "dynamicpruning" in plan(found).lower()

@@ -4,6 +4,8 @@ from rowloom.functions.inputs import fields_of
 from rowloom.operators.actions import Action, fail, succeed
 from rowloom.session import scratch_path
 from rowloom.streaming.runs import live_counts, read_live_counts, read_new_files, run_on_stream_incremental
+from rowloom.sinks.receipts import stream_put
+from rowloom.streaming.puts import STATE_STORE, read_puts, stream_put_live
 from rowloom.streaming.triggers import collection_changes, file_trigger, stream_trigger, stream_triggers
 
 EVENTS = "stream_id string, timestamp bigint, value int"
@@ -150,3 +152,50 @@ def test_collection_changes_are_typed(spark):
     nested = "named_struct('x', array(timestamp_micros({}))) AS s"
     assert changed(nested.format(7), nested.format(8)) and not changed(nested.format(7), nested.format(7))
     assert changed(nested.format(7), "cast(null as struct<x:array<timestamp>>) AS s")
+
+
+KEYED = "stream_id string, timestamp bigint, value bigint, event_id bigint"
+
+
+def test_repeated_events_give_one_receipt_and_late_ones_are_told(spark):
+    source, out, offsets = (scratch_path(spark, n) for n in ("source", "out", "offsets"))
+    hour, jobs = 3_600_000, [("h/u/job.1", "h", "u", "s", {}, False)]
+
+    def run(*events):
+        spark.createDataFrame(list(events), KEYED).coalesce(1).write.mode("append").parquet(source)
+        late = run_on_stream_incremental(
+            read_new_files(spark, source, spark.createDataFrame([], KEYED).schema), lambda: spark.createDataFrame(jobs, JOBS),
+            POSITIVE, fields_of({"value": F.col("value")}), out, offsets, event_key="event_id", repeats_within="1 hour",
+        )
+        return late, sorted(r["seq"] for r in spark.read.parquet(out).collect())
+
+    assert run(("s", hour, 5, 1), ("s", hour, 5, 1), ("s", hour, 5, 2)) == (0, [1, 2])
+    assert run(("s", hour, 5, 1), ("s", 2 * hour, 5, 3)) == (0, [1, 2, 3])  # a copy in another file and run
+    assert run(("s", 9 * hour, 5, 4)) == (0, [1, 2, 3, 4])
+    assert run(("s", 2 * hour, 5, 9), ("s", 9 * hour, 5, 5)) == (1, [1, 2, 3, 4, 5])  # one came seven hours late
+
+
+PUTS = "stream_id string, timestamp bigint, object_id string, seq bigint"
+
+
+def test_puts_on_a_stream_are_those_of_the_batch(spark):
+    source, out, offsets = (scratch_path(spark, n) for n in ("source", "out", "offsets"))
+    parts = [
+        [("s", 1, "a", 1), ("s", 1, "b", 3), ("s", 2, "c", 1), ("t", 1, "d", 1)],
+        [("s", 1, "late", 2), ("s", 2, "e", 2), ("t", 1, "d", 1)],  # behind a later put; a repeated one
+        [("s", 1, "f", 4), ("u", 7, "g", 1)],
+    ]
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    try:
+        for rows in parts:
+            spark.createDataFrame(rows, PUTS).coalesce(1).write.mode("append").parquet(source)
+            stream_put_live(read_new_files(spark, source, spark.createDataFrame([], PUTS).schema), out, offsets)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    every = spark.createDataFrame([r for rows in parts for r in rows], PUTS)
+    want = sorted(tuple(r) for r in stream_put(every).select("stream_id", "timestamp", "object_id", "seq").collect())
+    got = read_puts(spark, out).select("stream_id", "timestamp", "object_id", "seq")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    written = sorted(r["object_id"] for r in spark.read.parquet(out).collect())
+    assert written == ["b", "c", "d", "e", "f", "g"]  # neither the late put nor the repeated one
