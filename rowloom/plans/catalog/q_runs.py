@@ -8,9 +8,11 @@ from rowloom.functions.inputs import fields_of
 from rowloom.plans.catalog.q_actions import LABEL
 from rowloom.plans.catalog.q_joins import FAN_OUT
 from rowloom.plans.catalog.q_streaming import FLOOR
-from rowloom.plans.catalog.registry import Tables, query
+from rowloom.plans.catalog.registry import COLLECTION_ITEMS, Tables, query
 from rowloom.operators.actions import Action, fail, succeed
-from rowloom.plans.run import collection_work, run_jobs
+from rowloom.plans.run import collection_work, run_jobs, store_items
+from rowloom.session import scratch_path
+from rowloom.sinks.documents import read_documents
 from rowloom.operators.actions import build_receipts, run_action
 from rowloom.operators.jobs import resolve_jobs, validate_jobs
 from rowloom.operators.rollup import finish_jobs, job_counts
@@ -99,3 +101,29 @@ SELECT 'h1/ops/job.f-' || block AS object_id, 'run_on_files' AS job_type,
 FROM done""")
 def _(t: Tables):
     return run_jobs(t.file_jobs, SECURE, CLOCK_MS).jobs
+
+
+def _size(inputs):
+    n = inputs.number("n_chars")
+    return F.when(n % 10 == 3, fail(F.lit("no size"))).otherwise(succeed({"size": F.floor(n / 100), "lang": inputs["lang"]}))
+
+
+SIZE = Action("doc.size", ("n_chars", "lang"), native=_size)
+
+
+@query("run_writes_back", f"""WITH {COLLECTION_ITEMS}
+SELECT coalesce(pk, object_id) AS item_id, n_chars, CASE WHEN done THEN CAST(n_chars // 100 AS VARCHAR) END AS size,
+       CASE WHEN done THEN 'xx' END AS said
+FROM (SELECT *, NOT contains(coalesce(pk, ''), '/job.') AND n_chars % 10 <> 3 AS done FROM collection_items)""")
+def _(t: Tables):
+    """Items in a store, run over and written back in one call; those that failed stay as they were."""
+    root = scratch_path(t.spark, "items")
+    fields = fields_of({"n_chars": F.col("n_chars")})
+    store_items(t.collection_items.select("owner", "pk", "object_id", fields.alias("fields")), root)
+    links = t.collection_jobs.select("object_id", F.explode(F.array(*[
+        F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in (("size", "size"), ("lang", "said"))
+    ])).alias("link")).select("object_id", "link.source", "link.target")
+    run_jobs(t.collection_jobs, SIZE, CLOCK_MS, items_root=root, mappings=links)
+    back = read_documents(t.spark, root)
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return back.select("item_id", field("n_chars").cast("bigint").alias("n_chars"), field("size").alias("size"), field("said").alias("said"))

@@ -20,6 +20,8 @@ from rowloom.operators.rollup import finish_jobs, job_counts
 from rowloom.operators.updates import update_back
 from rowloom.schemas import MAPPINGS, SINGLETON
 from rowloom.session import materialise
+from rowloom.sinks.commits import Conflict
+from rowloom.sinks.documents import read_documents, snapshot, upsert_into
 from rowloom.sinks.receipts import commit_receipts, stage_receipts
 from rowloom.sources.collections import exclude_jobs, with_item_id
 
@@ -107,6 +109,7 @@ class Run:
     jobs: DataFrame
     rejected: DataFrame
     receipts: DataFrame
+    items_version: int | None = None
 
     def typed(self, action: Action) -> DataFrame:
         """Receipts of one action that declares its outputs, with a typed column for each."""
@@ -133,6 +136,29 @@ class Run:
         )
         return update_back(with_item_id(items), planned)
 
+    def write_back(self, mappings: DataFrame, root: str, retries: int = 5) -> int:
+        """Save the outputs of succeeded items onto their documents in the store under ``root``,
+        keyed by ``item_id``; the store's version.
+
+        Only documents that get an output are written, on top of what the store holds by now: if
+        another writer comes first, its fields are read again and ours set on them.
+        """
+        spark = self.receipts.sparkSession
+        while True:
+            base = snapshot(spark, root)
+            changed = self.updated_items(base.read(spark).drop("item_id"), mappings).filter("updated").drop("updated")
+            try:
+                return upsert_into(changed, root, "item_id", base=base)
+            except Conflict:
+                if not retries:
+                    raise
+                retries -= 1
+
+
+def store_items(items: DataFrame, root: str) -> int:
+    """Keep items by their id, as ``run_jobs`` reads and writes them; the store's version."""
+    return upsert_into(with_item_id(items), root, "item_id")
+
 
 def _declared(action: Action | Mapping[str, Mapping[str, Action]]) -> dict[str, Mapping[str, str]]:
     """Declared outputs by action id."""
@@ -167,6 +193,8 @@ def run_jobs(
     stream_id: str | None = None,
     receipts_path: str | None = None,
     run_id: str | None = None,
+    items_root: str | None = None,
+    mappings: DataFrame | None = None,
 ) -> Run:
     """Run an action over everything the jobs point at: one action for all jobs, or
     registries from which every job picks by its ``action_id``.
@@ -176,6 +204,32 @@ def run_jobs(
     of the job reach actions that declare them. A job whose kind of source was not given
     is rejected. With ``receipts_path`` they are written to that table of receipts at once, where
     a run of the same ``run_id`` replaces what it left before; only if that fails, elsewhere.
+
+    ``items_root`` names a store of items (``store_items``) to run over; with ``mappings`` (as for
+    ``Run.updated_items``) the outputs are saved onto its items before this returns.
+    """
+    if items_root is not None:
+        items = read_documents(jobs.sparkSession, items_root).drop("item_id")
+    run = _run(jobs, action, clock_ms, items, events, forced_type, limit, collection_owner, stream_id, receipts_path, run_id)
+    if items_root is not None and mappings is not None:
+        run.items_version = run.write_back(mappings, items_root)
+    return run
+
+
+def _run(
+    jobs: DataFrame,
+    action: Action | Mapping[str, Mapping[str, Action]],
+    clock_ms: int,
+    items: DataFrame | None,
+    events: DataFrame | None,
+    forced_type: str | None,
+    limit: int | None,
+    collection_owner: str | None,
+    stream_id: str | None,
+    receipts_path: str | None,
+    run_id: str | None,
+) -> Run:
+    """``run_jobs`` without the write-back.
     """
     checked = validate_jobs(resolve_jobs(jobs, forced_type, collection_owner, stream_id))
     for kind, source in (("run_on_collection", items), ("run_on_stream", events)):

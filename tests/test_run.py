@@ -171,3 +171,28 @@ def test_receipts_of_a_run_are_appended(spark):
     assert sorted(run.receipts.inputFiles()) == sorted(f for f in kept.inputFiles())  # written once, and read from there
     blocked = run_jobs(table, GRADE, 3, items=items, receipts_path="file:///proc/nowhere")
     assert blocked.receipts.count() == 4
+
+
+def test_outputs_are_written_back_on_top_of_other_writers(spark):
+    from rowloom.plans.run import store_items
+    from rowloom.session import scratch_path
+    from rowloom.sinks.documents import read_documents, upsert_into
+
+    schema = "owner string, pk string, object_id string, fields map<string,string>"
+    items = spark.createDataFrame([("o", f"o.{i}", str(i), {"mark": str(i)}) for i in range(6)] + [("o", None, None, {})], schema)
+    table = spark.createDataFrame(
+        [("h/u/job.c", "h", "u", "run_on_collection", "o", {})],
+        "object_id string, hostname string, username string, job_type string, collection_owner string, input_data map<string,string>",
+    )
+    twice = Action("twice", ("mark",), python=lambda mark: {"twice": 2 * int(mark)})
+    links = spark.createDataFrame([("h/u/job.c", "twice", "double")], "object_id string, source string, target string")
+    root = scratch_path(spark, "items")
+    assert store_items(items, root) == 1
+    run = run_jobs(table, twice, 1, items_root=root, mappings=links)
+    assert run.items_version == 2 and run.jobs.first()["error_count"] == 1
+    held = lambda: {r["item_id"]: r["fields"] for r in read_documents(spark, root).collect()}
+    assert held() == {"unknown": {}, **{f"o.{i}": {"mark": str(i), "double": str(2 * i)} for i in range(6)}}
+    # another writer changes an item; writing back again sets our field and leaves its
+    other = read_documents(spark, root).filter("item_id = 'o.3'").withColumn("fields", F.create_map(F.lit("mark"), F.lit("new")))
+    upsert_into(other, root, "item_id")
+    assert run.write_back(links, root) == 4 and held()["o.3"] == {"mark": "new", "double": "6"}
