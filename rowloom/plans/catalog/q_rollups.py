@@ -6,7 +6,7 @@ from rowloom.operators.progress import job_progress, thin_progress
 from rowloom.operators.rollup import (
     cost_rollup, empty_jobs, final_status, job_counts, latest_receipt, trigger_stats,
 )
-from rowloom.plans.catalog.registry import COLLECTION_JOBS, RECEIPTS, Tables, query
+from rowloom.plans.catalog.registry import RECEIPTS, Tables, query, text
 from rowloom.session import materialise
 
 
@@ -44,29 +44,23 @@ def _(t: Tables):
     )
 
 
-@query("empty_jobs", f"""WITH {COLLECTION_JOBS}, kinds AS (
-    SELECT *, CASE length(object_id) % 3 WHEN 0 THEN 'run_on_collection' WHEN 1 THEN 'run_on_stream'
-              ELSE 'run_on_files' END AS job_type FROM collection_jobs)
+@query("empty_jobs", """WITH kinds AS (
+    SELECT doc_id, 'h1/ops/job.d' || doc_id AS object_id,
+           CASE doc_id % 3 WHEN 0 THEN 'run_on_collection' WHEN 1 THEN 'run_on_stream' ELSE 'run_on_files' END AS job_type
+    FROM documents)
 SELECT object_id, job_type, 'SUCCEEDED' AS status, CASE job_type WHEN 'run_on_collection' THEN
        'No items found in collection' WHEN 'run_on_stream' THEN 'No items found in stream'
        ELSE 'No files to process' END AS error_message,
        CAST(NULL AS INTEGER) AS percent, CAST(NULL AS BIGINT) AS success_count, CAST(NULL AS BIGINT) AS error_count
-FROM kinds WHERE collection_owner NOT IN (
-    SELECT 'h1/ops/collection.' || source FROM documents d JOIN labels USING (doc_id) WHERE lang = 'fr')""")
+FROM kinds WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""")
 def _(t: Tables):
-    # jobs whose collection has no labelled French document
-    size = F.length("object_id") % 3
-    kind = (
-        F.when(size == 0, F.lit("run_on_collection")).when(size == 1, F.lit("run_on_stream"))
-        .otherwise(F.lit("run_on_files"))
-    )
-    jobs = t.collection_jobs.withColumn("job_type", kind)
-    items = t.collection_items.filter("lang = 'fr'").join(t.outputs, "object_id", "left_semi")
-    owners = items.groupBy("owner").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("success_count"), F.lit(0).cast("bigint").alias("error_count")
-    )
-    counts = jobs.select("object_id", F.col("collection_owner").alias("owner")).join(owners, "owner").drop("owner")
-    return empty_jobs(jobs, counts.withColumnRenamed("object_id", "job_id"))
+    """A job per document, whose items are its labels; most documents have none."""
+    key = F.col("doc_id")
+    kind = F.when(key % 3 == 0, "run_on_collection").when(key % 3 == 1, "run_on_stream").otherwise("run_on_files")
+    name = text("h1/ops/job.d", key)
+    jobs = t.read("documents").select(name.alias("object_id"), kind.alias("job_type"))
+    receipts = t.read("labels").select(name.alias("job_id"), (F.col("quality") == 1).alias("success"))
+    return empty_jobs(jobs, job_counts(receipts))
 
 
 @query("trigger_stats", f"""WITH {RECEIPTS}
