@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from rowloom.llm.common import hashed, per_batch, prepare, raw, rolling, without, word_hashes
+from rowloom.llm.common import hashed, per_batch, prepare, raw, rolling, unused, without, word_hashes
 from rowloom.session import materialise
 
 COMMON = 50
@@ -143,8 +143,9 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the base counts, both distances and ``kept``."""
     prepare(docs.sparkSession)
     docs = without(docs, *[f.name for f in FIELDS])
-    rows = docs.withColumn("_data", raw(text)).withColumn("_lang", F.coalesce(F.col(lang), F.lit("")))
-    known = references(rows.select(F.col("_lang").alias("lang"), F.col("_data").alias("data")))
+    data_, lang_ = unused(docs, "data"), unused(docs, "language")
+    rows = docs.withColumn(data_, raw(text)).withColumn(lang_, F.coalesce(F.col(lang), F.lit("")))
+    known = references(rows.select(F.col(lang_).alias("lang"), F.col(data_).alias("data")))
 
     def make():
         memory = word_hashes()
@@ -152,7 +153,7 @@ def judge(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
 
         def compute(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {f.name: [] for f in FIELDS}
-            for data, language in zip(batch.column("_data").to_pylist(), batch.column("_lang").to_pylist()):
+            for data, language in zip(batch.column(data_).to_pylist(), batch.column(lang_).to_pylist()):
                 words, reference = data.split(), known.get(language)
                 n, repeated = len(words), repeated_words(words, memory)
                 failed = n < 20 or 100 * repeated > 30 * n

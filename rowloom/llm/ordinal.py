@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from rowloom.llm.common import Remembered, per_batch, prepare, raw, without
+from rowloom.llm.common import Remembered, per_batch, prepare, raw, unused, without
 
 DIMENSIONS = 1 << 18
 SYMBOLS = b"#*$%&|<>!{}[]=\\~^_"
@@ -136,6 +136,7 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, select_from: int,
     """
     prepare(docs.sparkSession)
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    rated = rated.join(docs.select("doc_id"), "doc_id", "left_semi")  # so that each one counts
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rated)
     texts = docs.select("doc_id", raw("text").alias("data")).join(rated, "doc_id")
 
@@ -176,14 +177,14 @@ def score(docs: DataFrame, model: Ordinal, prefix: str = "") -> DataFrame:
     """All columns of ``docs``, with expected_grade, p_select and kept, named with ``prefix``."""
     result = [T.StructField(prefix + f.name, f.dataType) for f in RESULT]
     docs = without(docs, *[f.name for f in result])
-    columns = docs.columns
+    columns, own = docs.columns, unused(docs, "data")
 
     def make():
         weights = model.weights
         memory = Remembered(lambda w: tuple(b if b >= 0 and weights[b] else -1 for b in _buckets(w)))
 
         def compute(batch: pa.RecordBatch) -> dict:
-            data = batch.column("_data").to_pylist()
+            data = batch.column(own).to_pylist()
             eta = np.array([weights[features(x, memory)].sum(dtype=np.float64) for x in data])
             above = 1 / (1 + np.exp(np.clip(model.thresholds[None, :] - eta[:, None], -40, 40)))
             p = above[:, model.select_from - 1]
@@ -191,7 +192,7 @@ def score(docs: DataFrame, model: Ordinal, prefix: str = "") -> DataFrame:
 
         return compute
 
-    return per_batch(docs.withColumn("_data", raw("text")), make, result, columns)
+    return per_batch(docs.withColumn(own, raw("text")), make, result, columns)
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from rowloom.llm.common import Remembered, per_batch, prepare, whole, without
+from rowloom.llm.common import Remembered, per_batch, prepare, unused, whole, without
 
 MARK = "▁"  # stands for a space inside pieces
 #: segments a task remembers with their ids before it starts anew
@@ -210,29 +210,31 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ids (array) and decoded (their text)."""
     prepare(docs.sparkSession)
     docs = without(docs, "ids", "decoded")
+    own = unused(docs, "whole")
 
     def make():
         pieces = load(path)
 
         def compute(batch: pa.RecordBatch) -> dict:
-            ids = [pieces.encode(x) for x in batch.column("_text").to_pylist()]
+            ids = [pieces.encode(x) for x in batch.column(own).to_pylist()]
             return {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": [pieces.decode(x) for x in ids]}
 
         return compute
 
-    return per_batch(docs.withColumn("_text", whole(text)), make, ENCODED, docs.columns)
+    return per_batch(docs.withColumn(own, whole(text)), make, ENCODED, docs.columns)
 
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with the number of ids and digests of ids and decoded text."""
     prepare(docs.sparkSession)
     docs = without(docs, *[f.name for f in DIGESTS])
+    own = unused(docs, "whole")
 
     def make():
         pieces = load(path)
 
         def compute(batch: pa.RecordBatch) -> dict:
-            rows = [pieces.summary(x) for x in batch.column("_text").to_pylist()]
+            rows = [pieces.summary(x) for x in batch.column(own).to_pylist()]
             sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
             return {
                 "n_tokens": pa.array([r[1] for r in rows], pa.int64()),
@@ -242,4 +244,4 @@ def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         return compute
 
-    return per_batch(docs.withColumn("_text", whole(text)), make, DIGESTS, docs.columns)
+    return per_batch(docs.withColumn(own, whole(text)), make, DIGESTS, docs.columns)

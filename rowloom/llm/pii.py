@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowloom.llm.common import prepare, whole, without
+from rowloom.llm.common import prepare, unused, whole, without
 
 NEAR, LEAST = 32, 0.7
 
@@ -134,11 +134,12 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     body = whole(text)
     base = [k for k in KINDS if k.base]
     more = [k for k in KINDS if not k.base]
-    rows = docs.withColumn("_base", F.concat(*[proposed(body, k, i) for i, k in enumerate(base)]))
-    rows = rows.withColumn("_more", F.concat(*[proposed(body, k, len(base) + i) for i, k in enumerate(more)]))
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    kept = F.when(F.size("_more") > 0, F.filter("_more", apart)).otherwise(F.col("_more"))
-    return rows.withColumn("pii", F.array_sort(F.concat("_base", kept))).drop("_base", "_more")
+    base_, more_ = unused(docs, "base"), unused(docs, "more")
+    rows = docs.withColumn(base_, F.concat(*[proposed(body, k, i) for i, k in enumerate(base)]))
+    rows = rows.withColumn(more_, F.concat(*[proposed(body, k, len(base) + i) for i, k in enumerate(more)]))
+    apart = lambda s: ~F.exists(base_, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    kept = F.when(F.size(more_) > 0, F.filter(more_, apart)).otherwise(F.col(more_))
+    return rows.withColumn("pii", F.array_sort(F.concat(base_, kept))).drop(base_, more_)
 
 
 def written(spans: Column) -> Column:
