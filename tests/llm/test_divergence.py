@@ -52,3 +52,60 @@ def test_edges(edges, nothing):
         assert fields(r) == base(r.text)
         assert r.kept in (True, False) and (not r.base_failed or not r.kept)
     assert divergence.judge(nothing).count() == 0
+
+
+def far(text, n, chars, words_far, chars_far):
+    """The verdict's limits, written out."""
+    return chars_far > 0.19 + 2.0 / max(1, chars) ** 0.5 or words_far > 0.33 + 1.2 / max(1, n) ** 0.5
+
+
+def js(p, q):
+    if not sum(p) or not sum(q):
+        return 0.0
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    half = lambda a, b: sum(x * np.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+    return max(0.0, (half(p, q) + half(q, p)) / 2) ** 0.5
+
+
+def kind(c):
+    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\r\n\v\f", ".,;:!?", "'\"()[]{}-", "#*$%&|<>"]
+    return next((k for k, g in enumerate(groups) if c in g), 8 if c < "\x80" else 9)
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def test_verdict_and_distances_by_brute_force(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = {"en": [f"{a}{b}" for a in "bcdfgh" for b in ("ing", "est", "Or", "a")] + ["the", "of"], "fr": [f"{a}é{b}" for a in "lmnprst" for b in "aeiou"] + ["le", "là"]}
+    rows = []
+    for i in range(160):
+        lang = ["en", "fr", None][i % 3] if i % 11 else "xx"
+        own = vocabulary.get(lang, vocabulary["en"])
+        words = [own[int(k)] for k in rng.zipf(1.3, int(rng.integers(5, 400))) % len(own)]
+        if i % 9 == 4:
+            words = [w + "#$%"[k % 3] * 4 for k, w in enumerate(words)]
+        if i % 13 == 5:
+            words = [vocabulary["fr" if lang == "en" else "en"][k % 20] for k in range(len(words))]
+        rows.append((i, (" " if i % 2 else "\n").join(words) + ("." if i % 5 else "\t1999!"), lang))
+    rows += [(500, None, "en"), (501, "", None)]
+    classes, counts = {}, {}
+    for _, text, lang in rows:
+        classes.setdefault(lang, Counter()).update(kind(c) for c in text or "")
+        counts.setdefault(lang, Counter()).update(re.findall(r"[^\x20\x09-\x0D]+", lower(text or "")))
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    verdicts = set()
+    for i, text, lang in rows:
+        text, failed = text or "", base(text)[5]
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        common = sorted(counts[lang], key=lambda w: (-counts[lang][w], w.encode()))[:50]
+        in_reference = [counts[lang][w] for w in common]
+        in_text = [words.count(w) for w in common]
+        mine = Counter(map(kind, text))
+        by_chars = js([mine[k] for k in range(10)], [classes[lang][k] for k in range(10)]) if len(text) >= 200 else 0.0
+        by_words = js([*in_text, len(words) - sum(in_text)], [*in_reference, sum(counts[lang].values()) - sum(in_reference)]) if len(words) >= 60 else 0.0
+        assert abs(got[i].js_chars - by_chars) < 1e-9 and abs(got[i].js_words - by_words) < 1e-9
+        assert got[i].kept == (not failed and not far(text, len(words), len(text), by_words, by_chars))
+        verdicts.add((failed, got[i].kept))
+    assert verdicts == {(True, False), (False, False), (False, True)}

@@ -63,3 +63,47 @@ def test_conflicts_and_strangers(spark, edges):
 def test_prefix_leaves_columns_alone(edges, model):
     got = ordinal.score(edges, model, "_quality_")
     assert set(edges.columns) <= set(got.columns) and got.where("kept = 'mine'").count() == edges.count()
+
+
+def loss(weights, cuts, rows, grades, penalty):
+    """Minus the mean log-likelihood of cumulative links, and the ridge."""
+    edges = np.concatenate([[-np.inf], cuts, [np.inf]])
+    out = 0.0
+    for r, y in zip(rows, grades, strict=True):
+        score = weights[r].sum()
+        link = lambda z: 1 / (1 + np.exp(-z))
+        out -= np.log(link(edges[y + 1] - score) - link(edges[y] - score))
+    return out / len(rows) + penalty / 2 * (weights**2).sum()
+
+
+def test_fit_is_the_maximum_that_plain_steps_find():
+    rng = np.random.default_rng(1)
+    true = np.array([1.5, -1.0, 0.5, 0.0, -2.0])
+    rows = [np.flatnonzero(rng.random(5) < 0.5) for _ in range(250)]
+    noisy = [true[r].sum() + rng.logistic() for r in rows]
+    grades = np.digitize(noisy, [-1.0, 1.0])
+    penalty = 0.01
+    weights, cuts = ordinal.fit(rows, grades, 3, min_docs=1, least_gain=-1.0, penalty=penalty, rounds=1_500)
+    found = loss(weights[:5].astype(float), cuts, rows, grades, penalty)
+
+    x = np.concatenate([np.zeros(5), [-0.5, 0.5]])  # five weights and two thresholds
+    at = lambda v: loss(v[:5], v[5:], rows, grades, penalty)
+    for _ in range(250):
+        slope = np.array([(at(x + h) - at(x - h)) / 2e-5 for h in 1e-5 * np.eye(7)])
+        x = x - 2.0 * slope
+    assert found <= at(x) + 1e-4 and np.abs(slope).max() < 0.01
+    assert np.allclose(weights[:5], x[:5], atol=0.05) and np.allclose(cuts, x[5:], atol=0.05)
+    assert np.all(weights[5:] == 0)
+
+
+def test_scores_by_brute_force(spark, model):
+    """Expected grade and tail probability from the model's own weights, document by document."""
+    rows = sample(40, 9)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    texts = {i: t for i, t, _ in rows}
+    for r in ordinal.score(docs, model).collect():
+        memory = ordinal.Remembered(ordinal._buckets)
+        score = float(model.weights[ordinal.features(texts[r.doc_id].encode(), memory)].astype(float).sum())
+        above = [1 / (1 + np.exp(cut - score)) for cut in model.thresholds]
+        assert r.expected_grade == pytest.approx(sum(above), abs=1e-6)
+        assert r.p_select == pytest.approx(above[1], abs=1e-6) and r.kept == (r.p_select >= 0.5)

@@ -76,3 +76,51 @@ def test_edges(edges, nothing):
 def test_plan_has_no_python(spark, edges):
     plan = pii.summary(edges)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def added(text):
+    """The further kinds by their definitions: spans that score 0.7 and touch no base span."""
+    def digits_of(account):
+        turned = account[4:] + account[:4]
+        return int("".join(str(int(c, 36)) for c in turned))
+
+    found = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}(?![A-Za-z0-9]))?(?![A-Za-z0-9])", text):
+        account = m[0].replace(" ", "")
+        if 15 <= len(account) <= 34 and digits_of(account) % 97 == 1:
+            found.append((m.start(), m.end(), "iban", 0.8, 0.2, "iban|account|bank"))
+    for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", text):
+        found.append((m.start(), m.end(), "ssn", 0.3, 0.6, r"\bssn\b|social security"))
+    for m in re.finditer(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])", text):
+        found.append((m.start(), m.end(), "local_phone", 0.3, 0.5, r"phone|\btel|call|mobile|fax"))
+    for m in re.finditer(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])", text):
+        found.append((m.start(), m.end(), "secret", 0.3, 0.5, r"token|secret|passw|api.?key|\bkey\b"))
+    taken = [(int(s), int(e)) for _, s, e in (x.split(":") for x in base(text).split(",") if x)]
+    out = []
+    for start, end, name, score, more, words in found:
+        near = text[max(0, start - 32) : start].lower()
+        score = round(score + (more if re.search(words, near) else 0), 2)
+        if score >= 0.7 and not any(s < end and start < e for s, e in taken):
+            out.append((start, end, name, score))
+    return out
+
+
+TOKENS = [
+    "GB82 WEST 1234 5698 7654 32", "GB83 WEST 1234 5698 7654 32", "DE89370400440532013000", "123-45-6789", "(555) 123-4567", "555.123.4567",
+    "04dbebab91ab85687d33eeaaf9ac699e1188f962", "f" * 70, "account", "SSN", "Social Security", "call", "my phone", "token", "api key", "Password",
+    "a@b.org", "4111 1111 1111 1111", "+1 555 123 4567", "10.0.0.1", "prose", "and more of it that goes on for long", "é", "\n",
+]
+
+
+def test_added_spans_order_and_scores_by_brute_force(spark):
+    draw = random.Random(8)
+    rows = [(k, " ".join(draw.choice(TOKENS) for _ in range(draw.randint(1, 9)))) for k in range(500)]
+    texts, kinds = dict(rows), set()
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = [(s.start, s.end, s.kind, s.score) for s in r.pii]
+        assert spans == sorted(spans, key=lambda s: s[0])
+        more = [s for s in spans if s[2] in ("iban", "ssn", "local_phone", "secret")]
+        assert sorted(more) == sorted(added(texts[r.doc_id])), texts[r.doc_id]
+        assert ",".join(f"{k}:{s}:{e}" for s, e, k, _ in spans if (s, e, k, _) not in more) == base(texts[r.doc_id])
+        kinds |= {s[2] for s in more}
+    assert kinds == {"iban", "ssn", "local_phone", "secret"}
