@@ -79,8 +79,8 @@ def op4(spark, sf_dir):
 
 @query("op7_url_templates")
 def op7(spark, sf_dir):
-    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    return templates.judge(pages, templates.labels_from_pages(labels))
+    pages = table(spark, sf_dir, "pages")
+    return templates.judge(pages, templates.labels_from_html(pages))
 
 
 @query("op3_quality_divergence")

@@ -152,6 +152,21 @@ def judge(
     )
 
 
-def labels_from_pages(labels: DataFrame) -> DataFrame:
-    """Bad pages by the labels of the documents of the same id: low quality or toxic."""
-    return labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+def _without(html: Column, tag: str) -> Column:
+    """``html`` without elements of a tag, in one pass: from each opening to the next closing."""
+    pieces = F.split(html, f"<{tag}\\b")
+    after = lambda piece: F.instr(piece, f"</{tag}>")
+    kept = lambda piece: F.when(after(piece) > 0, F.substr(piece, after(piece))).otherwise(F.lit(""))
+    rest = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), kept)
+    return F.when(F.size(pieces) > 1, F.concat(F.get(pieces, F.lit(0)), F.array_join(rest, " "))).otherwise(html)
+
+
+def labels_from_html(pages: DataFrame, symbols: int = 3) -> DataFrame:
+    """Bad pages by what they show: those with no words, or with ``symbols`` percent or more of
+    their characters (without blanks) among ``#*$%&|<>``. Scripts, styles and tags aren't shown.
+    All steps are linear in the page, whatever it holds."""
+    shown = _without(_without(F.coalesce("html", F.lit("")), "script"), "style")
+    shown = F.regexp_replace(shown, r"<[^<>]*+>|&[a-z]++;", " ")
+    dense = F.regexp_replace(shown, r"[\x20\x09-\x0D]++", "")
+    junk = F.length(dense) - F.length(F.regexp_replace(dense, r"[#*$%&|<>]++", ""))
+    return pages.select("page_id", (100 * junk >= symbols * F.length(dense)).alias("bad"))

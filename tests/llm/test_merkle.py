@@ -74,7 +74,7 @@ def made(n, source=lambda i: f"s{i % 3}"):
     ]
 
 
-@pytest.mark.parametrize("n", [1, 15, 16, 17, 256, 257])
+@pytest.mark.parametrize("n", [1, 16, 17, 257])
 def test_one_source(spark, n):
     rows = made(n, lambda i: "only")
     check(merkle.audit(spark.createDataFrame(rows, SCHEMA)), rows)
@@ -110,7 +110,7 @@ def test_partial_witness_grows():
     assert len(first.witness()) == 2  # the sixteenth run completed the level above
 
 
-@pytest.mark.parametrize("cuts", [(5_000,), (10, 20, 4_096, 8_192), (1, 2, 3)])
+@pytest.mark.parametrize("cuts", [(10, 4_096, 8_192), (1, 2)])
 def test_appends_give_the_same_manifest(spark, cuts):
     rows, folder = made(9_500, lambda i: "hot" if i % 5 else f"s{i % 4}" if i > 3 else None), scratch_path(spark, "manifest")
     for k, (a, b) in enumerate(zip((0, *cuts), (*cuts, len(rows)), strict=True)):

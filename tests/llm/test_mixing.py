@@ -58,7 +58,7 @@ def test_weights_and_probabilities(spark, rows):
     assert sum(r.n_tokens for r in got if r.kept) == pytest.approx(0.2 * total, rel=0.2)
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_margins_hold_where_cells_give_all_they_have(spark, seed):
     """Targets that some way of giving meets, but only with cells that give all they have."""
     draw = random.Random(seed)
