@@ -21,29 +21,33 @@ LANGUAGES = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier selects."""
+    """Documents that the quality classifier selects. A null or empty text is scored like any other;
+    without ratings all stay. Rows that share an id are judged one by one."""
     prepare(spark)
     scored = ordinal.select(docs, table(spark, sf_dir, "labels"), prefix="_quality_")
     return scored.where("_quality_kept").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: that of the smallest id, null ids last; null counts as empty."""
     return exact.first_copies(docs)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that of the smallest id. Texts without words and
+    rows without an id stay; of rows that share an id one stays."""
     return jaccard.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample in which sources, languages and topics have their target shares."""
+    """A sample in which sources, languages and topics have their target shares, as far as their
+    tokens reach (``mixing.shares``). Languages that are not named keep their share; null is a value
+    of its own; documents of cells without words go."""
     return mixing.sample(docs, share=MIX_SHARE, languages=LANGUAGES)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of each document, whole, and digests of ids and decoded text."""
+    """The piece ids of each document, whole, and digests of ids and decoded text; a null text has none."""
     return piece.encode_digests(docs.select("doc_id", "text", "lang", "source"), piece_model()).drop("text")
 
 
