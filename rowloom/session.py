@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,14 +74,42 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="rowloom-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="rowloom-")
+    return _LOCAL_DIRS[application]
+
+
+#: the temporary folder of each local application; the setting can't be changed while one runs
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for ``name`` in the shared folder; never reused."""
-    return f"{shared_dir(spark)}/rowloom/{uuid.uuid4().hex}/{name}"
+    """A new path for ``name`` in the shared folder, under the application's; never reused."""
+    return f"{_scratch(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/rowloom"
+
+
+def remove_scratch(spark: SparkSession, application: str | None = None, older_than_ms: int = 0) -> list[str]:
+    """Remove the stored intermediate data of an application, this one unless another is named, or
+    ``"*"`` for all but this one; only folders that are ``older_than_ms``. Plans that still read
+    them, and tables that were written there, are lost. Returns the folders removed."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(_scratch(spark))
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    own, now, gone = spark.sparkContext.applicationId, time.time() * 1000, []
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        asked = name != own if application == "*" else name == (application or own)
+        if asked and status.getModificationTime() <= now - older_than_ms:
+            files.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
