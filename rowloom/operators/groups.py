@@ -209,19 +209,21 @@ def rule_letters(users: DataFrame, patterns: DataFrame) -> DataFrame:
     asked = read.select("pattern", "runs", pieces.alias("asked"))
     wanted = asked.select(F.explode("asked").alias("piece"))
     emails = users.select(F.explode(_pieces(F.lower("email"))).alias("piece"))
-    counts = emails.join(wanted.distinct(), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("emails"))
-    each = asked.select("pattern", F.explode("asked").alias("piece")).join(counts, "piece")
+    # pieces are many times what the planner takes them for, so no side of a join is broadcast
+    emails = emails.groupBy("piece").agg(F.count(F.lit(1)).alias("emails"))
+    counts = emails.join(wanted.distinct().hint("merge"), "piece")
+    each = asked.select("pattern", F.explode("asked").alias("piece")).join(counts.hint("merge"), "piece")
     known = each.groupBy("pattern").agg(F.collect_list(F.struct("piece", "emails")).alias("known"))
-    return read.join(known, "pattern", "left").mapInPandas(_choose, "pattern string, pieces array<string>")
+    return read.join(known.hint("merge"), "pattern", "left").mapInPandas(_choose, "pattern string, pieces array<string>")
 
 
 def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
     """(user_id, group_id) for sign-up groups whose pattern is found in the email.
 
-    Emails and rules meet by letters that a match can't do without. Rules without such letters
-    are tried on every email, as they must be; users are dealt into parts for that, so that no
-    task tries all. There is no limit on rules of either kind, and which side is broadcast is
-    left to the planner, by size.
+    Emails and patterns meet by letters that a match can't do without; a pattern that several
+    rules share is tried once. Patterns without such letters are tried on every email, as they
+    must be; users are dealt into parts for that, so that no task tries all. There is no limit
+    on rules of either kind, and no side of a join is held whole, by the driver or a task.
     """
     rules = (
         groups.filter(F.coalesce(F.col("add_to_user_on_signup"), F.lit(False)))
@@ -230,15 +232,17 @@ def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
         .distinct()
     )
     users = users.filter(F.col("email").isNotNull()).select("user_id", "email")
-    looked = rules.join(rule_letters(users, rules.select("pattern").distinct()), "pattern")
-    by_piece = looked.select("group_id", "pattern", "pieces", F.explode("pieces").alias("_piece"))
+    looked = rule_letters(users, rules.select("pattern").distinct())
+    by_piece = looked.select("pattern", "pieces", F.explode("pieces").alias("_piece"))
     every_part = F.transform(F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1)), lambda k: F.concat(F.lit("part "), k.cast("string")))
-    by_part = looked.filter(F.size("pieces") == 0).select("group_id", "pattern", "pieces", F.explode(every_part).alias("_piece"))
+    by_part = looked.filter(F.size("pieces") == 0).select("pattern", "pieces", F.explode(every_part).alias("_piece"))
     # the name of a part is longer than three letters, so it is none of an email's
     part = F.concat(F.lit("part "), F.pmod(F.xxhash64("user_id", "email"), F.lit(OPEN_PARTS)).cast("string"))
     asked = users.select("user_id", "email", F.explode(F.concat(_pieces(F.lower("email")), F.array(part))).alias("_piece"))
-    met = asked.join(by_piece.unionByName(by_part), "_piece")
-    # an email that has several of a rule's letters meets it once, at the first of them
+    # patterns first: a pattern is then read once for all emails of a piece
+    met = by_piece.unionByName(by_part).join(asked.hint("merge"), "_piece")
+    # an email that has several of a pattern's letters meets it once, at the first of them
     has = F.filter("pieces", lambda piece: F.contains(F.lower("email"), piece))
     once = (F.size("pieces") == 0) | (F.get(has, F.lit(0)) == F.col("_piece"))
-    return met.filter(once).filter(F.expr("email rlike pattern")).select("user_id", "group_id")
+    found = met.filter(once).filter(F.expr("email rlike pattern")).select("user_id", "pattern")
+    return found.join(rules.hint("merge"), "pattern").select("user_id", "group_id")

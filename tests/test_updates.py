@@ -137,3 +137,14 @@ def test_many_rules_of_both_kinds(spark):
     assert all(r["pieces"] for r in letters)
     tried = sum(any(piece in email for piece in r["pieces"]) for r in letters for _, email in users)
     assert tried < len(users) * len(rules) / 20
+
+
+def test_no_side_of_a_match_is_broadcast(spark):
+    """The planner takes exploded letters for as small as their emails, and would hold them whole."""
+    users = spark.createDataFrame([(1, "ann@x.org"), (1, "ann@x.org"), (2, "bob@y.org")], "user_id bigint, email string")
+    rules = [(f"g{i}", pattern, True) for i, pattern in enumerate(["ann@", "ann@", "@x.org", "[ab]", "[ab]"])]
+    found = match_groups(users, spark.createDataFrame(rules, "group_id string, email_regex_match string, add_to_user_on_signup boolean"))
+    got = sorted((r["user_id"], r["group_id"]) for r in found.collect())
+    assert got == sorted([(1, f"g{i}") for i in range(5)] * 2 + [(2, "g3"), (2, "g4")])
+    plan = found._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
