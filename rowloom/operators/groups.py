@@ -2,21 +2,37 @@
 
 A rule is a pattern that must be found in the email. What a match can't do without is read
 from the pattern's syntax: runs of plain letters (all of them), and for alternatives one run
-of each (any of them). A rule is then looked up by letters, three at a time: of each run the
-three that the fewest emails have, of the rule's requirements the one that the fewest emails
-meet. Users meet only rules whose letters their email has; the pattern itself decides.
+of each (any of them). A rule is then looked up by pieces of three to eight letters: of each run
+the piece that the fewest emails have, of the rule's requirements the one that the fewest emails
+meet. Users meet only rules whose piece their email has; the pattern itself decides.
+
+A piece is known by its letters as one number. Of an email only pieces are kept that a rule asks
+for, or that a filter of fixed size takes for one; so emails are shuffled a few times each, not
+once for every piece that they have.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: letters by which rules and emails are joined
-LETTERS = 3
+from rowloom.session import materialise
+
+#: letters of the pieces by which rules and emails are joined, at most eight; a run has pieces of the largest size it has room for
+SIZES = (3, 4, 6, 8)
+#: the filter of pieces has two to this power bits (16 MB), whatever the number of rules
+FILTER_BITS = 27
+#: bits that Spark's bitmap functions keep in one bitmap
+BITMAP = 32768
+#: emails are cut into pieces about so many bytes at once
+CUT_BYTES = 1 << 16
+#: rules that share a pattern are met so many at once
+RULES_AT_ONCE = 1_000
 #: into how many parts the users are dealt for rules that any email may fit
 OPEN_PARTS = 64
 #: escapes of one letter that stand for no letter of their own, and those that take no room
@@ -162,68 +178,154 @@ class _Reader:
 
 def required_runs(pattern: str) -> list[list[str]]:
     """What every match must contain: of each list one of its runs, in ASCII lower case. Runs
-    shorter than three letters say too little and are left out with their list."""
+    shorter than the smallest piece say too little and are left out with their list."""
     try:
         needs = _Reader(pattern).whole()
     except _Unread:
         return []
     plain = lambda run: max(re.split(r"[^\x00-\x7F]+", run), key=len).lower()
     kept = {tuple(sorted({plain(run) for run in runs})) for runs in needs}
-    return sorted(list(runs) for runs in kept if all(len(run) >= LETTERS for run in runs))
+    return sorted(list(runs) for runs in kept if all(len(run) >= SIZES[0] for run in runs))
+
+
+def _pieces(run: str) -> list[str]:
+    """The pieces of a run of ASCII letters; an email that has the run has all of them."""
+    size = max(size for size in SIZES if size <= len(run))
+    return [run[i : i + size] for i in range(len(run) - size + 1)]
+
+
+def _key(piece: str) -> int:
+    """The letters of a piece as one number, which is never negative."""
+    return int.from_bytes(piece.encode("ascii"), "big")
+
+
+_READ = T.StructType([T.StructField("runs", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_READ)
+def _read_patterns(patterns: pd.Series) -> pd.DataFrame:
+    runs = patterns.map(required_runs)
+    keys = [sorted({_key(piece) for need in needs for run in need for piece in _pieces(run)}) for needs in runs]
+    return pd.DataFrame({"runs": runs, "keys": keys})
+
+
+def _first_bit(keys: np.ndarray) -> np.ndarray:
+    """The bit of the filter that is tried for all pieces of an email."""
+    return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).view(np.int64)
 
 
-def _pieces(text: Column) -> Column:
-    """All three letters in a row of a text, each once."""
-    starts = F.sequence(F.lit(1), F.length(text) - (LETTERS - 1))
-    pieces = F.transform(starts, lambda i: F.substring(text, i, F.lit(LETTERS)))
-    return F.when(F.length(text) >= LETTERS, F.array_distinct(pieces)).otherwise(F.array().cast("array<string>"))
+def _second_bit(keys: np.ndarray) -> np.ndarray:
+    """The bit that is tried for those of which the first is set."""
+    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FILTER_BITS)).view(np.int64)
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _read_runs(patterns: pd.Series) -> pd.Series:
-    return patterns.map(required_runs)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bits(keys: pd.Series) -> pd.Series:
+    numbers = keys.map(lambda of_pattern: np.asarray(of_pattern, dtype=np.uint64))
+    return numbers.map(lambda of_pattern: np.concatenate([_first_bit(of_pattern), _second_bit(of_pattern)]))
+
+
+def asked_pieces(patterns: DataFrame) -> Callable[[Column], Column]:
+    """A function of lower-case emails: the keys of their pieces, each once, that are among the
+    ``keys`` of any pattern, and a few more that the filter takes for one."""
+    # Spark's bitmap functions count bits and parts from 1
+    bits = patterns.filter(F.size("keys") > 0).select(F.explode(_bits("keys")).alias("bit")).withColumn("bit", F.col("bit") + 1)
+    parts = bits.groupBy(F.bitmap_bucket_number("bit").alias("part"))
+    has = np.zeros(2**FILTER_BITS // 8, dtype=np.uint8)
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():
+        begin = (row["part"] - 1) * (BITMAP // 8)
+        has[begin : begin + BITMAP // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return F.arrow_udf(lambda emails: _cut(emails, has), T.ArrayType(T.LongType()))
+
+
+def _cut(emails: pa.Array, has: np.ndarray) -> pa.Array:
+    if not len(emails):
+        return pa.array([], pa.list_(pa.int64()))
+    wide = pa.types.is_large_string(emails.type)
+    at = np.frombuffer(emails.buffers()[1], dtype=np.int64 if wide else np.int32)[emails.offset : emails.offset + len(emails) + 1]
+    if len(emails) > 1 and at[-1] - at[0] > CUT_BYTES:
+        half = len(emails) // 2
+        return pa.concat_arrays([_cut(emails.slice(0, half), has), _cut(emails.slice(half), has)])
+    letters = np.frombuffer(emails.buffers()[2] or b"", dtype=np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    email = np.repeat(np.arange(len(emails)), np.diff(at))
+    room = (at[1:] - at[0])[email] - np.arange(len(letters))
+    found, window = [], letters
+    for size in range(2, SIZES[-1] + 1):
+        window = (window[:-1] << np.uint64(8)) | letters[size - 1 :]
+        if size in SIZES:
+            at_piece = np.flatnonzero(_is_set(has, _first_bit(window)))
+            # within one email, and of ASCII letters only
+            at_piece = at_piece[(room[at_piece] >= size) & (window[at_piece] & np.uint64(0x8080808080808080) == 0)]
+            at_piece = at_piece[_is_set(has, _second_bit(window[at_piece]))]
+            found.append((email[at_piece], window[at_piece]))
+    owner, keys = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(emails)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[new].astype(np.int64)))
+
+
+def _is_set(has: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return has[bits >> 3] & (1 << (bits & 7)).astype(np.uint8) != 0
 
 
 def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The letters a rule is looked up by, from how many emails have each."""
+    """The pieces a rule is looked up by, from how many emails have each."""
     for rules in batches:
         chosen = []
         for runs, known in zip(rules["runs"], rules["known"], strict=True):
-            emails = {} if known is None else {x["piece"]: x["emails"] for x in known}
+            emails = {} if known is None else {x["key"]: x["emails"] for x in known}
             best = None
             for need in runs:
-                pieces = [[run[i : i + LETTERS] for i in range(len(run) - LETTERS + 1)] for run in need]
-                rarest = [min((emails.get(piece, 0), piece) for piece in of_run) for of_run in pieces]
+                rarest = [min((emails.get(_key(piece), 0), piece) for piece in _pieces(run)) for run in need]
                 cost = sum(n for n, _ in rarest)
                 if best is None or cost < best[0]:
                     best = cost, sorted({piece for _, piece in rarest})
             chosen.append([] if best is None else best[1])
-        yield pd.DataFrame({"pattern": rules["pattern"], "pieces": chosen})
+        keys = [[_key(piece) for piece in pieces] for pieces in chosen]
+        any_piece = ["|".join(map(re.escape, pieces)) for pieces in chosen]
+        yield pd.DataFrame({"pattern": rules["pattern"], "pieces": chosen, "keys": keys, "any_piece": any_piece})
+
+
+def _dealt(users: DataFrame) -> DataFrame:
+    """A few files may hold very many emails, and each of them is cut into its pieces."""
+    return users.repartition("user_id", "email")
 
 
 def rule_letters(users: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pieces`` for each of the distinct ``patterns``: the letters of which every email that
-    it fits has one. None for patterns that any email may fit."""
-    read = patterns.withColumn("runs", _read_runs("pattern"))
-    pieces = F.array_distinct(F.flatten(F.transform(F.flatten("runs"), _pieces)))
-    asked = read.select("pattern", "runs", pieces.alias("asked"))
-    wanted = asked.select(F.explode("asked").alias("piece"))
-    emails = users.select(F.explode(_pieces(F.lower("email"))).alias("piece"))
+    it fits has one, their ``keys`` and a pattern that finds them. None for patterns that any
+    email may fit."""
+    read = patterns.select("pattern", _read_patterns("pattern").alias("of")).select("pattern", "of.*")
+    read = materialise(read, "patterns")
+    emails = _dealt(users).select(F.explode(asked_pieces(read)(F.lower("email"))).alias("key"))
     # pieces are many times what the planner takes them for, so no side of a join is broadcast
-    emails = emails.groupBy("piece").agg(F.count(F.lit(1)).alias("emails"))
-    counts = emails.join(wanted.distinct().hint("merge"), "piece")
-    each = asked.select("pattern", F.explode("asked").alias("piece")).join(counts.hint("merge"), "piece")
-    known = each.groupBy("pattern").agg(F.collect_list(F.struct("piece", "emails")).alias("known"))
-    return read.join(known.hint("merge"), "pattern", "left").mapInPandas(_choose, "pattern string, pieces array<string>")
+    emails = emails.groupBy("key").agg(F.count(F.lit(1)).alias("emails"))
+    each = read.select("pattern", F.explode("keys").alias("key")).join(emails.hint("merge"), "key")
+    known = each.groupBy("pattern").agg(F.collect_list(F.struct("key", "emails")).alias("known"))
+    chosen = read.drop("keys").join(known.hint("merge"), "pattern", "left")
+    return chosen.mapInPandas(_choose, "pattern string, pieces array<string>, keys array<bigint>, any_piece string")
+
+
+def _together(rules: DataFrame) -> DataFrame:
+    """``group_ids`` of the rules of each pattern, in lists of about a thousand at most."""
+    shared = rules.groupBy("pattern").agg(F.ceil(F.count(F.lit(1)) / RULES_AT_ONCE).alias("_lists"))
+    of_list = F.pmod(F.xxhash64("group_id"), F.col("_lists")).alias("_list")
+    dealt = rules.join(shared.hint("merge"), "pattern").select("pattern", of_list, F.struct("group_id").alias("_rule"))
+    lists = dealt.groupBy("pattern", "_list").agg(F.collect_list("_rule").alias("_rules"))
+    return lists.select("pattern", F.col("_rules.group_id").alias("group_ids"))
 
 
 def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
     """(user_id, group_id) for sign-up groups whose pattern is found in the email.
 
-    Emails and patterns meet by letters that a match can't do without; a pattern that several
-    rules share is tried once. Patterns without such letters are tried on every email, as they
-    must be; users are dealt into parts for that, so that no task tries all. There is no limit
-    on rules of either kind, and no side of a join is held whole, by the driver or a task.
+    Emails and patterns meet by letters that a match can't do without; a pattern is tried once for
+    every thousand rules that share it, which are met with it and need no join of their own.
+    Patterns without such letters are tried on every email, as they must be; users are dealt into
+    parts for that, so that no task tries all. There is no limit on rules of either kind, and no
+    side of a join is held whole, by the driver or a task.
     """
     rules = (
         groups.filter(F.coalesce(F.col("add_to_user_on_signup"), F.lit(False)))
@@ -232,17 +334,21 @@ def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
         .distinct()
     )
     users = users.filter(F.col("email").isNotNull()).select("user_id", "email")
-    looked = rule_letters(users, rules.select("pattern").distinct())
-    by_piece = looked.select("pattern", "pieces", F.explode("pieces").alias("_piece"))
-    every_part = F.transform(F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1)), lambda k: F.concat(F.lit("part "), k.cast("string")))
-    by_part = looked.filter(F.size("pieces") == 0).select("pattern", "pieces", F.explode(every_part).alias("_piece"))
-    # the name of a part is longer than three letters, so it is none of an email's
-    part = F.concat(F.lit("part "), F.pmod(F.xxhash64("user_id", "email"), F.lit(OPEN_PARTS)).cast("string"))
-    asked = users.select("user_id", "email", F.explode(F.concat(_pieces(F.lower("email")), F.array(part))).alias("_piece"))
+    looked = materialise(rule_letters(users, rules.select("pattern").distinct()), "letters")
+    met_with = looked.join(_together(rules).hint("merge"), "pattern")
+    # keys of pieces are never negative, those of parts are
+    every_part = F.transform(
+        F.sequence(F.lit(-OPEN_PARTS), F.lit(-1)), lambda k: F.struct(F.lit("").alias("pieces"), k.cast("bigint").alias("keys"))
+    )
+    at = F.when(F.size("pieces") == 0, every_part).otherwise(F.arrays_zip("pieces", "keys"))
+    placed = met_with.select("pattern", "group_ids", "any_piece", "pieces", F.explode(at).alias("_at"))
+    of_many = F.when(F.size("pieces") > 1, F.col("_at.pieces")).otherwise("").alias("_piece")
+    placed = placed.select("pattern", "group_ids", "any_piece", of_many, F.col("_at.keys").alias("_key"))
+    part = F.pmod(F.xxhash64("user_id", "email"), F.lit(OPEN_PARTS)) - OPEN_PARTS
+    keys = F.concat(asked_pieces(looked)(F.lower("email")), F.array(part.cast("bigint")))
+    asked = _dealt(users).select("user_id", "email", F.explode(keys).alias("_key"))
     # patterns first: a pattern is then read once for all emails of a piece
-    met = by_piece.unionByName(by_part).join(asked.hint("merge"), "_piece")
-    # an email that has several of a pattern's letters meets it once, at the first of them
-    has = F.filter("pieces", lambda piece: F.contains(F.lower("email"), piece))
-    once = (F.size("pieces") == 0) | (F.get(has, F.lit(0)) == F.col("_piece"))
-    found = met.filter(once).filter(F.expr("email rlike pattern")).select("user_id", "pattern")
-    return found.join(rules.hint("merge"), "pattern").select("user_id", "group_id")
+    met = placed.join(asked.hint("merge"), "_key")
+    # an email that has several of a pattern's pieces meets it once, at the first of them
+    once = (F.col("_piece") == "") | (F.expr("regexp_extract(lower(email), any_piece, 0)") == F.col("_piece"))
+    return met.filter(F.expr("email rlike pattern")).filter(once).select("user_id", F.explode("group_ids").alias("group_id"))

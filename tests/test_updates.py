@@ -1,10 +1,11 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowloom.operators.groups import match_groups, required_runs, rule_letters
+from rowloom.operators.groups import asked_pieces, match_groups, required_runs, rule_letters
 from rowloom.operators.updates import derive_mappings, missing_items, update_back
 from rowloom.schemas import LINKS, MAPPINGS, NODES
 
@@ -148,3 +149,42 @@ def test_no_side_of_a_match_is_broadcast(spark):
     assert got == sorted([(1, f"g{i}") for i in range(5)] * 2 + [(2, "g3"), (2, "g4")])
     plan = found._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rules_are_looked_up_by_long_pieces(spark):
+    """Three letters of a number are in many emails, so rules for one user each met more of them the
+    more users there were."""
+    users = [(i, f"c{i}@shop.example.com") for i in range(1_000, 4_000)]
+    patterns = spark.createDataFrame([(f"(c{i}@|u{i}@)[a-z]+[.]example",) for i in range(1_000, 4_000, 10)], "pattern string")
+    letters = rule_letters(spark.createDataFrame(users, "user_id bigint, email string"), patterns).collect()
+    assert len(letters) == 300 and all(r["pieces"] for r in letters)
+    assert sum(any(piece in email for piece in r["pieces"]) for r in letters for _, email in users) == 300
+
+
+def test_rules_that_share_a_pattern_are_met_in_lists(spark):
+    """No join follows the match, whatever the number of rules; a file of many emails is dealt out."""
+    rules = [(f"g{i}", "ann@", True) for i in range(2_500)] + [(None, "ann@", True), ("open", "[ab]", True), (None, "[ab]", True)]
+    groups = spark.createDataFrame(rules + rules[:50], "group_id string, email_regex_match string, add_to_user_on_signup boolean")
+    users = spark.createDataFrame([(1, "ann@x.org"), (None, "joann@x.org"), (2, "bob@y.org")], "user_id bigint, email string").coalesce(1)
+    found = match_groups(users, groups)
+    got = Counter((r["user_id"], r["group_id"]) for r in found.collect())
+    assert got == Counter([(u, g) for u in (1, None) for g, _, _ in rules] + [(2, "open"), (2, None)])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Generate explode(group_ids") and "RepartitionByExpression [user_id" in plan
+
+
+def test_pieces_of_emails_are_those_that_are_asked_for(spark):
+    draw = random.Random(4)
+    patterns = spark.createDataFrame([(["abc", "b@c.", "a.b@cb", "a.b@cbac"],), (["abc"],), ([],)], "pieces array<string>")
+    asked = {p: int.from_bytes(p.encode(), "big") for p in ("abc", "b@c.", "a.b@cb", "a.b@cbac")}
+    keys = F.transform("pieces", lambda p: F.conv(F.hex(p), 16, 10).cast("bigint"))
+    of_email = asked_pieces(patterns.select(keys.alias("keys")))
+    emails = ["", "ab", "abc", "éabc", "日本abcé", "abcabc", "\0abc"] + ["xa.b@cbac"] * 20_000
+    emails += ["".join(draw.choice("ab@c.é") for _ in range(draw.randint(0, 60))) for _ in range(5_000)]
+    table = spark.createDataFrame([(x,) for x in emails], "email string")
+    got = table.select("email", of_email(F.col("email")).alias("keys")).collect()
+    assert Counter(r["email"] for r in got) == Counter(emails)
+    for r in got:
+        # the filter may take a piece for one that is asked for; with four of them it doesn't
+        assert sorted(r["keys"]) == sorted(key for piece, key in asked.items() if piece in r["email"]), r
+    assert sum(len(r["keys"]) for r in got) > 40_000
