@@ -33,8 +33,8 @@ BITMAP = 32768
 CUT_BYTES = 1 << 16
 #: rules that share a pattern are met so many at once
 RULES_AT_ONCE = 1_000
-#: into how many parts the users are dealt for rules that any email may fit
-OPEN_PARTS = 64
+#: into how many parts the users are dealt for rules that any email may fit, and for pieces of this many emails
+OPEN_PARTS, COMMON = 64, 100_000
 #: escapes of one letter that stand for no letter of their own, and those that take no room
 CLASSES, EDGES = set("dDwWsShHvVRtnrfae"), set("bBAzZ")
 
@@ -274,7 +274,7 @@ def _is_set(has: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pieces a rule is looked up by, from how many emails have each."""
     for rules in batches:
-        chosen = []
+        chosen, common = [], []
         for runs, known in zip(rules["runs"], rules["known"], strict=True):
             emails = {} if known is None else {x["key"]: x["emails"] for x in known}
             best = None
@@ -284,9 +284,10 @@ def _choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if best is None or cost < best[0]:
                     best = cost, sorted({piece for _, piece in rarest})
             chosen.append([] if best is None else best[1])
+            common.append([emails.get(_key(piece), 0) >= COMMON for piece in chosen[-1]])
         keys = [[_key(piece) for piece in pieces] for pieces in chosen]
         any_piece = ["|".join(map(re.escape, pieces)) for pieces in chosen]
-        yield pd.DataFrame({"pattern": rules["pattern"], "pieces": chosen, "keys": keys, "any_piece": any_piece})
+        yield pd.DataFrame({"pattern": rules["pattern"], "pieces": chosen, "keys": keys, "common": common, "any_piece": any_piece})
 
 
 def _dealt(users: DataFrame) -> DataFrame:
@@ -296,8 +297,8 @@ def _dealt(users: DataFrame) -> DataFrame:
 
 def rule_letters(users: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pieces`` for each of the distinct ``patterns``: the letters of which every email that
-    it fits has one, their ``keys`` and a pattern that finds them. None for patterns that any
-    email may fit."""
+    it fits has one, their ``keys``, which are ``common``, and a pattern that finds them. None for
+    patterns that any email may fit."""
     read = patterns.select("pattern", _read_patterns("pattern").alias("of")).select("pattern", "of.*")
     read = materialise(read, "patterns")
     emails = _dealt(users).select(F.explode(asked_pieces(read)(F.lower("email"))).alias("key"))
@@ -306,7 +307,7 @@ def rule_letters(users: DataFrame, patterns: DataFrame) -> DataFrame:
     each = read.select("pattern", F.explode("keys").alias("key")).join(emails.hint("merge"), "key")
     known = each.groupBy("pattern").agg(F.collect_list(F.struct("key", "emails")).alias("known"))
     chosen = read.drop("keys").join(known.hint("merge"), "pattern", "left")
-    return chosen.mapInPandas(_choose, "pattern string, pieces array<string>, keys array<bigint>, any_piece string")
+    return chosen.mapInPandas(_choose, "pattern string, pieces array<string>, keys array<bigint>, common array<boolean>, any_piece string")
 
 
 def _together(rules: DataFrame) -> DataFrame:
@@ -336,19 +337,24 @@ def match_groups(users: DataFrame, groups: DataFrame) -> DataFrame:
     users = users.filter(F.col("email").isNotNull()).select("user_id", "email")
     looked = materialise(rule_letters(users, rules.select("pattern").distinct()), "letters")
     met_with = looked.join(_together(rules).hint("merge"), "pattern")
-    # keys of pieces are never negative, those of parts are
-    every_part = F.transform(
-        F.sequence(F.lit(-OPEN_PARTS), F.lit(-1)), lambda k: F.struct(F.lit("").alias("pieces"), k.cast("bigint").alias("keys"))
-    )
-    at = F.when(F.size("pieces") == 0, every_part).otherwise(F.arrays_zip("pieces", "keys"))
+    # keys of pieces are never negative; all emails have the one of open patterns
+    every = F.array(F.struct(F.lit("").alias("pieces"), F.lit(-1).cast("bigint").alias("keys"), F.lit(True).alias("common")))
+    at = F.when(F.size("pieces") == 0, every).otherwise(F.arrays_zip("pieces", "keys", "common"))
     placed = met_with.select("pattern", "group_ids", "any_piece", "pieces", F.explode(at).alias("_at"))
     of_many = F.when(F.size("pieces") > 1, F.col("_at.pieces")).otherwise("").alias("_piece")
-    placed = placed.select("pattern", "group_ids", "any_piece", of_many, F.col("_at.keys").alias("_key"))
-    part = F.pmod(F.xxhash64("user_id", "email"), F.lit(OPEN_PARTS)) - OPEN_PARTS
-    keys = F.concat(asked_pieces(looked)(F.lower("email")), F.array(part.cast("bigint")))
-    asked = _dealt(users).select("user_id", "email", F.explode(keys).alias("_key"))
+    parts = F.when(F.col("_at.common"), F.sequence(F.lit(0), F.lit(OPEN_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    placed = placed.select("pattern", "group_ids", "any_piece", of_many, F.col("_at.keys").alias("_key"), F.explode(parts).alias("_part"))
+    # emails with a common piece are dealt into parts; few pieces are common, as an email has few
+    common = looked.select(F.explode(F.arrays_zip("keys", "common")).alias("at")).filter("at.common").select("at.keys").distinct()
+    dealt = F.col("_key").isin([-1] + [row["keys"] for row in common.collect()])
+    part = F.when(dealt, F.pmod(F.xxhash64("user_id", "email"), F.lit(OPEN_PARTS))).otherwise(0).cast("int").alias("_part")
+    keys = F.concat(asked_pieces(looked)(F.lower("email")), F.array(F.lit(-1).cast("bigint")))
+    asked = _dealt(users).select("user_id", "email", F.explode(keys).alias("_key")).select("user_id", "email", "_key", part)
+    # the rows of a task are few for what they give, so tasks aren't merged for having few
+    tasks = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(tasks, "_key", "_part")
     # patterns first: a pattern is then read once for all emails of a piece
-    met = placed.join(asked.hint("merge"), "_key")
+    met = placed.join(asked.hint("merge"), ["_key", "_part"])
     # an email that has several of a pattern's pieces meets it once, at the first of them
     once = (F.col("_piece") == "") | (F.expr("regexp_extract(lower(email), any_piece, 0)") == F.col("_piece"))
     return met.filter(F.expr("email rlike pattern")).filter(once).select("user_id", F.explode("group_ids").alias("group_id"))
